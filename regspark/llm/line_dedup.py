@@ -29,11 +29,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             lambda x: x["line"] != "",
         ).alias("lines"),
     )
-    windows = lined.where(F.size("lines") >= window).select(
+    # The outer form keeps Spark from testing the array's size further down, where the lines would be made again for each window.
+    windows = lined.select(
         "doc",
         "body",
-        F.explode(F.expr(f"transform(sequence(1, size(lines) - {window - 1}), k -> struct(md5(cast(array_join(transform(slice(lines, k, {window}), x -> x.line), '\\n') AS binary)) AS hash, transform(slice(lines, k, {window}), x -> x.i) AS covers))")).alias("w"),
-    ).select("doc", "body", "w.hash", "w.covers")
+        F.explode_outer(F.expr(f"transform(CASE WHEN size(lines) < {window} THEN array() ELSE sequence(1, size(lines) - {window - 1}) END, k -> struct(md5(cast(array_join(transform(slice(lines, k, {window}), x -> x.line), '\\n') AS binary)) AS hash, transform(slice(lines, k, {window}), x -> x.i) AS covers))")).alias("w"),
+    ).select("doc", "body", "w.hash", "w.covers").where("hash IS NOT NULL")
     place = F.struct("doc", "body", F.col("covers")[0].alias("at"))
     firsts = windows.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hash", "first")
     later = windows.join(firsts, "hash").where(place > F.col("first"))
