@@ -140,8 +140,8 @@ def oracle_ctes(source: str, prefix: str = "bd") -> str:
     return f"""{wins("d", "doc_id", source)},{wins("i0", "item_id", "benchmark")},
 {prefix}_i AS (SELECT * FROM {prefix}_i0 WHERE len(list_filter(g, lambda x: NOT contains(x, '<'))) >= {MIN_LITERALS}),
 {prefix}_n AS (SELECT k, count(*) AS n_windows FROM {prefix}_i GROUP BY k),
-{prefix}_h AS (SELECT d.k AS doc_id, d.body, i.k AS item_id, i.body AS ib, i.i AS at, list_zip(i.z, d.z) AS zz FROM {prefix}_d d JOIN {prefix}_i i ON d.g = i.g),
-{prefix}_f AS (SELECT doc_id, h.body, item_id, count(DISTINCT (ib, at)) AS n_found, any_value(n_windows) AS n_windows FROM {prefix}_h h JOIN {prefix}_n n ON h.item_id = n.k GROUP BY ALL HAVING count(DISTINCT (ib, at)) >= {MIN_SHARE} * any_value(n_windows)),
+{prefix}_h AS (SELECT d.k AS doc_id, d.body, i.k AS item_id, i.body AS ib, i.i AS pos, list_zip(i.z, d.z) AS zz FROM {prefix}_d d JOIN {prefix}_i i ON d.g = i.g),
+{prefix}_f AS (SELECT doc_id, h.body, item_id, count(DISTINCT (ib, pos)) AS n_found, any_value(n_windows) AS n_windows FROM {prefix}_h h JOIN {prefix}_n n ON h.item_id = n.k GROUP BY ALL HAVING count(DISTINCT (ib, pos)) >= {MIN_SHARE} * any_value(n_windows)),
 {prefix}_s AS (SELECT doc_id, body, item_id, s[1][1] AS kind, s[1][2] AS asked, s[2][2] AS said, count(*) AS n FROM (SELECT doc_id, body, item_id, unnest(zz) AS s FROM {prefix}_h SEMI JOIN {prefix}_f USING (doc_id, body, item_id)) WHERE contains(s[1][1], '<') GROUP BY ALL),
 {prefix}_c AS (SELECT doc_id, body, item_id, sum(usual) / sum(n) AS consistent FROM (SELECT doc_id, body, item_id, kind, asked, max(n) AS usual, sum(n) AS n FROM {prefix}_s GROUP BY ALL) GROUP BY ALL),
 {prefix}_out AS (SELECT f.doc_id, f.body, f.item_id, f.n_found, f.n_windows, coalesce(consistent, 1.0) AS consistent FROM {prefix}_f f LEFT JOIN {prefix}_c c ON f.doc_id = c.doc_id AND f.body = c.body AND f.item_id = c.item_id WHERE coalesce(consistent, 1.0) >= {MIN_CONSISTENT})"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regspark.llm import bpe, decontamination, line_dedup, quality_rules
+from regspark.llm import bpe, decontamination, line_dedup, quality_classifier, quality_rules
 from regspark.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_classifier.score(docs, quality_classifier.train(docs, labels)).select("doc_id", "score", "keep")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     return decontamination.contaminated(docs, benchmark).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_found", "n_windows", "consistent")
@@ -47,6 +52,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
+        "op3_quality_classifier": op3_quality_classifier,
         "op5_decontamination": op5_decontamination,
         "op6_bpe": op6_bpe,
         "op8_line_dedup": op8_line_dedup,
