@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regspark.llm import bpe, decontamination, line_dedup, quality_classifier, quality_rules
-from regspark.llm.common import table
+from regspark.llm import bpe, decontamination, line_dedup, quality_classifier, quality_rules, toxicity
+from regspark.llm.common import in_fold, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -49,6 +49,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, removed_col="n_removed").select("doc_id", "n_removed", "text")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), in_fold(F.col("doc_id"), 3, 1)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
@@ -56,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontamination": op5_decontamination,
         "op6_bpe": op6_bpe,
         "op8_line_dedup": op8_line_dedup,
+        "op10_toxicity": op10_toxicity,
     }
 
 
