@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regspark.llm import bpe, decontamination, line_dedup, quality_classifier, quality_rules, toxicity
+from regspark.llm import bpe, decontamination, language_id, line_dedup, quality_classifier, quality_rules, toxicity
 from regspark.llm.common import in_fold, table
 
 
@@ -28,6 +28,12 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.train(docs, labels)).select("doc_id", "score", "keep")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), in_fold(F.col("doc_id"), 4, 2)
+    model = language_id.train(docs.where(~held_out), tokenizer_file("piece_bpe_32k.model"))
+    return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     return decontamination.contaminated(docs, benchmark).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_found", "n_windows", "consistent")
@@ -59,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
         "op3_quality_classifier": op3_quality_classifier,
+        "op4_language_id": op4_language_id,
         "op5_decontamination": op5_decontamination,
         "op6_bpe": op6_bpe,
         "op8_line_dedup": op8_line_dedup,
