@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regspark.llm import bpe, decontamination, language_id, line_dedup, quality_classifier, quality_rules, toxicity
+from regspark.llm import bpe, decontamination, language_id, line_dedup, lm_scoring, quality_classifier, quality_rules, toxicity
 from regspark.llm.common import in_fold, table
 
 
@@ -18,6 +18,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), in_fold(F.col("doc_id"), 7, 2)
+    learned = docs.where(~held_out)
+    counts = lm_scoring.count_words(learned)
+    return lm_scoring.score(docs, lm_scoring.train(learned, counts), counts).withColumn("held_out", held_out)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -63,6 +70,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op2_quality_rules": op2_quality_rules,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_language_id": op4_language_id,
