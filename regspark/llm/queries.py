@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regspark.llm import bpe, decontamination, language_id, line_dedup, lm_scoring, quality_classifier, quality_rules, toxicity
+from regspark.llm import bpe, decontamination, language_id, line_dedup, lm_scoring, minhash, quality_classifier, quality_rules, toxicity
 from regspark.llm.common import in_fold, table
 
 
@@ -57,6 +57,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs, removed_col="n_removed").select("doc_id", "n_removed", "text")
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_decontamination": op5_decontamination,
         "op6_bpe": op6_bpe,
+        "op7_minhash": op7_minhash,
         "op8_line_dedup": op8_line_dedup,
         "op10_toxicity": op10_toxicity,
     }
