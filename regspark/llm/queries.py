@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regspark.llm import bpe, decontamination, language_id, line_dedup, lm_scoring, minhash, quality_classifier, quality_rules, toxicity
+from regspark.llm import bpe, decontamination, language_id, line_dedup, lm_scoring, minhash, quality_classifier, quality_rules, suffix_dedup, toxicity
 from regspark.llm.common import in_fold, table
 
 
@@ -66,6 +66,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, removed_col="n_removed").select("doc_id", "n_removed", "text")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), in_fold(F.col("doc_id"), 3, 1)
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
@@ -82,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe": op6_bpe,
         "op7_minhash": op7_minhash,
         "op8_line_dedup": op8_line_dedup,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_toxicity": op10_toxicity,
     }
 
