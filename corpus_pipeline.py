@@ -1,5 +1,55 @@
-"""The training-corpus pipeline: documents in, cleaned and tokenised documents out."""
+"""The training-corpus pipeline: documents in, cleaned and tokenised documents out.
+
+Stages: reject low quality, remove repeated lines, keep one document of each group of near
+duplicates, drop documents that leak the benchmark, encode with a byte-level vocabulary. Each
+takes (spark, docs, sf_dir); all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
-STAGES = []
+
+from pyspark.sql import DataFrame, SparkSession
+
+from regspark.llm import bpe, decontamination, line_dedup, minhash, quality_classifier
+from regspark.llm.common import durable, table
+from regspark.llm.queries import tokenizer_file
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.keep_one(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids (little-endian unsigned 32-bit) and decoded text."""
+    return bpe.encode_decode(docs, tokenizer_file("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("line_dedup", lines),
+    ("minhash_near_dedup", near_duplicates),
+    ("decontamination", decontaminated),
+    ("bpe", encoded),
+]
+
+#: Training a classifier, aligning candidates and merging byte pairs are not SQL; a brute-force version is in tests/llm.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of `sf_dir`, each written before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
