@@ -64,7 +64,7 @@ def date(c: Column, last_year: int = 2100) -> Column:
 
     def made(year: Column, month: Column, day: Column) -> Column:
         text = F.format_string("%04d-%02d-%02d", year, month.cast("int"), day.cast("int"))
-        return F.when(year.between(1800, last_year), F.try_to_date(text, F.lit("yyyy-MM-dd")))
+        return F.when(year.between(1800, last_year), F.try_to_date(text, "yyyy-MM-dd"))
 
     day_first, year_first = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4}|\d{2})$", r"^(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})"
     named = r"^(\d{1,2})[\s/.\-]+([A-Za-zÁÉÍÓÚáéíóú]{3,10})[\s/.\-]+(\d{4}|\d{2})$"
