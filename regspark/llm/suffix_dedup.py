@@ -212,20 +212,24 @@ def _counted(contents: DataFrame) -> DataFrame:
 
     Windows are told apart by how far before the anchor they start, and their hash. All windows
     of a block (BLOCK neighbouring distances) hold the same middle part; only blocks whose
-    middle part two runs share have their windows counted one by one.
+    middle part two runs share can hold a repeat. Of blocks that are equal as a whole one
+    stands for all; its windows, and those of the blocks that are like no other, are counted.
     """
 
     def middles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for a, r, content in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                h, lead = Hashed(content), 0
+                h = Hashed(content)
                 lead = _lead(h, a)
                 block = np.arange((lead - (h.n - LENGTH)) // BLOCK, lead // BLOCK + 1)
-                middle = h.parts(lead - BLOCK * block, lead - BLOCK * block - BLOCK + 1 + LENGTH)
-                out += zip([a] * len(block), [r] * len(block), block.tolist(), middle.view(np.int64).tolist())
-            columns = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=["anchor", "run", "block", "middle"])
+                first, last = lead - BLOCK * block - BLOCK + 1, lead - BLOCK * block
+                inside = (first >= 0) & (last + LENGTH <= h.n)
+                whole = np.zeros(len(block), dtype=np.int64)
+                whole[inside] = h.parts(first[inside], last[inside] + LENGTH).view(np.int64)
+                out += zip([a] * len(block), [r] * len(block), block.tolist(), first.tolist(), h.parts(last, first + LENGTH).view(np.int64).tolist(), whole.tolist(), inside.tolist())
+            columns = list(zip(*out)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()))], names=["anchor", "run", "block", "first", "middle", "whole", "inside"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,12 +242,16 @@ def _counted(contents: DataFrame) -> DataFrame:
             columns = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=["anchor", "run", "first", "lead", "hash"])
 
-    blocks = contents.mapInArrow(middles, "anchor long, run long, block int, middle long")
+    blocks = durable(contents.mapInArrow(middles, "anchor long, run long, block int, first int, middle long, whole long, inside boolean"))
     shared = blocks.groupBy("anchor", "block", "middle").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    wanted = blocks.join(shared, ["anchor", "block", "middle"], "left_semi").groupBy("anchor", "run").agg(F.collect_list("block").alias("wanted"))
+    open_ = blocks.join(shared, ["anchor", "block", "middle"], "left_semi")
+    equal = open_.where("inside").groupBy("anchor", "block", "whole").agg(F.count("*").alias("n"), F.min("run").alias("stands")).where("n > 1").drop("n")
+    judged = durable(open_.join(equal.withColumn("inside", F.lit(True)), ["anchor", "block", "whole", "inside"], "left"))
+    full = judged.where("stands IS NOT NULL").select("anchor", "run", "first", (F.col("first") + BLOCK - 1).alias("last"))
+    wanted = judged.where("stands IS NULL OR stands = run").groupBy("anchor", "run").agg(F.collect_list("block").alias("wanted"))
     single = contents.join(wanted, ["anchor", "run"]).select("anchor", "run", "content", "wanted").mapInArrow(windows, "anchor long, run long, first int, lead int, hash long")
     again = single.groupBy("anchor", "lead", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return single.join(again, ["anchor", "lead", "hash"], "left_semi").select("anchor", "run", "first", F.col("first").alias("last"))
+    return full.unionByName(single.join(again, ["anchor", "lead", "hash"], "left_semi").select("anchor", "run", "first", F.col("first").alias("last")))
 
 
 def _lead(h: Hashed, anchor: int) -> int:
