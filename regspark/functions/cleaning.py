@@ -60,7 +60,6 @@ def _full_year(y: Column) -> Column:
 
 def date(c: Column, last_year: int = 2100) -> Column:
     """Day first (d/m/y), year first, Spanish month names, spreadsheet serials; impossible dates are NULL."""
-    s = nullify(c)
 
     def made(year: Column, month: Column, day: Column) -> Column:
         text = F.format_string("%04d-%02d-%02d", year, month.cast("int"), day.cast("int"))
@@ -68,10 +67,15 @@ def date(c: Column, last_year: int = 2100) -> Column:
 
     day_first, year_first = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4}|\d{2})$", r"^(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})"
     named = r"^(\d{1,2})[\s/.\-]+([A-Za-zÁÉÍÓÚáéíóú]{3,10})[\s/.\-]+(\d{4}|\d{2})$"
-    g = lambda p, k: F.regexp_extract(s, p, k)
-    month = F.element_at(F.create_map(*(x for k, v in MONTHS.items() for x in (F.lit(k), F.lit(v)))), F.upper(F.substring(deaccent(g(named, 2)), 1, 3)))
-    serial = F.when(s.rlike(r"^\d{1,5}$") & s.cast("int").between(1, 80000) & (s.cast("int") != 60), F.date_add(F.lit("1899-12-30").cast("date"), s.cast("int")))
-    return F.when(s.rlike(day_first), made(_full_year(g(day_first, 3)), g(day_first, 2), g(day_first, 1))).when(s.rlike(year_first), made(g(year_first, 1).cast("int"), g(year_first, 2), g(year_first, 3))).when(s.rlike(named) & month.isNotNull(), made(_full_year(g(named, 3)), month, g(named, 1))).otherwise(serial)
+
+    def read(s: Column) -> Column:
+        g = lambda p, k: F.regexp_extract(s, p, k)
+        month = F.element_at(F.create_map(*(x for k, v in MONTHS.items() for x in (F.lit(k), F.lit(v)))), F.upper(F.substring(deaccent(g(named, 2)), 1, 3)))
+        serial = F.when(s.rlike(r"^\d{1,5}$") & s.cast("int").between(1, 80000) & (s.cast("int") != 60), F.date_add(F.lit("1899-12-30").cast("date"), s.cast("int")))
+        return F.when(s.rlike(day_first), made(_full_year(g(day_first, 3)), g(day_first, 2), g(day_first, 1))).when(s.rlike(year_first), made(g(year_first, 1).cast("int"), g(year_first, 2), g(year_first, 3))).when(s.rlike(named) & month.isNotNull(), made(_full_year(g(named, 3)), month, g(named, 1))).otherwise(serial)
+
+    # The cleaned text is an array's only element, so that it is worked out once and not in each branch.
+    return F.get(F.transform(F.array(nullify(c)), read), F.lit(0))
 
 
 def number(c: Column) -> Column:
