@@ -154,9 +154,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pool = pool.orderBy(F.xxhash64("_id"), "_id").limit(max_unlabelled).withColumn("_y", F.lit(None).cast("double"))
     chosen = F.broadcast(known.unionByName(pool))  # bounded by the two limits
     rows = docs.join(chosen, docs[id_col] == chosen["_id"]).dropDuplicates(["_id"])
-    got = rows.select("_id", "_y", F.array(*text_view(F.col(text_col))).alias("t"), F.array(*meta_view(docs, source_col, lang_col, length_col)).alias("m")).orderBy("_id").toPandas()
-    t = np.array(got["t"].tolist(), dtype=float).reshape(len(got), -1)
-    m = np.array(got["m"].tolist(), dtype=float).reshape(len(got), -1)
+    views = text_view(F.col(text_col)), meta_view(docs, source_col, lang_col, length_col)
+    got = rows.select("_id", "_y", *(F.array(*v).alias(name) for name, v in zip("tm", views))).orderBy("_id").toPandas()
+    t, m = (np.array(got[name].tolist(), dtype=float).reshape(len(got), len(v)) for name, v in zip("tm", views))
     y = got["_y"].to_numpy(dtype=float)
     has = ~np.isnan(y)
     hold = np.arange(int(has.sum())) % 4 == 0
