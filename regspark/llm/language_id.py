@@ -11,7 +11,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -171,18 +171,18 @@ def fit_language(counts: Counter, vocabulary: dict[str, int], rounds: int = ROUN
 
 
 def train(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_per_lang: int = MAX_PER_LANG) -> Model:
-    """Fit on at most `max_per_lang` documents of each language with a text and a language, the
-    least by a hash of the id; of more than MAX_LANGS languages the most frequent are learned,
-    and of each language's sample the MAX_WORDS most frequent words."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    """Fit on at most `max_per_lang` documents of each language, the least by a hash of the id;
+    rows with a null id or language are not learned from. Of more than MAX_LANGS languages the
+    most frequent are learned, and of each sample the MAX_WORDS most frequent words."""
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     share = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
     if not share:
         return Model(path, (), np.zeros((0, 0)), np.zeros(0))
-    order = [F.xxhash64(id_col), F.xxhash64(text_col)]
-    parts = [known.where(F.col(lang_col) == r["lang"]).orderBy(*order).limit(max_per_lang).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")) for r in share]
-    sample = parts[0]
-    for part in parts[1:]:
-        sample = sample.unionByName(part)
+    # Only ids are sorted; the texts of the chosen ones are fetched afterwards.
+    parts = [known.where(F.col(lang_col) == r["lang"]).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).orderBy(F.xxhash64("_id"), "_id").limit(max_per_lang) for r in share]
+    chosen = reduce(DataFrame.unionByName, parts).distinct()
+    sample = known.join(F.broadcast(chosen), (F.col(id_col) == F.col("_id")) & (F.col(lang_col) == F.col("_lang")))  # bounded by MAX_LANGS x max_per_lang
+    sample = sample.select("_id", F.col("_lang").alias("lang"), F.col(text_col).alias("text")).dropDuplicates(["_id", "lang"])
     counts: dict[str, Counter] = {r["lang"]: Counter() for r in share}
     for row in sample.toLocalIterator():
         counts[row["lang"]].update(text_words(row["text"]))
