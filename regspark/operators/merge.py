@@ -89,7 +89,7 @@ def header_detail(old_detail: DataFrame, new_detail: DataFrame, header: list[str
     the old rows. Unknown accounts are not inserted.
     """
     if known is not None:
-        new_detail = new_detail.join(F.broadcast(known.select(account)), account, "left_semi")
+        new_detail = new_detail.join(known.select(account), account, "left_semi")
     cells = F.array_sort(F.collect_list(F.struct(F.col(account), F.col(value).cast("string"))))
     marks = lambda d, name: d.groupBy(*header).agg(F.md5(F.to_json(cells).cast("binary")).alias(name))
     changed = marks(new_detail, "new").join(marks(old_detail, "old"), header, "left").where("NOT new <=> old").select(*header)

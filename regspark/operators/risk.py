@@ -18,9 +18,9 @@ def presumptive_base(magnitude: DataFrame, companies: DataFrame, specific: DataF
     back to its general coefficient by itself. Only regulated years count; amounts that are not
     positive give no base. On equal bases income comes first, then costs.
     """
-    m = magnitude.join(F.broadcast(regulated), "year", "left_semi").join(companies.select("company", "division", "section", "nation", "simplified"), "company")
+    m = magnitude.join(regulated, "year", "left_semi").join(companies.select("company", "division", "section", "nation", "simplified"), "company")
     wide = lambda t, keys, name: t.groupBy(*keys).agg(*(F.max(F.when(F.col("base") == b, F.col("coefficient"))).alias(f"{name}_{b}") for b in BASES))
-    m = m.join(F.broadcast(wide(specific, ["year", "nation"], "s")), ["year", "nation"], "left").join(F.broadcast(wide(general, ["year"], "g")), "year", "left")
+    m = m.join(wide(specific, ["year", "nation"], "s"), ["year", "nation"], "left").join(wide(general, ["year"], "g"), "year", "left")
     amount = {"income": F.col("income"), "costs": F.col("cost_of_sales") + F.col("expenses"), "assets": F.col("assets")}
     bases = {f"base_{b}": F.when(amount[b] > 0, (amount[b].cast("decimal(18,2)") * F.coalesce(f"s_{b}", f"g_{b}")).cast("decimal(24,6)")) for b in BASES}
     m = m.withColumns(bases).withColumn("presumed", F.greatest(*bases))

@@ -69,7 +69,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """company, name, tax_id, section (region), division (nation), segment, capital, grp."""
-    nation = F.broadcast(read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")))
+    nation = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     c = read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return c.select(
         F.col("c_custkey").alias("company"),

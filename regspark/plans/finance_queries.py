@@ -94,7 +94,7 @@ def pl_statement_detail(spark, sf_dir):
     concept = F.explode(F.array(*(F.struct(F.lit(code).alias("account"), F.lit(c).alias("concept")) for c, (code, _) in CONCEPTS.items())))
     names = spark.range(1).select(concept.alias("x")).select("x.*")
     d = statements(spark, sf_dir).where("form = 1 AND year = 1997")
-    return d.join(F.broadcast(names), "account", "left").select("company", "account", "concept", "value")
+    return d.join(names, "account", "left").select("company", "account", "concept", "value")
 
 
 def fn_variation_pct(spark, sf_dir):

@@ -151,7 +151,7 @@ def ag_orphans(spark, sf_dir):
 
 def jn_semi_year(spark, sf_dir):
     years = read(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year")).distinct().where("year <> 2001")
-    return _version(spark, sf_dir, 1).join(F.broadcast(years), "year", "left_semi").groupBy("year").agg(F.count("*").alias("n"))
+    return _version(spark, sf_dir, 1).join(years, "year", "left_semi").groupBy("year").agg(F.count("*").alias("n"))
 
 
 def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
