@@ -262,7 +262,7 @@ def _lead(h: Hashed, anchor: int) -> int:
 
 def _repeats(rows: DataFrame) -> DataFrame:
     """(node, first, last): repeated windows in the distinct texts of rows (id, node, raw)."""
-    every = _all_runs(rows.where(F.octet_length("raw") >= LENGTH)).groupBy("anchor", "run", "node").agg(F.max("starts").alias("starts"), F.max("width").alias("width"))
+    every = durable(_all_runs(rows.where(F.octet_length("raw") >= LENGTH)).groupBy("anchor", "run", "node").agg(F.max("starts").alias("starts"), F.max("width").alias("width")))
     by_run = every.groupBy("anchor", "run").agg(F.sum(F.size("starts")).alias("n"), F.min(F.struct("node", F.col("starts")[0].alias("start"), "width")).alias("one"))
     by_anchor = by_run.groupBy("anchor").agg(F.count("*").alias("n_runs"))
     chosen = durable(by_run.join(by_anchor, "anchor").where("n > 1 OR n_runs > 1"))
