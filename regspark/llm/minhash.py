@@ -7,9 +7,10 @@ follows edit similarity. Texts that agree on one of several sketches are candida
 alignment of their words decides.
 
 Exact copies are folded into one representative first. In a group of candidates everybody is
-aligned with the group's leader; those that it does not resemble go on with a leader of their
-own, round by round, so a group of thousands of near copies gives thousands of pairs and not
-millions. Links become classes by label propagation in DataFrame joins.
+aligned with the group's leader, so that most families are known and a group of thousands of
+near copies gives thousands of pairs and not millions. Then all pairs of different families are
+made; in large groups by way of rare words, since texts within the allowed edits must share one.
+Links become classes by label propagation in DataFrame joins.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ KMER = 5
 SKETCHES, SKETCH_KMERS = 24, 3
 #: Least similarity: one less the edits over the words of the longer text.
 MIN_SIMILARITY = 0.8
-#: Groups of more texts are resolved by leaders, as many in each round as listed (then the last
-#: number), until so few are left that all pairs are aligned.
-PAIRED_GROUP, LEADERS = 128, (1, 16, 64)
+#: In groups of more texts, pairs are made by way of rare words.
+PAIRED_GROUP = 128
+#: Words are counted, and a text's words compared before alignment, in so many classes by hash.
+WORD_COUNTERS, WORD_BINS = 1 << 16, 64
 #: The groups of so many sketches are looked at first, so that most families are known before the rest.
 FIRST_SKETCHES = 4
 
@@ -206,21 +208,89 @@ def _every_pair(groups: DataFrame) -> DataFrame:
     return pairs.select("p.*").where("x IS NOT NULL")
 
 
+def _numbered(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's words as similar() splits them, and of each with the number of its earlier occurrences."""
+    plain = word_hashes(" ".join(text.split()))
+    order = np.argsort(plain, kind="stable")
+    place = np.arange(len(plain))
+    new = np.concatenate([[True], plain[order][1:] != plain[order][:-1]])[: len(plain)]
+    nth = np.empty(len(plain), dtype=np.uint64)
+    nth[order] = place - np.maximum.accumulate(np.where(new, place, 0))
+    with np.errstate(over="ignore"):
+        return plain, _mix(plain + nth * _ODD)
+
+
+def _rare_pairs(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """All pairs of different families in groups of any size whose words allow a link.
+
+    Nothing that similar() accepts is left out: of two texts whose words are in one order, each
+    loses at most a fifth of the longer one's words to the other, so they share one of their
+    first words, as many as that and one more. The order has rare words first. Pairs that share
+    such a word and a group, and whose word bags are near enough, are given.
+    """
+    nodes = groups.groupBy("node").agg(F.first("label").alias("label"), F.collect_set(F.struct("sketch", "band")).alias("groups"))
+    theirs = durable(nodes.join(texts, "node"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(WORD_COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                total += np.bincount(np.unique(_numbered(text)[1] % np.uint64(WORD_COUNTERS)).astype(np.int64), minlength=WORD_COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["counter", "n"])
+
+    counted = theirs.select("text").mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect()
+    often = np.zeros(WORD_COUNTERS, dtype=np.int64)
+    for r in counted:
+        often[r["counter"]] = r["n"]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, firsts, bins = [], [], [], []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                plain, numbered = _numbered(text)
+                take = int((1 - MIN_SIMILARITY) * len(plain) + 1e-9) + 1
+                rare = numbered[np.lexsort((numbered, often[(numbered % np.uint64(WORD_COUNTERS)).astype(np.int64)]))][:take]
+                nodes.append(node)
+                sizes.append(len(plain))
+                firsts.append(rare.view(np.int64))
+                bins.append(np.bincount((plain % np.uint64(WORD_BINS)).astype(np.int64), minlength=WORD_BINS).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int32()))], names=["node", "n", "firsts", "bins"])
+
+    read = theirs.select("node", "text").mapInArrow(first, "node long, n int, firsts array<long>, bins array<int>")
+    known = durable(read.join(theirs.select("node", "label", "groups"), "node"))
+    words = known.select("node", "n", "label", F.explode("firsts").alias("word"))
+    mixed = words.groupBy("word").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("word")
+    words = words.join(mixed, "word")
+    other = words.select("word", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "label")))
+    most = F.expr(f"CAST({1 - MIN_SIMILARITY:.6f}D * greatest(n, n_b) + 1e-6D AS INT)")
+    met = words.join(other, "word").where((F.col("node") < F.col("node_b")) & (F.col("label") != F.col("label_b")) & (F.abs(F.col("n") - F.col("n_b")) <= most))
+    met = met.select(F.col("node").alias("x"), F.col("node_b").alias("y")).distinct()
+    x = known.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("label_x"), F.col("groups").alias("groups_x"), F.col("bins").alias("bins_x"))
+    y = known.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("label").alias("label_y"), F.col("groups").alias("groups_y"), F.col("bins").alias("bins_y"))
+
+    def lost(p: str, q: str):
+        return F.aggregate(F.zip_with(p, q, lambda i, j: F.greatest(i - j, F.lit(0))), F.lit(0), lambda s, v: s + v)
+
+    most = F.expr(f"CAST({1 - MIN_SIMILARITY:.6f}D * greatest(nx, ny) + 1e-6D AS INT)")
+    met = met.join(x, "x").join(y, "y").where(F.arrays_overlap("groups_x", "groups_y") & (lost("bins_x", "bins_y") <= most) & (lost("bins_y", "bins_x") <= most))
+    return met.select("x", "y", "nx", "ny", "label_x", "label_y")
+
+
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members (sketch, band, turn, node, n_words) with the family that each is known to belong to."""
+    """Members (sketch, band, node, n_words) with the family that each is known to belong to."""
     if labels is None:
         return members.withColumn("label", F.col("node"))
-    return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("sketch", "band", "turn", "node", "n_words", "label")
+    return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("sketch", "band", "node", "n_words", "label")
 
 
 def links(rows: DataFrame) -> DataFrame:
     """(a, b): verified links between the distinct texts of rows (node, text).
 
-    A group is a set of texts with one sketch and, where it is large, of like length. Round by
-    round a group's leaders (least by a hash of the text, so mostly the same ones in all groups
-    of one family) are aligned with its members; leaders, and members that now belong to a
-    leader's family, leave the group, and the rest go on until few enough are left to align all
-    pairs. Texts that are known to be of one family are not aligned with each other again, so
+    A group is a set of texts with one sketch and, where it is large, of like length. First a
+    group's leader (least by a hash of the text, so mostly the same one in all groups of one
+    family) is aligned with its members, which makes most families known. Then every two texts
+    of a group that are not known to be of one family are candidates, whatever the group's size;
     a family of thousands of near copies costs a few alignments for each of them.
     """
     members = durable(_sketched(rows).groupBy("sketch", "node").agg(F.max("n_words").alias("n_words"), F.max("turn").alias("turn")))
@@ -230,48 +300,26 @@ def links(rows: DataFrame) -> DataFrame:
     band = F.floor(F.log(F.col("n_words").cast("double")) / float(np.log(1 / MIN_SIMILARITY)) + 1e-9)
     bands = F.explode(F.when(F.col("size") > PAIRED_GROUP, F.array(band, band + 1)).otherwise(F.array(F.lit(-1).cast("long"))))
     groups = members.select("sketch", bands.alias("band"), "turn", "node", "n_words")
-    left, labels, tried, few, step = groups.where(F.col("turn") < FIRST_SKETCHES), None, None, None, 0
-    while True:
-        known = _labelled(left, labels)
-        leaders = LEADERS[min(max(step - 1, 0), len(LEADERS) - 1)]
-        sized = known.groupBy("sketch", "band").agg(
-            F.count("*").alias("size"),
-            (F.min("label") != F.max("label")).alias("mixed"),
-            F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n_words", "label")) for k in range(leaders)))).alias("lead"),
-        )
-        grouped = durable(known.join(sized.where("mixed"), ["sketch", "band"]))
-        large = grouped
-        if step:
-            small = grouped.where(F.col("size") <= PAIRED_GROUP).select("sketch", "band", "turn", "node", "n_words")
-            few = small if few is None else few.unionByName(small)
-            large = grouped.where(F.col("size") > PAIRED_GROUP)
-        done = step > 0 and large.isEmpty()
-        if done:
-            last = _labelled(few, labels)
-            mixed = last.groupBy("sketch", "band").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").drop("mixed")
-            pairs = _every_pair(last.join(mixed, ["sketch", "band"], "left_semi"))
-        else:
-            led = large.select("sketch", "band", "turn", "node", "n_words", "label", F.explode("lead").alias("lead"))
-            pairs = led.select(F.col("node").alias("x"), F.col("lead.node").alias("y"), F.col("n_words").alias("nx"), F.col("lead.n_words").alias("ny"), F.col("label").alias("label_x"), F.col("lead.label").alias("label_y"))
-        pairs = _comparable(pairs)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        checked = durable(_aligned(pairs, texts))
-        tried = checked if tried is None else tried.unionByName(checked)
-        met = tried.where("ok").select("a", "b")
-        if done:
-            return met
-        step += 1
-        if step <= 2:  # families grow little after that; later rounds go by the links themselves
-            labels = components(met).select("node", "label")
-        if step == 1:
-            left = groups
-            continue
-        ends = led.select("sketch", "band", "turn", "node", "n_words", F.col("lead.node").alias("lead"), F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
-        ends = ends.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(labels.select(F.col("node").alias("lead"), F.col("label").alias("lead_label")), "lead", "left")
-        ends = ends.join(met.withColumn("met", F.lit(True)), ["a", "b"], "left")
-        stays = ends.groupBy("sketch", "band", "turn", "node", "n_words").agg(F.bool_or((F.col("label") == F.coalesce("lead_label", "lead")) | F.col("met").isNotNull()).alias("gone")).where("NOT gone")
-        left = durable(stays.drop("gone"))
+    labels, tried = None, None
+    for left in (groups.where(F.col("turn") < FIRST_SKETCHES), groups):
+        known = _labelled(left.drop("turn"), labels)
+        led = known.groupBy("sketch", "band").agg((F.min("label") != F.max("label")).alias("mixed"), F.min(F.struct(F.xxhash64("node", F.lit(0)).alias("h"), "node", "n_words", "label")).alias("lead"))
+        led = known.join(led.where("mixed"), ["sketch", "band"])
+        pairs = _comparable(led.select(F.col("node").alias("x"), F.col("lead.node").alias("y"), F.col("n_words").alias("nx"), F.col("lead.n_words").alias("ny"), F.col("label").alias("label_x"), F.col("lead.label").alias("label_y")))
+        tried = _tried(pairs, tried, texts)
+        labels = components(tried.where("ok").select("a", "b")).select("node", "label")
+    known = durable(_labelled(groups.drop("turn"), labels))
+    sized = known.groupBy("sketch", "band").agg(F.count("*").alias("size"), (F.min("label") != F.max("label")).alias("mixed")).where("mixed")
+    grouped = durable(known.join(sized, ["sketch", "band"]))
+    pairs = _comparable(_every_pair(grouped.where(F.col("size") <= PAIRED_GROUP)).unionByName(_rare_pairs(grouped.where(F.col("size") > PAIRED_GROUP), texts)))
+    return _tried(pairs, tried, texts).where("ok").select("a", "b")
+
+
+def _tried(pairs: DataFrame, tried: DataFrame | None, texts: DataFrame) -> DataFrame:
+    """`tried` (a, b, ok) and the aligned rows of `pairs` that it has not."""
+    if tried is None:
+        return durable(_aligned(pairs, texts))
+    return tried.unionByName(durable(_aligned(pairs.join(tried, ["a", "b"], "left_anti"), texts)))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -245,6 +245,20 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_no_pair_of_a_large_group_is_left_out(spark, monkeypatch):
+    texts = []
+    for k in range(50):  # chains of four: each resembles the next one and no other
+        text = words(60, 1000 + k)
+        for step in range(4):
+            text = text[: 12 * step] + words(12, 5000 + 4 * k + step) + text[12 * step + 12 :]
+            texts.append(" ".join(text))
+    rows = frame(spark, list(enumerate(texts)), "node long, text string")
+    monkeypatch.setattr(minhash, "_sketched", lambda rows: rows.selectExpr("7L AS sketch", "0 AS turn", "node", "size(split(text, ' ')) AS n_words"))
+    want = {(a, b) for a in range(200) for b in range(a) if minhash.similar(texts[a], texts[b])}
+    assert want == {(a, a - 1) for a in range(200) if a % 4}
+    assert {(r["b"], r["a"]) for r in minhash.links(rows).collect()} == want
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(100, 101)], "a long, b long")
     assert {(r["node"], r["label"]) for r in minhash.components(edges).collect()} == {(k, 0) for k in range(31)} | {(100, 100), (101, 100)}
