@@ -3,7 +3,8 @@
 Numbers, capitalised names and units become typed placeholders, so that a question asked again
 with other parameters keeps its template. Windows of five template tokens of the benchmark are
 joined by hash with those of the documents; then the slots of the matching windows are read
-from the raw words, and one value of a benchmark slot must always meet the same document value.
+from the raw words, and one value of a benchmark slot must always meet the same document value,
+in the whole document or in one occurrence of the item.
 """
 
 from __future__ import annotations
@@ -11,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regspark.llm.common import WORD_BREAK_PATTERN, fresh
+from regspark.llm.common import WORD_BREAK_PATTERN, durable, fresh
 
 WINDOW = 5
 #: Shares of an item's windows that must be found, and of slot uses that must be consistent.
 MIN_SHARE = MIN_CONSISTENT = 0.8
+#: Words inserted or left out may shift places within one occurrence by twice as many.
+SHIFT = WINDOW - 1
 #: Windows with fewer tokens that are not placeholders say too little and are not searched for.
 MIN_LITERALS = 2
 #: The benchmark's windows are broadcast only if its texts have at most so many characters.
@@ -71,7 +74,10 @@ def contaminated(
     one pair. n_found of the n_windows distinct places of searched windows in the item occur in
     the document, a share of at least `min_share`; `consistent` is the share of slot uses whose
     document value is the usual one for the item's value, 1.0 without slots, and is at least
-    `min_consistent`. Null texts match nothing, nor do items of fewer than five tokens or with
+    `min_consistent`. A document that falls short as a whole is judged by each occurrence: the
+    windows of one of the item's texts at places that differ by one distance, give or take SHIFT,
+    which must hold `min_share` of that text's windows; `consistent` is then that of the best
+    one. So an item that leaks twice with different values is found. Null texts match nothing, nor do items of fewer than five tokens or with
     placeholders only. Rows of the benchmark with one id are one item with all their windows.
     Either table may be empty (no pairs). Texts are searched whole, at any length.
     """
@@ -98,17 +104,32 @@ def contaminated(
     again = found.join(with_slots, found["id"].eqNullSafe(with_slots["id"]) & (found["body"] == with_slots["body"])).drop(with_slots["id"], with_slots["body"])
     again = again.dropDuplicates(["id", "body", "item"]).withColumn("said", _slots(F.col("text")))
     again = again.select("id", "body", "item", "n_found", "n_windows", F.explode_outer("places").alias("p"), "said")
-    again = again.select("id", "body", "item", "n_found", "n_windows", F.col("p.item_body").alias("item_body"), F.col("p.at").alias("at"), F.slice("said", F.col("p.pos") + 1, F.lit(WINDOW)).alias("said"))
+    again = again.select("id", "body", "item", "n_found", "n_windows", F.col("p.item_body").alias("item_body"), F.col("p.at").alias("at"), F.col("p.pos").alias("pos"), F.slice("said", F.col("p.pos") + 1, F.lit(WINDOW)).alias("said"))
     asked = items.select(F.col("item").alias("_item"), F.col("item_body").alias("_body"), F.col("at").alias("_at"), "asked")
     uses = again.join(near(asked), again["item"].eqNullSafe(asked["_item"]) & (again["item_body"] == asked["_body"]) & (again["at"] == asked["_at"]))
     same = F.transform("asked", lambda x: x["token"]) == F.transform("said", lambda x: x["token"])
-    slot = F.explode_outer(F.filter(F.zip_with("asked", "said", lambda a, s: F.struct(a["token"].alias("kind"), a["raw"].alias("asked"), s["raw"].alias("said"))), lambda x: x["kind"].contains("<"))).alias("slot")
-    uses = uses.where(same).select("id", "body", "item", "n_found", "n_windows", slot)
+    slots = F.filter(F.zip_with("asked", "said", lambda a, s: F.struct(a["token"].alias("kind"), a["raw"].alias("asked"), s["raw"].alias("said"))), lambda x: x["kind"].contains("<"))
     group = ["id", "body", "item", "n_found", "n_windows"]
+    uses = durable(uses.where(same).select(*group, "item_body", "at", "pos", slots.alias("slots")))
+    judged = _consistency(uses, group)
+    weak = judged.where(F.col("consistent") < min_consistent).select(*(F.col(c).alias(f"_{c}") for c in ("id", "body", "item")))
+    unsettled = uses.join(weak, uses["id"].eqNullSafe(weak["_id"]) & (uses["body"] == weak["_body"]) & uses["item"].eqNullSafe(weak["_item"]), "left_semi")
+    shift = F.expr(f"pos - at - {SHIFT}"), F.expr(f"pos - at + {SHIFT}")
+    placed = unsettled.select(*group, "item_body", "at", "pos", "slots", F.explode(F.sequence(*shift)).alias("start"))
+    nearest = placed.groupBy(*group, "item_body", "start", "at").agg(F.min(F.struct(F.abs(F.expr("pos - at - start")).alias("off"), "pos", "slots"))["slots"].alias("slots"))
+    occurrences = nearest.groupBy(*group, "item_body", "start").agg(F.count("*").alias("n_at"), F.flatten(F.collect_list("slots")).alias("slots"))
+    per_text = searched.groupBy(F.col("item").alias("_item"), F.col("item_body").alias("_body")).agg(F.count_distinct("at").alias("n_text"))
+    occurrences = occurrences.join(near(per_text), occurrences["item"].eqNullSafe(per_text["_item"]) & (occurrences["item_body"] == per_text["_body"])).where(F.col("n_at") >= min_share * F.col("n_text"))
+    best = _consistency(occurrences, [*group, "item_body", "start"]).groupBy(*group).agg(F.max("consistent").alias("consistent"))
+    return judged.unionByName(best).where(F.col("consistent") >= min_consistent)
+
+
+def _consistency(uses: DataFrame, group: list[str]) -> DataFrame:
+    """The share of slot uses in a group whose document value is the usual one for the item's value; 1.0 without slots."""
+    uses = uses.select(*group, F.explode_outer("slots").alias("slot"))
     by_value = uses.groupBy(*group, "slot").agg(F.count_if(F.col("slot").isNotNull()).alias("n"))
     by_slot = by_value.groupBy(*group, F.col("slot.kind").alias("kind"), F.col("slot.asked").alias("asked")).agg(F.max("n").alias("usual"), F.sum("n").alias("n"))
-    judged = by_slot.groupBy(*group).agg(F.coalesce(F.try_divide(F.sum("usual"), F.sum("n")), F.lit(1.0)).alias("consistent"))
-    return judged.where(F.col("consistent") >= min_consistent)
+    return by_slot.groupBy(*group).agg(F.coalesce(F.try_divide(F.sum("usual"), F.sum("n")), F.lit(1.0)).alias("consistent"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

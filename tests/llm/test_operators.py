@@ -208,6 +208,20 @@ def test_decontamination(spark):
     assert decontamination.decontaminate(clashing(spark, "hash"), bench.limit(0)).columns == ["doc_id", "text", "hash"]
 
 
+def test_an_item_that_leaks_twice_is_found(spark):
+    item = "If Anna buys 12 apples for 30 dollars in Quito how much does every apple cost her today"
+    again = "If Peter buys 45 apples for 90 dollars in Lima how much does every apple cost her today"
+    third = again.replace("Peter", "Olga").replace("Lima", "Oslo").replace("45", "7")
+    broken = "Say Bob met Carl and Dora said that 1 plus 2 is more than 3 every single day"
+    twice = "Say Anna met Anna and Anna said that 5 plus 5 is more than 5 every single day"
+    other = "Say Ed met Fay and Gus said that 4 plus 6 is more than 8 every single day"
+    long = "much else is said " * 300
+    docs = [(1, f"{long}. {item} {long}. {again} {long}"), (2, f"{again} {third}"), (None, f"{again} {item} {third}"), (3, f"{broken} {long} {other}"), (4, f"{broken} {twice}"), (5, f"{item[:44]} {long} {again[44:]}")]
+    bench = frame(spark, [(10, item), (14, twice)], "item_id long, text string")
+    got = {(r["id"], r["item"]): r["consistent"] for r in decontamination.contaminated(frame(spark, docs), bench).collect()}
+    assert got == {(1, 10): 1.0, (2, 10): 1.0, (None, 10): 1.0, (4, 14): 1.0}
+
+
 # ---- MinHash -------------------------------------------------------------------------------
 
 
