@@ -219,8 +219,12 @@ def pl_review_queue(spark, sf_dir):
 
 def pl_presence_sheet(spark, sf_dir):
     """Each user's number of events and last five event ids."""
-    e = read(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list(F.struct("ts", "event_id")), False), 1, 5).alias("s"))
-    return e.select("user_id", "n", F.array_join(F.transform("s", lambda x: x["event_id"].cast("string")), ",").alias("last_five"))
+    e = read(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    n = e.groupBy("user_id").agg(F.count("*").alias("n"))
+    # Each task leaves out all but a user's last five before they are shuffled.
+    k = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    last = e.withColumn("k", k).where("k <= 5").groupBy(F.col("user_id").alias("_user")).agg(F.sort_array(F.collect_list(F.struct("k", "event_id"))).alias("s"))
+    return n.join(last, n["user_id"].eqNullSafe(last["_user"])).select("user_id", "n", F.array_join(F.transform("s", lambda x: x["event_id"].cast("string")), ",").alias("last_five"))
 
 
 def pl_payload_status(spark, sf_dir):

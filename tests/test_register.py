@@ -127,3 +127,11 @@ def test_queries_count_as_the_oracle(spark, name):
         con.execute(f"CREATE VIEW {t.split('.')[0]} AS SELECT * FROM read_parquet('{SF}/{t}')")
     expected = con.execute(entry.oracle_sql()[name]).fetchall()
     assert entry.queries()[name](spark, SF).count() == len(expected)
+
+
+def test_presence_sheet_gathers_no_more_than_it_shows(spark, tmp_path):
+    rows = [(1, k // 2, k) for k in range(2000)] + [(2, 5, 7), (None, 1, 8), (None, None, 9)]
+    spark.createDataFrame(rows, "user_id long, ts long, event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    df = entry.queries()["pl_presence_sheet"](spark, str(tmp_path))
+    assert {tuple(r) for r in df.collect()} == {(1, 2000, "1999,1998,1997,1996,1995"), (2, 1, "7"), (None, 2, "8,9")}
+    assert "WindowGroupLimit" in df._jdf.queryExecution().toString()  # rows are left out before they are gathered
