@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,19 +18,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and cut its lineage there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables, which all executors see.
 
-    The folder is the one named by spark.checkpoint.dir; only where that is unset
-    (tests on one machine) a temporary folder is taken.
+    It is the one named by spark.checkpoint.dir; only on one machine, where that is unset, a
+    temporary folder is taken.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="regspark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder as a checkpoint and cut its lineage there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder as Parquet and read it from there; dropped() removes it."""
+    spark = df.sparkSession
+    at = f"{shared_folder(spark)}/regspark-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that stored() wrote and that nothing reads any more."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def words(text: Column) -> Column:
     """The words of a text (null: none) as an array, in order."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK_PATTERN), lambda w: w != "")

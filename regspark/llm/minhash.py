@@ -1,42 +1,50 @@
 """Near-duplicate detection by order MinHash.
 
 A text is the sequence of its five-word k-mers, each labelled with its occurrence number. A
-sketch takes the few k-mers that come first under a seeded hash and keeps them in the order of
+sketch takes the two k-mers that come first under a seeded hash and keeps them in the order of
 the text, so that two texts agree on it only if they share those k-mers in that order, which
 follows edit similarity. Texts that agree on one of several sketches are candidates; a banded
-alignment of their words decides.
+alignment of their words decides. Short texts have sketches of single words besides, since one
+edit may change all of their k-mers.
 
 Exact copies are folded into one representative first. In a group of candidates everybody is
 aligned with the group's leader, so that most families are known and a group of thousands of
-near copies gives thousands of pairs and not millions. Then all pairs of different families are
-made; in large groups by way of rare words, since texts within the allowed edits must share one.
-Links become classes by label propagation in DataFrame joins.
+near copies gives thousands of pairs and not millions. Then every two texts of a group that are
+not known to be of one family are candidates, whatever the group's size; of these only pairs
+whose words rule a link out are left out. Links become classes by label propagation in
+DataFrame joins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regspark.llm.common import durable, fresh
+from regspark.llm.common import dropped, fresh, stored
 
 KMER = 5
 #: Sketches of a text, and the k-mers in each.
-SKETCHES, SKETCH_KMERS = 24, 3
+SKETCHES, SKETCH_KMERS = 60, 2
+#: Texts of at most so many words have further sketches, of so many single words each.
+SHORT_WORDS, SHORT_SKETCHES, SHORT_KMERS = 128, 8, 3
 #: Least similarity: one less the edits over the words of the longer text.
 MIN_SIMILARITY = 0.8
-#: In groups of more texts, pairs are made by way of rare words.
-PAIRED_GROUP = 128
-#: Words are counted, and a text's words compared before alignment, in so many classes by hash.
-WORD_COUNTERS, WORD_BINS = 1 << 16, 64
-#: The groups of so many sketches are looked at first, so that most families are known before the rest.
-FIRST_SKETCHES = 4
+#: One group in so many is looked at first, so that most families are known before the rest.
+FIRST_SHARE = 15
+#: Words are counted in so many classes by hash; words of more texts than HOT_WORD are hot, and so many of a text's hot words tell whether a pair was met before.
+WORD_COUNTERS, HOT_WORD, HOT_KEPT = 1 << 18, 16, 32
+#: Texts are broadcast to the pairs to be aligned only if they have at most so many characters.
+BROADCAST_CHARS = 12_000_000
+#: Characters of texts that are hashed at once, unless one text is longer.
+CHUNK_CHARS = 200_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_CHAIN = np.uint64(0x100000001B3)
+_LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -46,78 +54,128 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word of a text, in order, from its bytes and its length."""
-    raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
-    if not len(raw):
-        return np.zeros(0, dtype=np.uint64)
+def _numbers(first: int, n: int) -> np.ndarray:
+    return np.arange(first, first + n, dtype=np.uint64)
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of each word of the texts, in order: a 64-bit hash of its bytes, and the number of its text."""
+    encoded = [t.encode() for t in texts]
+    raw = np.frombuffer(b" ".join([*encoded, b""]), dtype=np.uint8)
     gap = (raw == 32) | ((raw >= 9) & (raw <= 13))
     edge = np.diff(np.concatenate([[1], gap.view(np.int8), [1]]))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        place = np.arange(len(raw), dtype=np.int64)
-        place -= np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(raw)]])))
-        value = _mix(raw.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8)) + _ODD)
-        value[gap] = 0
-        return _mix(np.add.reduceat(value, starts) + (ends - starts).astype(np.uint64) * _ODD)
-
-
-def kmers(words: np.ndarray) -> np.ndarray:
-    """Hashes of the k-mers of a text, each with the number of its earlier occurrences mixed in."""
-    if len(words) < KMER:
-        return np.zeros(0, dtype=np.uint64)
-    n = len(words) - KMER + 1
-    with np.errstate(over="ignore"):
-        h = np.zeros(n, dtype=np.uint64)
-        for k in range(KMER):
-            h = _mix(h * np.uint64(0x100000001B3) + words[k : k + n])
-        order = np.argsort(h, kind="stable")
-        new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-        nth = np.empty(n, dtype=np.uint64)
-        nth[order] = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        return _mix(h + nth * _ODD)
-
-
-def sketches(labelled: np.ndarray) -> np.ndarray:
-    """SKETCHES hashes of a text's labelled k-mers; none for a text without k-mers."""
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    place = np.arange(len(raw)) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(raw)]])))
+    factors = _mix(_numbers(1, int((ends - starts).max())) * _ODD) | np.uint64(1)
+    value = np.where(gap, np.uint8(0), raw).astype(np.uint64)
+    value *= factors[np.minimum(place, len(factors) - 1)]
+    hashes = _mix(np.add.reduceat(value, starts) + (ends - starts).astype(np.uint64) * _ODD)
+    return hashes, np.searchsorted(np.cumsum([len(e) + 1 for e in encoded]), starts, side="right")
+
+
+def _occurrences(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The values with the number of earlier equal ones in the same text mixed in."""
+    key = _mix(values + of.astype(np.uint64) * _ODD)
+    order = np.argsort(key, kind="stable")
+    place = np.arange(len(key))
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])[: len(key)]
+    nth = np.empty(len(key), dtype=np.uint64)
+    nth[order] = place - np.maximum.accumulate(np.where(new, place, 0))
+    return _mix(values + nth * _ODD)
+
+
+def kmers(words: np.ndarray, of: np.ndarray, k: int = KMER) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of the occurrence-labelled k-mers of texts, of which `words` and `of` are word_hashes()."""
+    n = len(words) - k + 1
+    if n < 1:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    h = np.zeros(n, dtype=np.uint64)
+    for i in range(k):
+        h = _mix(h * _CHAIN + words[i : i + n])
+    inside = of[:n] == of[k - 1 :]
+    return _occurrences(h[inside], of[:n][inside]), of[:n][inside]
+
+
+def sketches(labelled: np.ndarray, of: np.ndarray, count: int = SKETCHES, take: int = SKETCH_KMERS, first: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(text, sketches): the texts that have k-mers, and `count` rows of hashes, one column a text.
+
+    Each sketch has a number, from `first`, that seeds its hash. The least k-mers of a text are
+    taken one by one; a value's last bits are its place, so equal hashes are settled by order.
+    """
     if not len(labelled):
-        return np.zeros(0, dtype=np.int64)
-    take = min(SKETCH_KMERS, len(labelled))
-    at_once = max(1, min(SKETCHES, 2_000_000 // len(labelled)))  # bounds the memory that a very long text takes
-    number = np.arange(1, SKETCHES + 1, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        seeds, least = _mix(number * _ODD), []
-        for k in range(0, SKETCHES, at_once):
-            value = (labelled ^ seeds[k : k + at_once, None]) * (_ODD + np.uint64(2) * number[k : k + at_once, None])
-            value ^= value >> np.uint64(32)
-            least.append(np.argpartition(value, take - 1, axis=1)[:, :take] if take < len(labelled) else np.tile(np.arange(take), (len(value), 1)))
-        chosen = labelled[np.sort(np.vstack(least), axis=1)]
-        h = number
+        return np.zeros(0, dtype=np.int64), np.zeros((count, 0), dtype=np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    n = len(labelled)
+    mask = np.uint64((1 << n.bit_length()) - 1)
+    place, padded = _numbers(0, n), np.append(labelled, np.uint64(0))
+    numbers = _numbers(first, count)
+    seeds, factors = _mix(numbers * _ODD), _ODD + np.uint64(2) * numbers
+    out = np.empty((count, len(starts)), dtype=np.uint64)
+    for s in range(count):
+        value = (labelled ^ seeds[s]) * factors[s]
+        value ^= value >> np.uint64(32)
+        value = (value & ~mask) | place
+        chosen = np.empty((take, len(starts)), dtype=np.int64)
         for k in range(take):
-            h = _mix(h * np.uint64(0x100000001B3) + chosen[:, k])
-    return h.view(np.int64)
+            least = np.minimum.reduceat(value, starts)
+            chosen[k] = np.where(least == _LAST, n, least & mask)
+            value[chosen[k][least != _LAST]] = _LAST
+        h = np.full(len(starts), numbers[s])
+        for at in np.sort(chosen, axis=0):
+            h = _mix(h * _CHAIN + padded[at])
+        out[s] = h
+    return of[starts], out.view(np.int64)
+
+
+def sketch_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, sketch) pairs of the texts as two arrays, and the number of words of every text."""
+    words, of = word_hashes(texts)
+    sizes = np.bincount(of, minlength=len(texts))
+    short = sizes[of] <= SHORT_WORDS if len(of) else np.zeros(0, dtype=bool)
+    parts = [sketches(*kmers(words, of)), sketches(*kmers(words[short], of[short], 1), SHORT_SKETCHES, SHORT_KMERS, SKETCHES + 1)]
+    return np.concatenate([np.repeat(ids, len(rows)) for ids, rows in parts]), np.concatenate([rows.T.ravel() for _, rows in parts]), sizes
+
+
+def _chunks(texts: list[str]) -> Iterator[slice]:
+    """Consecutive parts of a list of texts, each of about CHUNK_CHARS characters."""
+    first = chars = 0
+    for k, text in enumerate(texts):
+        if chars and chars + len(text) > CHUNK_CHARS:
+            yield slice(first, k)
+            first, chars = k, 0
+        chars += len(text)
+    if first < len(texts):
+        yield slice(first, len(texts))
+
+
+def most_edits(n: int, m: int, least: float = MIN_SIMILARITY) -> int:
+    """Edits at which texts of n and m words are still similar."""
+    return int((1 - least) * max(n, m) + 1e-9)
 
 
 def similar(a: str, b: str, least: float = MIN_SIMILARITY) -> bool:
-    """Whether the words of two texts can be aligned with at most (1 - least) edits a word.
+    """Whether the words of two texts can be aligned with at most (1 - least) edits a word."""
+    words, of = word_hashes([a, b])
+    return aligned(words[of == 0], words[of == 1], least)
+
+
+def aligned(x: np.ndarray, y: np.ndarray, least: float = MIN_SIMILARITY) -> bool:
+    """similar() for texts given by their words' hashes.
 
     Furthest-reaching alignment: for each number of edits and each diagonal of the band (as many
-    diagonals as edits are allowed, either side), how far equal words carry. Common words at
-    both ends are passed over first.
+    diagonals as edits are allowed, either side), how far equal words carry. Word bags are
+    compared first, and common words at both ends are passed over.
     """
-    x, y = a.split(), b.split()
-    most = int((1 - least) * max(len(x), len(y)) + 1e-9)
+    most = most_edits(len(x), len(y), least)
     if abs(len(x) - len(y)) > most:
         return False
-    number: dict[str, int] = {}
-    p = np.array([number.setdefault(w, len(number)) for w in x], dtype=np.int32)
-    q = np.array([number.setdefault(w, len(number)) for w in y], dtype=np.int32)
-    if len(p) and len(q):
-        bags = np.bincount(p, minlength=len(number)) - np.bincount(q, minlength=len(number))
-        if max(bags[bags > 0].sum(), -bags[bags < 0].sum()) > most:
-            return False
+    names, number = np.unique(np.concatenate([x, y]), return_inverse=True)
+    p, q = number[: len(x)], number[len(x) :]
+    bags = np.bincount(p, minlength=len(names)) - np.bincount(q, minlength=len(names))
+    if len(bags) and max(bags[bags > 0].sum(), -bags[bags < 0].sum()) > most:
+        return False
     n = min(len(p), len(q))
     differ = np.flatnonzero(p[:n] != q[:n])
     head = int(differ[0]) if len(differ) else n
@@ -166,160 +224,152 @@ def _edits_within(p: np.ndarray, q: np.ndarray, most: int) -> bool:
 
 
 def _sketched(rows: DataFrame) -> DataFrame:
-    """(sketch, turn, node, n_words) for rows with columns node, text; copies give the same rows."""
+    """(sketch, node, n) for rows (node, text): the sketches of each text and its number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies give the same rows, so those met lately are passed over
         for batch in batches:
-            nodes, found, sizes, turns = [], [np.zeros(0, np.int64)], [], []
+            nodes, texts = [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = word_hashes(text)
-                own = sketches(kmers(words))
-                found.append(own)
-                nodes += [node] * len(own)
-                sizes += [len(words)] * len(own)
-                turns += range(len(own))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(turns, pa.int32()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32())], names=["sketch", "turn", "node", "n_words"])
+                if node not in seen:
+                    seen.add(node)
+                    nodes.append(node)
+                    texts.append(text)
+            if len(seen) > 200_000:
+                seen.clear()
+            for part in _chunks(texts):
+                of, found, sizes = sketch_texts(texts[part])
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.array(nodes[part], dtype=np.int64)[of]), pa.array(sizes[of], pa.int32())], names=["sketch", "node", "n"])
+
+    return rows.select("node", "text").mapInArrow(run, "sketch long, node long, n int")
+
 
-    return rows.select("node", "text").mapInArrow(run, "sketch long, turn int, node long, n_words int")
+def _close(n: str, m: str) -> Column:
+    """Whether texts of so many words may be similar."""
+    return F.expr(f"abs({n} - {m}) <= CAST({1 - MIN_SIMILARITY:.6f}D * greatest({n}, {m}) + 1e-6D AS INT)")
 
 
-def _aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The rows of `pairs` (a, b) with `ok`: whether the texts can be aligned."""
-    a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    near = F.broadcast if chars <= BROADCAST_CHARS else (lambda df: df)
+    a, b = (near(texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))) for c in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([similar(s, t) for s, t in zip(x, y)], pa.bool_())], names=["a", "b", "ok"])
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                ok.append(similar(x, y))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, ok boolean")
 
 
-def _comparable(pairs: DataFrame) -> DataFrame:
-    """(a, b), the lesser first, of pairs (x, y, nx, ny, label_x, label_y) of different families whose lengths allow a link."""
-    close = F.abs(F.col("nx") - F.col("ny")) <= (1 - MIN_SIMILARITY) * F.greatest("nx", "ny") + 1e-9
-    return pairs.where(close & (F.col("label_x") != F.col("label_y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _with_labels(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members (sketch, node, n) with the family that each is known to belong to."""
+    if labels is None:
+        return members.withColumn("label", F.col("node"))
+    return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _every_pair(groups: DataFrame) -> DataFrame:
-    """All pairs of different families in groups of at most PAIRED_GROUP texts."""
-    listed = groups.groupBy("sketch", "band").agg(F.collect_list(F.struct("node", "n_words", "label")).alias("m"))
-    pairs = listed.select(F.explode_outer(F.expr(f"flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> x.label <> y.label AND abs(x.n_words - y.n_words) <= {1 - MIN_SIMILARITY:.6f}D * greatest(x.n_words, y.n_words) + 1e-6D), y -> struct(x.node AS x, y.node AS y, x.n_words AS nx, y.n_words AS ny, x.label AS label_x, y.label AS label_y))))")).alias("p"))
-    return pairs.select("p.*").where("x IS NOT NULL")
+def _led_pairs(known: DataFrame) -> DataFrame:
+    """(a, b): the members of each group with its leader, where they are not known to be of one family.
 
+    The leader is the least node, which is a hash: mostly the same one in all groups of a family.
+    """
+    led = known.groupBy("sketch").agg((F.min("label") != F.max("label")).alias("mixed"), F.min(F.struct("node", "n", "label")).alias("lead")).where("mixed")
+    met = known.join(led.select("sketch", "lead"), "sketch").where((F.col("label") != F.col("lead.label")) & _close("n", "lead.n"))
+    return met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
 
-def _numbered(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a text's words as similar() splits them, and of each with the number of its earlier occurrences."""
-    plain = word_hashes(" ".join(text.split()))
-    order = np.argsort(plain, kind="stable")
-    place = np.arange(len(plain))
-    new = np.concatenate([[True], plain[order][1:] != plain[order][:-1]])[: len(plain)]
-    nth = np.empty(len(plain), dtype=np.uint64)
-    nth[order] = place - np.maximum.accumulate(np.where(new, place, 0))
-    with np.errstate(over="ignore"):
-        return plain, _mix(plain + nth * _ODD)
 
+def _first_words(words: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The rarest words of a text, one more than it may lose to a similar one, rarest first."""
+    numbered = _occurrences(words, np.zeros(len(words), dtype=np.int64))
+    rank = np.lexsort((numbered, often[(numbered % np.uint64(WORD_COUNTERS)).astype(np.int64)]))
+    return numbered[rank[: most_edits(len(words), 0) + 1]]
 
-def _rare_pairs(groups: DataFrame, texts: DataFrame) -> DataFrame:
-    """All pairs of different families in groups of any size whose words allow a link.
 
-    Nothing that similar() accepts is left out: of two texts whose words are in one order, each
-    loses at most a fifth of the longer one's words to the other, so they share one of their
-    first words, as many as that and one more. The order has rare words first. Pairs that share
-    such a word and a group, and whose word bags are near enough, are given.
+def _open_pairs(known: DataFrame, texts: DataFrame, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
+    """(a, b): pairs of different families among the members (sketch, node, n, label) of groups.
+
+    Every pair of one group that aligned() accepts is among them. Words, each with the number
+    of its earlier occurrences, are put in one order for all texts, rare ones first. Of two
+    similar texts each loses at most a fifth of the longer one's words, so they share one of
+    their first words, as many as that and one more: pairs are joined by these words, in groups
+    of any size alike, and no group is gathered. `keep` stores the tables that are read twice.
     """
-    nodes = groups.groupBy("node").agg(F.first("label").alias("label"), F.collect_set(F.struct("sketch", "band")).alias("groups"))
-    theirs = durable(nodes.join(texts, "node"))
+    mixed = known.groupBy("sketch").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("sketch")
+    nodes = known.join(mixed, "sketch", "left_semi").select("node", "label").distinct()
+    theirs = keep(nodes.join(texts, "node").select("node", "label", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(WORD_COUNTERS, dtype=np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total += np.bincount(np.unique(_numbered(text)[1] % np.uint64(WORD_COUNTERS)).astype(np.int64), minlength=WORD_COUNTERS)
+            texts = batch.column(0).to_pylist()
+            for part in _chunks(texts):
+                at = _occurrences(*word_hashes(texts[part])) % np.uint64(WORD_COUNTERS)
+                total += np.bincount(at.astype(np.int64), minlength=WORD_COUNTERS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["counter", "n"])
 
-    counted = theirs.select("text").mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect()
+    counted = theirs.select("text").mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(WORD_COUNTERS, dtype=np.int64)
-    for r in counted:
-        often[r["counter"]] = r["n"]
+    often[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    sent = theirs.sparkSession.sparkContext.broadcast(often)  # WORD_COUNTERS numbers
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = sent.value
         for batch in batches:
-            nodes, sizes, firsts, bins = [], [], [], []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                plain, numbered = _numbered(text)
-                take = int((1 - MIN_SIMILARITY) * len(plain) + 1e-9) + 1
-                rare = numbered[np.lexsort((numbered, often[(numbered % np.uint64(WORD_COUNTERS)).astype(np.int64)]))][:take]
-                nodes.append(node)
-                sizes.append(len(plain))
-                firsts.append(rare.view(np.int64))
-                bins.append(np.bincount((plain % np.uint64(WORD_BINS)).astype(np.int64), minlength=WORD_BINS).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int32()))], names=["node", "n", "firsts", "bins"])
-
-    read = theirs.select("node", "text").mapInArrow(first, "node long, n int, firsts array<long>, bins array<int>")
-    known = durable(read.join(theirs.select("node", "label", "groups"), "node"))
-    words = known.select("node", "n", "label", F.explode("firsts").alias("word"))
+            for k in range(0, batch.num_rows, 200):
+                some = batch.slice(k, 200)
+                columns: list[list] = [[], [], [], [], []]
+                for node, label, text in zip(*(some.column(c).to_pylist() for c in range(3))):
+                    words, _ = word_hashes([text])
+                    firsts = _first_words(words, often)
+                    hot = often[(firsts % np.uint64(WORD_COUNTERS)).astype(np.int64)] > HOT_WORD
+                    kept = firsts[hot][:HOT_KEPT].view(np.int64).tolist()
+                    for c, values in zip(columns, (firsts.view(np.int64).tolist(), [node] * len(firsts), [label] * len(firsts), [len(words)] * len(firsts), [kept if h else None for h in hot.tolist()])):
+                        c += values
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())))], names=["word", "node", "label", "n", "hot"])
+
+    words = keep(theirs.mapInArrow(first, "word long, node long, label long, n int, hot array<long>"))
     mixed = words.groupBy("word").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("word")
-    words = words.join(mixed, "word")
-    other = words.select("word", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "label")))
-    most = F.expr(f"CAST({1 - MIN_SIMILARITY:.6f}D * greatest(n, n_b) + 1e-6D AS INT)")
-    met = words.join(other, "word").where((F.col("node") < F.col("node_b")) & (F.col("label") != F.col("label_b")) & (F.abs(F.col("n") - F.col("n_b")) <= most))
-    met = met.select(F.col("node").alias("x"), F.col("node_b").alias("y")).distinct()
-    x = known.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("label_x"), F.col("groups").alias("groups_x"), F.col("bins").alias("bins_x"))
-    y = known.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("label").alias("label_y"), F.col("groups").alias("groups_y"), F.col("bins").alias("bins_y"))
-
-    def lost(p: str, q: str):
-        return F.aggregate(F.zip_with(p, q, lambda i, j: F.greatest(i - j, F.lit(0))), F.lit(0), lambda s, v: s + v)
+    words = words.join(mixed, "word", "left_semi")
+    other = words.select("word", *(F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "hot")))
+    # A pair with several hot words in common is taken at the least one of them only.
+    once = F.expr("hot IS NULL OR hot_b IS NULL OR coalesce(array_min(array_intersect(hot, hot_b)), word) = word")
+    on = [F.col("word") == F.col("word_b"), F.col("node") < F.col("node_b"), F.col("label") != F.col("label_b"), _close("n", "n_b"), once]
+    met = words.join(other.withColumnRenamed("word", "word_b"), on)
+    return met.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
 
-    most = F.expr(f"CAST({1 - MIN_SIMILARITY:.6f}D * greatest(nx, ny) + 1e-6D AS INT)")
-    met = met.join(x, "x").join(y, "y").where(F.arrays_overlap("groups_x", "groups_y") & (lost("bins_x", "bins_y") <= most) & (lost("bins_y", "bins_x") <= most))
-    return met.select("x", "y", "nx", "ny", "label_x", "label_y")
 
+def families(rows: DataFrame) -> DataFrame:
+    """(node, second, label): the family of every text of rows (node, second, text) that is linked to another.
 
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members (sketch, band, node, n_words) with the family that each is known to belong to."""
-    if labels is None:
-        return members.withColumn("label", F.col("node"))
-    return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("sketch", "band", "node", "n_words", "label")
-
-
-def links(rows: DataFrame) -> DataFrame:
-    """(a, b): verified links between the distinct texts of rows (node, text).
-
-    A group is a set of texts with one sketch and, where it is large, of like length. First a
-    group's leader (least by a hash of the text, so mostly the same one in all groups of one
-    family) is aligned with its members, which makes most families known. Then every two texts
-    of a group that are not known to be of one family are candidates, whatever the group's size;
-    a family of thousands of near copies costs a few alignments for each of them.
+    Members of a group are aligned with its leader, first in some groups, then in all, so that
+    most families are known; then all pairs of different families that may be similar follow.
+    A family of thousands of near copies costs a few alignments for each of them.
     """
-    members = durable(_sketched(rows).groupBy("sketch", "node").agg(F.max("n_words").alias("n_words"), F.max("turn").alias("turn")))
-    sizes = members.groupBy("sketch").agg(F.count("*").alias("size")).where("size > 1")
-    members = durable(members.join(sizes, "sketch"))
-    texts = durable(rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")))
-    band = F.floor(F.log(F.col("n_words").cast("double")) / float(np.log(1 / MIN_SIMILARITY)) + 1e-9)
-    bands = F.explode(F.when(F.col("size") > PAIRED_GROUP, F.array(band, band + 1)).otherwise(F.array(F.lit(-1).cast("long"))))
-    groups = members.select("sketch", bands.alias("band"), "turn", "node", "n_words")
-    labels, tried = None, None
-    for left in (groups.where(F.col("turn") < FIRST_SKETCHES), groups):
-        known = _labelled(left.drop("turn"), labels)
-        led = known.groupBy("sketch", "band").agg((F.min("label") != F.max("label")).alias("mixed"), F.min(F.struct(F.xxhash64("node", F.lit(0)).alias("h"), "node", "n_words", "label")).alias("lead"))
-        led = known.join(led.where("mixed"), ["sketch", "band"])
-        pairs = _comparable(led.select(F.col("node").alias("x"), F.col("lead.node").alias("y"), F.col("n_words").alias("nx"), F.col("lead.n_words").alias("ny"), F.col("label").alias("label_x"), F.col("lead.label").alias("label_y")))
-        tried = _tried(pairs, tried, texts)
-        labels = components(tried.where("ok").select("a", "b")).select("node", "label")
-    known = durable(_labelled(groups.drop("turn"), labels))
-    sized = known.groupBy("sketch", "band").agg(F.count("*").alias("size"), (F.min("label") != F.max("label")).alias("mixed")).where("mixed")
-    grouped = durable(known.join(sized, ["sketch", "band"]))
-    pairs = _comparable(_every_pair(grouped.where(F.col("size") <= PAIRED_GROUP)).unionByName(_rare_pairs(grouped.where(F.col("size") > PAIRED_GROUP), texts)))
-    return _tried(pairs, tried, texts).where("ok").select("a", "b")
-
-
-def _tried(pairs: DataFrame, tried: DataFrame | None, texts: DataFrame) -> DataFrame:
-    """`tried` (a, b, ok) and the aligned rows of `pairs` that it has not."""
-    if tried is None:
-        return durable(_aligned(pairs, texts))
-    return tried.unionByName(durable(_aligned(pairs.join(tried, ["a", "b"], "left_anti"), texts)))
+    spare: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        spare.append(stored(df))
+        return spare[-1]
+
+    drawn = keep(_sketched(rows))
+    shared = drawn.groupBy("sketch").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sketch")
+    members = keep(drawn.join(shared, "sketch", "left_semi").distinct())
+    texts = keep(rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("second", "text")).alias("t")).select("node", "t.second", "t.text"))
+    tried = keep(_verified(_led_pairs(members.where(F.pmod("sketch", F.lit(FIRST_SHARE)) == 0).withColumn("label", F.col("node"))), texts))
+    for step in (_led_pairs, lambda known: _open_pairs(known, texts, keep)):
+        labels = keep(components(tried.where("ok").select("a", "b")))
+        known = _with_labels(members, labels)
+        fresh_pairs = keep(step(known).join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(keep(_verified(fresh_pairs, texts)))
+    found = components(tried.where("ok").select("a", "b"))
+    out = stored(found.join(texts.select("node", "second"), "node"))
+    dropped(*spare)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -327,9 +377,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating star contractions: each node's neighbours are tied to the least of them, until
     the links are stars; every round is one aggregation and one join, written to the shared
-    checkpoint folder.
+    folder, where the links of the round before are removed.
     """
-    edges = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+
+    def state(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+    edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    before = state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -338,34 +393,42 @@ def components(edges: DataFrame) -> DataFrame:
         down = kept.groupBy("u").agg(F.min("v").alias("m"))
         small = kept.join(down, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).distinct()
-        new = durable(small)
-        if new.count() == edges.count() and new.join(edges, ["u", "v"], "left_anti").isEmpty():
+        new = stored(small)
+        after = state(new)
+        if after == before:
+            dropped(edges)
             break
-        edges = new
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        dropped(edges)
+        edges, before = new, after
+    return new.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The rows (id, text, node), and (node, copy_of, class_id) of every distinct text among those with an id."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("node", F.xxhash64("text"))
+    """The rows (id, text, node, second), and (node, second, copy_of, class_id) of every distinct text among those with an id."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = rows.withColumns({"node": F.xxhash64("text"), "second": F.xxhash64(F.lit(1), "text")})
     whole = rows.where("text IS NOT NULL AND id IS NOT NULL")
-    labels = components(links(whole.select("node", "text")))
-    firsts = whole.groupBy("node").agg(F.min("id").alias("copy_of"))
-    classed = firsts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = classed.groupBy("label").agg(F.min("copy_of").alias("class_id"))
-    return rows, classed.join(least, "label").select("node", "copy_of", "class_id")
+    labels = families(whole.select("node", "second", "text"))
+    firsts = whole.groupBy("node", "second").agg(F.min("id").alias("copy_of"))
+    linked = firsts.join(labels, ["node", "second"])
+    least = linked.groupBy("label").agg(F.min("copy_of").alias("class_id"))
+    classed = linked.join(least, "label").select("node", "second", "class_id")
+    return rows, firsts.join(classed, ["node", "second"], "left").withColumn("class_id", F.coalesce("class_id", "copy_of"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id, copy_of (the least id with the same text) and class_id (the
     least id among all texts linked to it, directly or by way of others).
 
-    Texts are told apart by a 64-bit hash. Ids are integers; rows with a null id or a null text
-    are classes by themselves, with their id as class_id. Empty texts and texts of fewer than
-    five words are alike only to exact copies. Repeated rows come out as often as they went in.
+    Two texts are linked if a banded alignment finds at most one edit for five words of the
+    longer one. Words are what white space (space, U+0009 to U+000D) separates. Texts are told
+    apart by two 64-bit hashes. Ids may be of any type that has an order; rows with a null id or
+    a null text are classes by themselves, with their id as class_id. Texts without words are
+    alike only to exact copies. Repeated rows come out as often as they went in; of other
+    columns, whatever their names, none is read. An empty table gives no rows.
     """
     rows, classed = _classes(docs, id_col, text_col)
-    out = rows.where("text IS NOT NULL AND id IS NOT NULL").select("id", "node").join(classed, "node").select(F.col("id").alias(id_col), "copy_of", "class_id")
+    out = rows.where("text IS NOT NULL AND id IS NOT NULL").select("id", "node", "second").join(classed, ["node", "second"]).select(F.col("id").alias(id_col), "copy_of", "class_id")
     alone = rows.where("text IS NULL OR id IS NULL").select(F.col("id").alias(id_col), F.col("id").alias("copy_of"), F.col("id").alias("class_id"))
     return out.unionByName(alone)
 
@@ -373,12 +436,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one document of each class, one with the class's least id; columns unchanged.
 
-    Rows with a null id or text stay; of rows with that id and class one stays.
+    Rows with a null id or text stay; of repeated rows one stays. Columns of any name pass
+    through, however clashing.
     """
     _, classed = _classes(docs, id_col, text_col)
+    node, second, of = fresh(docs, "_node"), fresh(docs, "_second"), fresh(docs, "_class")
+    chosen = classed.where("copy_of = class_id").groupBy("class_id").agg(F.min(F.struct("node", "second")).alias("t"))
+    chosen = chosen.select(F.col("t.node").alias(node), F.col("t.second").alias(second), F.col("class_id").alias(of))
     has_both = F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
-    node, of = fresh(docs, "_node"), fresh(docs, "_class")
-    first = classed.select(F.col("node").alias(node), F.col("class_id").alias(of))
-    kept = docs.where(has_both).withColumn(node, F.xxhash64(text_col)).join(first, node)
-    kept = kept.where(F.col(id_col) == F.col(of)).dropDuplicates([id_col, of]).drop(node, of)
+    kept = docs.where(has_both).withColumns({node: F.xxhash64(text_col), second: F.xxhash64(F.lit(1), text_col), of: F.col(id_col)})
+    kept = kept.join(chosen, [of, node, second], "left_semi").dropDuplicates([of, node, second]).drop(of, node, second)
     return kept.unionByName(docs.where(~has_both))

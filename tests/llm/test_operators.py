@@ -259,18 +259,72 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
-def test_no_pair_of_a_large_group_is_left_out(spark, monkeypatch):
+def classes_by_brute_force(texts):
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            x, y = texts[a].split(), texts[b].split()
+            most = int(0.2 * max(len(x), len(y)) + 1e-9)
+            if label[a] != label[b] and abs(len(x) - len(y)) <= most and (x == y or distance(x, y) <= most):
+                low, high = sorted((label[a], label[b]))
+                label = [low if v == high else v for v in label]
+    return label
+
+
+def edited(text, share, seed):
+    r = random.Random(seed)
+    at = set(r.sample(range(len(text)), int(share * len(text) + 1e-9)))
+    return [f"new{seed}x{k}" if k in at else w for k, w in enumerate(text)]
+
+
+def test_no_link_of_a_large_group_is_left_out(spark, monkeypatch):
     texts = []
-    for k in range(50):  # chains of four: each resembles the next one and no other
+    for k in range(45):  # chains of four: each resembles the next one and no other
         text = words(60, 1000 + k)
         for step in range(4):
             text = text[: 12 * step] + words(12, 5000 + 4 * k + step) + text[12 * step + 12 :]
             texts.append(" ".join(text))
-    rows = frame(spark, list(enumerate(texts)), "node long, text string")
-    monkeypatch.setattr(minhash, "_sketched", lambda rows: rows.selectExpr("7L AS sketch", "0 AS turn", "node", "size(split(text, ' ')) AS n_words"))
-    want = {(a, b) for a in range(200) for b in range(a) if minhash.similar(texts[a], texts[b])}
-    assert want == {(a, a - 1) for a in range(200) if a % 4}
-    assert {(r["b"], r["a"]) for r in minhash.links(rows).collect()} == want
+    common = words(36, 4)  # one passage in all of these, which links few of them
+    texts += [" ".join(common + words(14 + k % 5, 9000 + k)) for k in range(60)]
+    texts += [" ".join(edited((common + words(14 + k % 5, 9000 + k)), 0.1, k)) for k in range(0, 60, 3)]
+    everything_in_one_group = lambda rows: rows.selectExpr("30L AS sketch", "node", "size(split(text, ' ')) AS n")
+    monkeypatch.setattr(minhash, "_sketched", everything_in_one_group)
+    out = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(frame(spark, list(enumerate(texts)))).collect()}
+    assert [out[k] for k in range(len(texts))] == classes_by_brute_force(texts)
+
+
+@pytest.mark.parametrize("n", [20, 50, 120, 200, 1000])
+def test_candidates_at_the_threshold(n):
+    met = 0
+    for k in range(200):
+        a = [f"w{x}" for x in np.random.default_rng(k).integers(0, 20_000, n)]
+        b = edited(a, 0.2, k)
+        assert minhash.similar(" ".join(a), " ".join(b))
+        of, found, _ = minhash.sketch_texts([" ".join(a), " ".join(b)])
+        met += bool(set(found[of == 0].tolist()) & set(found[of == 1].tolist()))
+    assert met >= 0.87 * 200
+
+
+def test_short_texts(spark):
+    texts = ["one two three", "one  two\tthree", "one two four", "five six seven eight nine", "five six seven eight ten", "a", "b", "a ", "k l m n o p q r s t", "k l m n o X q r s t"]
+    out = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(frame(spark, list(enumerate(texts)))).collect()}
+    assert [out[k] for k in range(len(texts))] == [0, 0, 2, 3, 3, 5, 6, 5, 8, 8]
+
+
+def test_near_duplicates_with_text_ids_and_clashing_columns(spark):
+    a, b = " ".join(words(40, 1)), " ".join(words(40, 2))
+    rows = frame(spark, [("p", a, 1, 2, 3), ("q", a, 4, 5, 6), ("q", a, 4, 5, 6), ("r", b, 7, 8, 9), (None, b, 0, 0, 0)], "doc_id string, text string, _node long, node long, _class long")
+    assert {(r["doc_id"], r["class_id"]) for r in minhash.near_duplicates(rows).collect()} == {("p", "p"), ("q", "p"), ("r", "r"), (None, None)}
+    left = minhash.keep_one(rows)
+    assert left.columns == rows.columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["None", "p", "r"]
+
+
+def test_sketches_do_not_depend_on_the_batch():
+    texts = [" ".join(words(n, n)) for n in (1, 3, 5, 6, 40, 300)] + [LONG, "", "same"]
+    of, found, sizes = minhash.sketch_texts(texts)
+    for k, text in enumerate(texts):
+        _, alone, size = minhash.sketch_texts([text])
+        assert found[of == k].tolist() == alone.tolist() and sizes[k] == size[0] == len(text.split())
 
 
 def test_components_of_a_chain(spark):
