@@ -35,10 +35,16 @@ SHORT_WORDS, SHORT_SKETCHES, SHORT_KMERS = 128, 8, 3
 MIN_SIMILARITY = 0.8
 #: One group in so many is looked at first, so that most families are known before the rest.
 FIRST_SHARE = 15
-#: Words are counted in so many classes by hash; words of more texts than HOT_WORD are hot, and so many of a text's hot words tell whether a pair was met before.
-WORD_COUNTERS, HOT_WORD, HOT_KEPT = 1 << 18, 16, 32
-#: Texts are broadcast to the pairs to be aligned only if they have at most so many characters.
-BROADCAST_CHARS = 12_000_000
+#: Words, each with its occurrence number, are put into so many classes by hash, which stand for them where open pairs are looked for.
+WORD_CLASSES = 1 << 20
+#: So many word classes, those that most texts look by, each have a bit; a pair with some of them in common is made at one.
+MARKED, MASK_BITS = 252, 63
+#: A text's words are counted in so many bins by hash, to tell how much two texts have in common before they are aligned.
+WORD_BINS = 256
+#: Texts, or counts of words, are broadcast to pairs only if they come to at most so many characters or numbers.
+BROADCAST_SIZE = 12_000_000
+#: Rows by which the band of an alignment moves on.
+STEP = 64
 #: Characters of texts that are hashed at once, unless one text is longer.
 CHUNK_CHARS = 200_000
 
@@ -164,9 +170,9 @@ def similar(a: str, b: str, least: float = MIN_SIMILARITY) -> bool:
 def aligned(x: np.ndarray, y: np.ndarray, least: float = MIN_SIMILARITY) -> bool:
     """similar() for texts given by their words' hashes.
 
-    Furthest-reaching alignment: for each number of edits and each diagonal of the band (as many
-    diagonals as edits are allowed, either side), how far equal words carry. Word bags are
-    compared first, and common words at both ends are passed over.
+    The columns of the distance table are held as the bits of its row differences, within a band
+    of as many diagonals either side as edits are allowed. Word bags are compared first, and
+    common words at both ends are passed over.
     """
     most = most_edits(len(x), len(y), least)
     if abs(len(x) - len(y)) > most:
@@ -187,40 +193,33 @@ def aligned(x: np.ndarray, y: np.ndarray, least: float = MIN_SIMILARITY) -> bool
 
 
 def _edits_within(p: np.ndarray, q: np.ndarray, most: int) -> bool:
+    """Whether the edit distance of two sequences, whose lengths differ by at most `most`, is at most `most`."""
     n, m = len(p), len(q)
     if not n or not m:
         return max(n, m) <= most
-    # reach[d + most + 1]: words of p used on diagonal d (words of q used less words of p used), -2 where not reached.
-    size = 2 * most + 3
-    reach = np.full(size, -2, dtype=np.int64)
-    diagonal = np.arange(size) - most - 1
-    reach[most + 1] = 0
-    goal = m - n + most + 1
-    for edits in range(most + 1):
-        if edits:
-            step = reach + 1  # a word replaced
-            step[reach < 0] = -2
-            step[:-1] = np.maximum(step[:-1], np.where(reach[1:] >= 0, reach[1:] + 1, -2))  # a word of p left out
-            step[1:] = np.maximum(step[1:], reach[:-1])  # a word of q left out
-            step = np.minimum(step, np.minimum(n, m - diagonal))
-            step[(step + diagonal < 0) | (step < 0)] = -2
-            reach = step
-        on = np.flatnonzero(reach >= 0)
-        for _ in range(3):  # equal words carry on; most diagonals stop at once
-            i = reach[on]
-            same = (i < n) & (i + diagonal[on] < m)
-            on, i = on[same], i[same]
-            on = on[p[i] == q[i + diagonal[on]]]
-            reach[on] += 1
-        for d in on.tolist():
-            i = int(reach[d])
-            j = i + d - most - 1
-            length = min(n - i, m - j)
-            differ = np.flatnonzero(p[i : i + length] != q[j : j + length])
-            reach[d] += int(differ[0]) if len(differ) else length
-        if reach[goal] >= n:
-            return True
-    return False
+    places: dict[int, int] = {}
+    for i, w in enumerate(p.tolist()):
+        places[w] = places.get(w, 0) | 1 << i
+    # Rows low + 1 to high of a column of the distance table: bits of up where a row is one more than the one before, of down where one less; `top` is row low.
+    low = high = top = up = down = inside = 0
+    for j, w in enumerate(q.tolist()):
+        if j % STEP == 0:  # the band goes down the table, some rows at a time
+            gone = max(0, j - most) - low
+            rows = (1 << gone) - 1
+            top += (up & rows).bit_count() - (down & rows).bit_count()
+            up, down, low = up >> gone, down >> gone, low + gone
+            more = min(n, j + STEP + most) - high
+            up |= ((1 << more) - 1) << (high - low)
+            high += more
+            inside = (1 << (high - low)) - 1
+        equal = (places.get(w, 0) >> low) & inside
+        level = (((equal & up) + up) ^ up) | equal
+        right_up, right_down = down | (~(level | up) & inside), up & level
+        right_up, right_down = right_up << 1 | 1, right_down << 1
+        kept = equal | down
+        up, down = (right_down | ~(kept | right_up)) & inside, right_up & kept & inside
+        top += 1
+    return top + up.bit_count() - down.bit_count() <= most
 
 
 def _sketched(rows: DataFrame) -> DataFrame:
@@ -244,25 +243,34 @@ def _sketched(rows: DataFrame) -> DataFrame:
     return rows.select("node", "text").mapInArrow(run, "sketch long, node long, n int")
 
 
+def _most(n: str, m: str) -> Column:
+    """Edits at which texts of n and m words are still similar."""
+    return F.expr(f"CAST({1 - MIN_SIMILARITY:.6f}D * greatest({n}, {m}) + 1e-6D AS INT)")
+
+
 def _close(n: str, m: str) -> Column:
     """Whether texts of so many words may be similar."""
-    return F.expr(f"abs({n} - {m}) <= CAST({1 - MIN_SIMILARITY:.6f}D * greatest({n}, {m}) + 1e-6D AS INT)")
+    return F.abs(F.col(n) - F.col(m)) <= _most(n, m)
+
+
+def _paired(pairs: DataFrame, table: DataFrame, size: int) -> DataFrame:
+    """`pairs` (a, b) with the columns of `table` (node, ...) for either side; `size` tells how large the table is."""
+    near = F.broadcast if size <= BROADCAST_SIZE else (lambda df: df)
+    for side in "ab":
+        pairs = pairs.join(near(table.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in table.columns if c != "node"))), side)
+    return pairs
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The rows of `pairs` (a, b) with `ok`: whether the texts can be aligned."""
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    near = F.broadcast if chars <= BROADCAST_CHARS else (lambda df: df)
-    a, b = (near(texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))) for c in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                ok.append(similar(x, y))
+            ok = [similar(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, ok boolean")
+    return _paired(pairs, texts.select("node", "text"), chars).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, ok boolean")
 
 
 def _with_labels(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -282,65 +290,107 @@ def _led_pairs(known: DataFrame) -> DataFrame:
     return met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
 
 
-def _first_words(words: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The rarest words of a text, one more than it may lose to a similar one, rarest first."""
-    numbered = _occurrences(words, np.zeros(len(words), dtype=np.int64))
-    rank = np.lexsort((numbered, often[(numbered % np.uint64(WORD_COUNTERS)).astype(np.int64)]))
-    return numbered[rank[: most_edits(len(words), 0) + 1]]
+def _first_classes(words: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The rarest word classes of a text, one more than the words it may lose to a similar one."""
+    classes = np.unique(_occurrences(words, np.zeros(len(words), dtype=np.int64)) % np.uint64(WORD_CLASSES)).astype(np.int64)
+    return classes[np.lexsort((classes, often[classes]))][: most_edits(len(words), 0) + 1]
+
+
+def _masks(numbers: list[int], n: int) -> list[int]:
+    """`n` integers of MASK_BITS bits, of which the bits with the given numbers are set."""
+    masks = [0] * n
+    for k in numbers:
+        masks[k // MASK_BITS] |= 1 << k % MASK_BITS
+    return masks
+
+
+def _met_once() -> Column:
+    """Whether a joined pair, its masks m0, m1, ... and m0_b, m1_b, ..., is met at the first marked class that both have, or has none."""
+    found = F.lit(True)
+    for k in reversed(range(MARKED // MASK_BITS)):
+        both = F.col(f"m{k}").bitwiseAND(F.col(f"m{k}_b"))
+        lower = F.col("bit") - F.lit(1)
+        here = (F.col("part") == k) & (both.bitwiseAND(F.col("bit")) != 0) & (both.bitwiseAND(lower) == 0)
+        found = F.when(both != 0, F.coalesce(here, F.lit(False))).otherwise(found)
+    return found
 
 
 def _open_pairs(known: DataFrame, texts: DataFrame, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
-    """(a, b): pairs of different families among the members (sketch, node, n, label) of groups.
+    """(a, b): pairs of different families within the groups of members (sketch, node, n, label).
 
     Every pair of one group that aligned() accepts is among them. Words, each with the number
-    of its earlier occurrences, are put in one order for all texts, rare ones first. Of two
-    similar texts each loses at most a fifth of the longer one's words, so they share one of
-    their first words, as many as that and one more: pairs are joined by these words, in groups
-    of any size alike, and no group is gathered. `keep` stores the tables that are read twice.
+    of its earlier occurrences, fall into classes that are put in one order for all texts, rare
+    ones first. Of two similar texts each loses at most a fifth of the longer one's words, so
+    they share one of their first classes, as many as that and one more: pairs are joined by
+    these, in groups of any size alike, and no group is gathered. Then pairs without a group in
+    common go, and those whose counts of words differ too much. `keep` stores what is read twice.
     """
     mixed = known.groupBy("sketch").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("sketch")
-    nodes = known.join(mixed, "sketch", "left_semi").select("node", "label").distinct()
-    theirs = keep(nodes.join(texts, "node").select("node", "label", "text"))
+    nodes = known.join(mixed, "sketch", "left_semi").groupBy("node").agg(F.first("label").alias("label"), F.collect_set("sketch").alias("groups"))
+    theirs = keep(nodes.join(texts, "node").select("node", "label", "text", "groups"))
+    spark = theirs.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(WORD_COUNTERS, dtype=np.int64)
+        total = np.zeros(WORD_CLASSES, dtype=np.int64)
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for part in _chunks(texts):
-                at = _occurrences(*word_hashes(texts[part])) % np.uint64(WORD_COUNTERS)
-                total += np.bincount(at.astype(np.int64), minlength=WORD_COUNTERS)
+                classes = _occurrences(*word_hashes(texts[part])) % np.uint64(WORD_CLASSES)
+                total += np.bincount(classes.astype(np.int64), minlength=WORD_CLASSES)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["counter", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["class", "n"])
 
-    counted = theirs.select("text").mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    often = np.zeros(WORD_COUNTERS, dtype=np.int64)
+    counted = theirs.select("text").mapInArrow(count, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(WORD_CLASSES, dtype=np.int64)
     often[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
-    sent = theirs.sparkSession.sparkContext.broadcast(often)  # WORD_COUNTERS numbers
+    sent = spark.sparkContext.broadcast(often)  # WORD_CLASSES numbers
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = sent.value
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
                 some = batch.slice(k, 200)
-                columns: list[list] = [[], [], [], [], []]
-                for node, label, text in zip(*(some.column(c).to_pylist() for c in range(3))):
+                sizes, firsts, bins = [], [], []
+                for text in some.column(1).to_pylist():
                     words, _ = word_hashes([text])
-                    firsts = _first_words(words, often)
-                    hot = often[(firsts % np.uint64(WORD_COUNTERS)).astype(np.int64)] > HOT_WORD
-                    kept = firsts[hot][:HOT_KEPT].view(np.int64).tolist()
-                    for c, values in zip(columns, (firsts.view(np.int64).tolist(), [node] * len(firsts), [label] * len(firsts), [len(words)] * len(firsts), [kept if h else None for h in hot.tolist()])):
-                        c += values
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())))], names=["word", "node", "label", "n", "hot"])
-
-    words = keep(theirs.mapInArrow(first, "word long, node long, label long, n int, hot array<long>"))
-    mixed = words.groupBy("word").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("word")
-    words = words.join(mixed, "word", "left_semi")
-    other = words.select("word", *(F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "hot")))
-    # A pair with several hot words in common is taken at the least one of them only.
-    once = F.expr("hot IS NULL OR hot_b IS NULL OR coalesce(array_min(array_intersect(hot, hot_b)), word) = word")
-    on = [F.col("word") == F.col("word_b"), F.col("node") < F.col("node_b"), F.col("label") != F.col("label_b"), _close("n", "n_b"), once]
-    met = words.join(other.withColumnRenamed("word", "word_b"), on)
-    return met.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+                    sizes.append(len(words))
+                    firsts.append(_first_classes(words, sent.value).tolist())
+                    bins.append(np.bincount((words % np.uint64(WORD_BINS)).astype(np.int64), minlength=WORD_BINS).tolist())
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int32())), pa.array(bins, pa.list_(pa.int32()))], names=["node", "n", "firsts", "bins"])
+
+    read = keep(theirs.select("node", "text").mapInArrow(first, "node long, n int, firsts array<int>, bins array<int>"))
+    found = keep(read.select("node", "n", "firsts").join(theirs.select("node", "label", "groups"), "node"))
+    by_class = keep(found.select("label", F.explode("firsts").alias("class")).groupBy("class").agg(F.count("*").alias("n"), (F.min("label") != F.max("label")).alias("mixed")).where("mixed"))
+    marked = {r["class"]: k for k, r in enumerate(by_class.orderBy(F.desc("n"), "class").limit(MARKED).collect())}
+    n_masks = MARKED // MASK_BITS
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 200):
+                columns: list[list] = [[] for _ in range(8 + n_masks)]
+                for node, n, firsts, label, groups in zip(*(batch.column(c).slice(k, 200).to_pylist() for c in range(5))):
+                    bits = [marked.get(c) for c in firsts]
+                    same = [node, label, n, *_masks([g % (2 * MASK_BITS) for g in groups], 2), *_masks([b for b in bits if b is not None], n_masks)]
+                    columns[0] += firsts
+                    columns[1] += [None if b is None else b // MASK_BITS for b in bits]
+                    columns[2] += [None if b is None else _masks([b % MASK_BITS], 1)[0] for b in bits]
+                    for c, value in zip(columns[3:], same):
+                        c += [value] * len(firsts)
+                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * (2 + n_masks)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    masks = [f"m{k}" for k in range(n_masks)]
+    names = ["class", "part", "bit", "node", "label", "n", "g0", "g1", *masks]
+    kinds = ["int", "int", "long", "long", "long", "int", "long", "long", *["long"] * n_masks]
+    words = found.mapInArrow(spread, ", ".join(f"{x} {t}" for x, t in zip(names, kinds))).join(by_class.select("class"), "class", "left_semi")
+    other = words.select(*(F.col(c).alias(f"{c}_b") for c in ("class", "node", "label", "n", "g0", "g1", *masks)))
+    maybe_grouped = F.expr("((g0 & g0_b) | (g1 & g1_b)) <> 0L")  # bits of their groups; looked at group by group below
+    on = [F.col("class") == F.col("class_b"), F.col("node") < F.col("node_b"), F.col("label") != F.col("label_b"), _close("n", "n_b"), maybe_grouped, _met_once()]
+    met = words.join(other, on).select(F.col("node").alias("a"), F.col("node_b").alias("b"), "n", "n_b").distinct()
+    count_of = read.count()
+    met = _paired(met, found.select("node", "groups"), 2 * SKETCHES * count_of).where(F.arrays_overlap("groups_a", "groups_b"))
+    met = _paired(met.select("a", "b", "n", "n_b"), read.select("node", "bins"), WORD_BINS * count_of)
+    lost = [F.aggregate(F.zip_with(x, y, lambda i, j: F.greatest(i - j, F.lit(0))), F.lit(0), lambda s, v: s + v) for x, y in (("bins_a", "bins_b"), ("bins_b", "bins_a"))]
+    return met.where((lost[0] <= _most("n", "n_b")) & (lost[1] <= _most("n", "n_b"))).select("a", "b")
 
 
 def families(rows: DataFrame) -> DataFrame:

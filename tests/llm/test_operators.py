@@ -245,6 +245,19 @@ def test_alignment_against_full_table():
         assert minhash.similar(" ".join(a), " ".join(b), 0.7) == (distance(a, b) <= int(0.3 * max(len(a), len(b)) + 1e-9))
 
 
+def test_alignment_of_longer_texts():
+    r = random.Random(4)
+    for k in range(60):
+        a = [r.choice("abcdefgh") for _ in range(r.randint(60, 320))]
+        b = [r.choice("abcdefgh") if r.random() < k % 10 / 40 else x for x in a if r.random() > 0.03]
+        b = b[r.randint(0, 20) :]
+        d = distance(a, b)
+        for most in (d - 1, d, d + 1, d + 40):
+            if abs(len(a) - len(b)) <= most:
+                p, q = (np.array([ord(x) for x in t]) for t in (a, b))
+                assert minhash._edits_within(p, q, most) == (d <= most)
+
+
 def test_near_duplicates(spark):
     base, other = words(200, 11), words(200, 12)
     near = list(base)
