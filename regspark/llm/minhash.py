@@ -38,7 +38,9 @@ FIRST_SHARE = 15
 #: Words, each with its occurrence number, are put into so many classes by hash, which stand for them where open pairs are looked for.
 WORD_CLASSES = 1 << 20
 #: So many word classes, those that most texts look by, each have a bit; a pair with some of them in common is made at one.
-MARKED, MASK_BITS = 252, 63
+MARKED, MASK_BITS = 1512, 63
+#: Masks of a text's groups.
+GROUP_MASKS = 6
 #: A text's words are counted in so many bins by hash, to tell how much two texts have in common before they are aligned.
 WORD_BINS = 256
 #: Texts, or counts of words, are broadcast to pairs only if they come to at most so many characters or numbers.
@@ -366,24 +368,22 @@ def _open_pairs(known: DataFrame, texts: DataFrame, keep: Callable[[DataFrame],
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
-                columns: list[list] = [[] for _ in range(8 + n_masks)]
-                for node, n, firsts, label, groups in zip(*(batch.column(c).slice(k, 200).to_pylist() for c in range(5))):
-                    bits = [marked.get(c) for c in firsts]
-                    same = [node, label, n, *_masks([g % (2 * MASK_BITS) for g in groups], 2), *_masks([b for b in bits if b is not None], n_masks)]
-                    columns[0] += firsts
-                    columns[1] += [None if b is None else b // MASK_BITS for b in bits]
-                    columns[2] += [None if b is None else _masks([b % MASK_BITS], 1)[0] for b in bits]
-                    for c, value in zip(columns[3:], same):
-                        c += [value] * len(firsts)
-                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * (2 + n_masks)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+                node, n, firsts, label, groups = (batch.column(c).slice(k, 200).to_pylist() for c in range(5))
+                classes = np.array([c for f in firsts for c in f], dtype=np.int32)
+                bits = [[marked.get(c, -1) for c in f] for f in firsts]
+                same = np.array([[x, y, z, *_masks([i for i in b if i >= 0], n_masks), *_masks([i % (GROUP_MASKS * MASK_BITS) for i in g], GROUP_MASKS)] for x, y, z, b, g in zip(node, label, n, bits, groups)], dtype=np.int64)
+                bit = np.array([i for b in bits for i in b], dtype=np.int64)
+                same = np.repeat(same, [len(f) for f in firsts], axis=0)
+                columns = [classes, bit // MASK_BITS, np.int64(1) << (bit % MASK_BITS), *same.T]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if t == "int" else pa.int64(), mask=(bit < 0) if name in ("part", "bit") else None) for c, name, t in zip(columns, names, kinds)], names=names)
 
     masks = [f"m{k}" for k in range(n_masks)]
-    names = ["class", "part", "bit", "node", "label", "n", "g0", "g1", *masks]
-    kinds = ["int", "int", "long", "long", "long", "int", "long", "long", *["long"] * n_masks]
+    masks += [f"g{k}" for k in range(GROUP_MASKS)]
+    names = ["class", "part", "bit", "node", "label", "n", *masks]
+    kinds = ["int", "int", "long", "long", "long", "int", *["long"] * len(masks)]
     words = found.mapInArrow(spread, ", ".join(f"{x} {t}" for x, t in zip(names, kinds))).join(by_class.select("class"), "class", "left_semi")
-    other = words.select(*(F.col(c).alias(f"{c}_b") for c in ("class", "node", "label", "n", "g0", "g1", *masks)))
-    maybe_grouped = F.expr("((g0 & g0_b) | (g1 & g1_b)) <> 0L")  # bits of their groups; looked at group by group below
+    other = words.select(*(F.col(c).alias(f"{c}_b") for c in ("class", "node", "label", "n", *masks)))
+    maybe_grouped = F.expr(" OR ".join(f"(g{k} & g{k}_b) <> 0L" for k in range(GROUP_MASKS)))  # bits of their groups; looked at group by group below
     on = [F.col("class") == F.col("class_b"), F.col("node") < F.col("node_b"), F.col("label") != F.col("label_b"), _close("n", "n_b"), maybe_grouped, _met_once()]
     met = words.join(other, on).select(F.col("node").alias("a"), F.col("node_b").alias("b"), "n", "n_b").distinct()
     count_of = read.count()
