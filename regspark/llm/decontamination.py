@@ -54,8 +54,8 @@ def _slots(text: Column) -> Column:
     return F.filter(pairs, lambda x: x["token"] != "")
 
 
-def _windows(tokens: str) -> Column:
-    return F.expr(f"CASE WHEN size(`{tokens}`) < {WINDOW} THEN array() ELSE transform(sequence(1, size(`{tokens}`) - {WINDOW - 1}), i -> xxhash64(slice(`{tokens}`, i, {WINDOW}))) END")
+def _windows(tokens: str, length: int) -> Column:
+    return F.expr(f"CASE WHEN size(`{tokens}`) < {length} THEN array() ELSE transform(sequence(1, size(`{tokens}`) - {length - 1}), i -> xxhash64(slice(`{tokens}`, i, {length}))) END")
 
 
 def contaminated(
@@ -77,25 +77,32 @@ def contaminated(
     `min_consistent`. A document that falls short as a whole is judged by each occurrence: the
     windows of one of the item's texts at places that differ by one distance, give or take SHIFT,
     which must hold `min_share` of that text's windows; `consistent` is then that of the best
-    one. So an item that leaks twice with different values is found. Null texts match nothing, nor do items of fewer than five tokens or with
-    placeholders only. Rows of the benchmark with one id are one item with all their windows.
+    one. So an item that leaks twice with different values is found. An item of fewer than five
+    tokens is one window. Null texts match nothing, nor do windows with fewer than MIN_LITERALS
+    words that are not placeholders. Rows of the benchmark with one id are one item with all their windows.
     Either table may be empty (no pairs). Texts are searched whole, at any length.
     """
     items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item"), F.md5(F.col(item_text_col).cast("binary")).alias("item_body"), _slots(F.col(item_text_col)).alias("slots")).distinct()
-    items = items.select("item", "item_body", "slots", F.explode_outer(F.expr(f"CASE WHEN size(slots) < {WINDOW} THEN array() ELSE sequence(1, size(slots) - {WINDOW - 1}) END")).alias("at"))
-    items = items.where("at IS NOT NULL").select("item", "item_body", "at", F.slice("slots", F.col("at"), F.lit(WINDOW)).alias("asked"))
+    length = f"least(size(slots), {WINDOW})"
+    items = items.select("item", "item_body", "slots", F.explode_outer(F.expr(f"CASE WHEN size(slots) = 0 THEN array() ELSE sequence(1, size(slots) - {length} + 1) END")).alias("at"))
+    items = items.where("at IS NOT NULL").select("item", "item_body", "at", F.slice("slots", F.col("at"), F.expr(length)).alias("asked"))
     items = items.where(F.size(F.filter("asked", lambda x: ~x["token"].contains("<"))) >= MIN_LITERALS)
-    items = items.withColumn("hash", F.xxhash64(F.transform("asked", lambda x: x["token"])))
-    searched = items.select("item", "item_body", "at", "hash")
+    items = items.withColumns({"hash": F.xxhash64(F.transform("asked", lambda x: x["token"])), "length": F.size("asked")})
+    searched = items.select("item", "item_body", "at", "hash", "length")
+    lengths = sorted((r[0] for r in items.select("length").distinct().collect()), reverse=True) or [WINDOW]  # at most WINDOW of them
     chars = benchmark.agg(F.sum(F.length(item_text_col))).first()[0] or 0
     near = F.broadcast if chars <= BROADCAST_CHARS else (lambda df: df)
 
     keyed = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     tokenised = keyed.select("id", F.md5(F.col("text").cast("binary")).alias("body"), _tokens(F.col("text")).alias("tokens"))
-    hashed = tokenised.select("id", "body", _windows("tokens").alias("hashes"))
+    hashed = tokenised.select("id", "body", F.concat(*(_windows("tokens", n) for n in lengths)).alias("hashes"), F.size("tokens").alias("size"))
     # The outer form keeps Spark from testing the array's size further down, where its tokens would be made again for each window.
-    places = hashed.select("id", "body", F.posexplode_outer("hashes").alias("pos", "hash"))
-    hits = places.join(near(searched), "hash")
+    places = hashed.select("id", "body", "size", F.posexplode_outer("hashes").alias("pos", "hash"))
+    ahead, skipped = F.lit(0), F.lit(0)  # windows of longer lengths stand before those of a shorter one
+    for n in lengths:
+        skipped = F.when(F.col("length") == n, ahead).otherwise(skipped)
+        ahead = ahead + F.greatest(F.col("size") - (n - 1), F.lit(0))
+    hits = places.join(near(searched), "hash").withColumn("pos", F.col("pos") - skipped)
     per_item = searched.groupBy("item").agg(F.count_distinct("item_body", "at").alias("n_windows"))
     found = hits.groupBy("id", "body", "item").agg(F.count_distinct("item_body", "at").alias("n_found"), F.collect_set(F.struct("item_body", "at", "pos")).alias("places"))
     found = found.join(near(per_item), found["item"].eqNullSafe(per_item["item"])).drop(per_item["item"]).where(F.col("n_found") >= min_share * F.col("n_windows"))
@@ -107,6 +114,7 @@ def contaminated(
     again = again.select("id", "body", "item", "n_found", "n_windows", F.col("p.item_body").alias("item_body"), F.col("p.at").alias("at"), F.col("p.pos").alias("pos"), F.slice("said", F.col("p.pos") + 1, F.lit(WINDOW)).alias("said"))
     asked = items.select(F.col("item").alias("_item"), F.col("item_body").alias("_body"), F.col("at").alias("_at"), "asked")
     uses = again.join(near(asked), again["item"].eqNullSafe(asked["_item"]) & (again["item_body"] == asked["_body"]) & (again["at"] == asked["_at"]))
+    uses = uses.withColumn("said", F.slice("said", F.lit(1), F.size("asked")))
     same = F.transform("asked", lambda x: x["token"]) == F.transform("said", lambda x: x["token"])
     slots = F.filter(F.zip_with("asked", "said", lambda a, s: F.struct(a["token"].alias("kind"), a["raw"].alias("asked"), s["raw"].alias("said"))), lambda x: x["kind"].contains("<"))
     group = ["id", "body", "item", "n_found", "n_windows"]
@@ -153,19 +161,29 @@ def oracle_ctes(source: str, prefix: str = "bd") -> str:
     t = f"lower(regexp_replace(regexp_replace({t}, '{_NUMBER}', '<num>', 'g'), '{_OTHER}', '', 'g'))"
     raw = "lower(regexp_replace(regexp_replace(text, '[<>]', ' ', 'g'), '[^\\p{L}\\p{N}\\x20\\x09-\\x0D]+', '', 'g'))"
 
-    def wins(name: str, key: str, src: str) -> str:
-        return f"""
-{prefix}_{name}t AS (SELECT {key} AS k, md5(text) AS body, list_filter(list_zip(string_split_regex({t}, '{ws}'), string_split_regex({raw}, '{ws}')), lambda x: x[1] <> '') AS z FROM (SELECT DISTINCT {key}, text FROM {src} WHERE text IS NOT NULL)),
-{prefix}_{name} AS (SELECT k, body, i, z[i:i + 4] AS z, list_transform(z[i:i + 4], lambda x: x[1]) AS g FROM (SELECT *, unnest(range(1, len(z) - 3)) AS i FROM {prefix}_{name}t WHERE len(z) >= 5))"""
+    def read(name: str, key: str, src: str) -> str:
+        return f"{prefix}_{name} AS (SELECT {key} AS k, md5(text) AS body, list_filter(list_zip(string_split_regex({t}, '{ws}'), string_split_regex({raw}, '{ws}')), lambda x: x[1] <> '') AS z FROM (SELECT DISTINCT {key}, text FROM {src} WHERE text IS NOT NULL))"
 
-    return f"""{wins("d", "doc_id", source)},{wins("i0", "item_id", "benchmark")},
-{prefix}_i AS (SELECT * FROM {prefix}_i0 WHERE len(list_filter(g, lambda x: NOT contains(x, '<'))) >= {MIN_LITERALS}),
+    def consistency(name: str, rows: str, group: str) -> str:
+        return f"""{prefix}_{name} AS (SELECT {group}, coalesce(sum(usual) / sum(n), 1.0) AS consistent FROM (
+  SELECT {group}, s[1][1] AS kind, s[1][2] AS asked, max(n) AS usual, sum(n) AS n FROM (SELECT {group}, s, count(s) AS n FROM (SELECT {group}, unnest(CASE WHEN len(slots) = 0 THEN [NULL] ELSE slots END) AS s FROM {rows}) GROUP BY ALL) GROUP BY ALL) GROUP BY ALL)"""
+
+    whole, one = "doc_id, body, item_id, n_found, n_windows", "doc_id, body, item_id, n_found, n_windows, ib, start"
+    return f"""{read("dt", "doc_id", source)},
+{read("it", "item_id", "benchmark")},
+{prefix}_i AS (SELECT k, body, i, size, z[i:i + size - 1] AS z, list_transform(z[i:i + size - 1], lambda x: x[1]) AS g FROM (SELECT *, unnest(range(1, len(z) - size + 2)) AS i FROM (SELECT *, least(len(z), {WINDOW}) AS size FROM {prefix}_it WHERE len(z) > 0)) WHERE len(list_filter(g, lambda x: NOT contains(x, '<'))) >= {MIN_LITERALS}),
+{prefix}_d AS (SELECT k, body, i, z[i:i + size - 1] AS z, list_transform(z[i:i + size - 1], lambda x: x[1]) AS g FROM (SELECT *, unnest(range(1, len(z) - size + 2)) AS i FROM {prefix}_dt JOIN (SELECT DISTINCT size FROM {prefix}_i) ON len(z) >= size)),
 {prefix}_n AS (SELECT k, count(*) AS n_windows FROM {prefix}_i GROUP BY k),
-{prefix}_h AS (SELECT d.k AS doc_id, d.body, i.k AS item_id, i.body AS ib, i.i AS pos, list_zip(i.z, d.z) AS zz FROM {prefix}_d d JOIN {prefix}_i i ON d.g = i.g),
-{prefix}_f AS (SELECT doc_id, h.body, item_id, count(DISTINCT (ib, pos)) AS n_found, any_value(n_windows) AS n_windows FROM {prefix}_h h JOIN {prefix}_n n ON h.item_id = n.k GROUP BY ALL HAVING count(DISTINCT (ib, pos)) >= {MIN_SHARE} * any_value(n_windows)),
-{prefix}_s AS (SELECT doc_id, body, item_id, s[1][1] AS kind, s[1][2] AS asked, s[2][2] AS said, count(*) AS n FROM (SELECT doc_id, body, item_id, unnest(zz) AS s FROM {prefix}_h SEMI JOIN {prefix}_f USING (doc_id, body, item_id)) WHERE contains(s[1][1], '<') GROUP BY ALL),
-{prefix}_c AS (SELECT doc_id, body, item_id, sum(usual) / sum(n) AS consistent FROM (SELECT doc_id, body, item_id, kind, asked, max(n) AS usual, sum(n) AS n FROM {prefix}_s GROUP BY ALL) GROUP BY ALL),
-{prefix}_out AS (SELECT f.doc_id, f.body, f.item_id, f.n_found, f.n_windows, coalesce(consistent, 1.0) AS consistent FROM {prefix}_f f LEFT JOIN {prefix}_c c ON f.doc_id = c.doc_id AND f.body = c.body AND f.item_id = c.item_id WHERE coalesce(consistent, 1.0) >= {MIN_CONSISTENT})"""
+{prefix}_m AS (SELECT k, body, count(*) AS n_text FROM {prefix}_i GROUP BY ALL),
+{prefix}_h AS (SELECT d.k AS doc_id, d.body, i.k AS item_id, i.body AS ib, i.i AS at, d.i AS pos, list_filter(list_zip(i.z, d.z), lambda s: contains(s[1][1], '<')) AS slots FROM {prefix}_d d JOIN {prefix}_i i ON d.g = i.g),
+{prefix}_f AS (SELECT doc_id, h.body, item_id, count(DISTINCT (ib, at)) AS n_found, any_value(n_windows) AS n_windows FROM {prefix}_h h JOIN {prefix}_n n ON h.item_id = n.k GROUP BY ALL HAVING count(DISTINCT (ib, at)) >= {MIN_SHARE} * any_value(n_windows)),
+{prefix}_u AS (SELECT h.*, n_found, n_windows FROM {prefix}_h h JOIN {prefix}_f f ON h.doc_id IS NOT DISTINCT FROM f.doc_id AND h.body = f.body AND h.item_id = f.item_id),
+{consistency("w", f"{prefix}_u", whole)},
+{prefix}_p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, body, item_id, ib, start, at ORDER BY abs(pos - at - start), pos) AS turn FROM (SELECT u.*, unnest(range(pos - at - {SHIFT}, pos - at + {SHIFT + 1})) AS start FROM {prefix}_u u SEMI JOIN (SELECT * FROM {prefix}_w WHERE consistent < {MIN_CONSISTENT}) w ON u.doc_id IS NOT DISTINCT FROM w.doc_id AND u.body = w.body AND u.item_id = w.item_id)),
+{prefix}_q AS (SELECT {one}, flatten(list(slots)) AS slots, count(*) AS n_at FROM {prefix}_p WHERE turn = 1 GROUP BY ALL),
+{prefix}_r AS (SELECT q.* FROM {prefix}_q q JOIN {prefix}_m m ON q.item_id = m.k AND q.ib = m.body WHERE n_at >= {MIN_SHARE} * n_text),
+{consistency("o", f"{prefix}_r", one)},
+{prefix}_out AS (SELECT {whole}, max(consistent) AS consistent FROM (SELECT {whole}, consistent FROM {prefix}_w UNION ALL SELECT {whole}, consistent FROM {prefix}_o) WHERE consistent >= {MIN_CONSISTENT} GROUP BY ALL)"""
 
 
 ORACLE_SQL = f"WITH {oracle_ctes('documents')} SELECT doc_id, item_id, CAST(n_found AS BIGINT) AS n_found, CAST(n_windows AS BIGINT) AS n_windows, consistent FROM bd_out"
