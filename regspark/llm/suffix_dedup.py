@@ -11,8 +11,8 @@ anchors, so runs are compared only with runs of the same anchor:
 3. Where an anchor has more different runs than a task should hold, the windows themselves are
    counted by hash in Spark, blocks of windows first, so that no task gathers the anchor.
 
-Texts equal as a whole are told apart by a 64-bit hash and looked at once; hashes of runs,
-blocks and windows have 64 bits as well.
+Texts equal as a whole are looked at once. They are told apart by two 64-bit hashes; a run is
+named by its own hash and its anchor's, and windows are compared within one anchor.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regspark.llm.common import durable
+from regspark.llm.common import durable, stored
 
 LENGTH, KGRAM = 400, 128
 #: An anchor with more different runs than this is resolved by counting instead of in one task.
@@ -170,17 +170,23 @@ def _all_runs(rows: DataFrame) -> DataFrame:
     """(anchor, run, node, starts, width) of the texts of rows (node, raw)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies give the same rows, so those met lately are passed over
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 some = batch.slice(k, 500)
                 out: list[tuple] = []
                 for node, raw in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    if node in seen:
+                        continue
+                    seen.add(node)
                     found: dict[tuple, list[int]] = {}
                     for a, r, first, width in zip(*(x.tolist() for x in runs(raw))):
                         found.setdefault((a, r, width), []).append(first)
                     out += [(a, r, node, starts, width) for (a, r, width), starts in found.items()]
                 columns = list(zip(*out)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32()))], names=["anchor", "run", "node", "starts", "width"])
+            if len(seen) > 200_000:
+                seen.clear()
 
     return rows.select("node", "raw").mapInArrow(run, "anchor long, run long, node long, starts array<int>, width int")
 
@@ -260,8 +266,11 @@ def _lead(h: Hashed, anchor: int) -> int:
     return int(np.flatnonzero(h.parts(at, at + KGRAM).view(np.int64) == anchor)[0])
 
 
-def _repeats(rows: DataFrame) -> DataFrame:
-    """(node, first, last): repeated windows in the distinct texts of rows (id, node, raw)."""
+def _repeats(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """(node, first, last): repeated windows in the distinct texts of rows (id, node, raw).
+
+    `heads` (node, id) names one row of each text, whose contents stand for all of its copies.
+    """
     every = durable(_all_runs(rows.where(F.octet_length("raw") >= LENGTH)).groupBy("anchor", "run", "node").agg(F.max("starts").alias("starts"), F.max("width").alias("width")))
     by_run = every.groupBy("anchor", "run").agg(F.sum(F.size("starts")).alias("n"), F.min(F.struct("node", F.col("starts")[0].alias("start"), "width")).alias("one"))
     by_anchor = by_run.groupBy("anchor").agg(F.count("*").alias("n_runs"))
@@ -272,7 +281,9 @@ def _repeats(rows: DataFrame) -> DataFrame:
     compared = chosen.where("n_runs > 1").select("anchor", "run", "n", "n_runs", F.col("one.node").alias("node"), F.col("one.start").alias("start"), F.col("one.width").alias("width"))
     by_node = compared.groupBy("node").agg(F.collect_list(F.struct("anchor", "run", "n_runs", "start", "width")).alias("asked"))
     cut = F.substring("raw", F.col("r.start") + 1, F.col("r.width") + LENGTH - 1)
-    contents = rows.join(by_node, "node").select(F.col("raw"), F.explode("asked").alias("r")).select("r.anchor", "r.run", "r.n_runs", cut.alias("content"))
+    asked = by_node.join(heads, "node").select(F.col("node").alias("_node"), F.col("id").alias("_id"), "asked")
+    # By id too, so that the copies of one text go to many tasks and all but one row meet nothing.
+    contents = rows.join(asked, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id"))).select(F.col("raw"), F.explode("asked").alias("r")).select("r.anchor", "r.run", "r.n_runs", cut.alias("content"))
     contents = durable(contents)
     few = contents.where(F.col("n_runs") <= TASK_RUNS).select("anchor", "run", "content").repartition("anchor").sortWithinPartitions("anchor", "run")
     found = few.mapInArrow(_sorted_task, "anchor long, run long, first int, last int")
@@ -290,11 +301,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the same text or another; overlaps count, all copies go, and strings are judged on the
     input. Null texts are empty; texts shorter than LENGTH stay whole. Rows with one text are
     copies of each other, whatever their ids, which may be null or repeat. What is left is
-    binary, since a cut may fall inside a character.
+    binary, since a cut may fall inside a character. An empty table gives no rows; columns
+    besides the id and the text, whatever their names, are not read.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw")).withColumn("node", F.xxhash64("raw"))
-    copies = rows.groupBy("node").agg(F.count("*").alias("n"), F.max(F.octet_length("raw")).alias("size")).where(f"n > 1 AND size >= {LENGTH}")
-    marked = _repeats(rows).unionByName(copies.select("node", F.lit(0).alias("first"), (F.col("size") - LENGTH).alias("last")))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
+    rows = rows.withColumns({"node": F.xxhash64("raw"), "second": F.xxhash64(F.lit(1), "raw")})
+    clash = rows.groupBy("node").agg(F.min("second").alias("least"), F.max("second").alias("most")).where("least < most").select("node", "least")
+    clash = stored(clash)
+    if not clash.isEmpty():  # different texts with one hash: a few in a trillion; all but one get another
+        rows = rows.join(clash, "node", "left").withColumn("node", F.when(F.col("second") > F.col("least"), F.xxhash64("node", "second")).otherwise(F.col("node"))).drop("least")
+    rows = rows.drop("second")
+    folded = stored(rows.where(F.octet_length("raw") >= LENGTH).groupBy("node").agg(F.count("*").alias("n"), F.max(F.octet_length("raw")).alias("size"), F.min("id").alias("id")))
+    copies = folded.where("n > 1")
+    marked = _repeats(rows, folded.select("node", "id")).unionByName(copies.select("node", F.lit(0).alias("first"), (F.col("size") - LENGTH).alias("last")))
     marks = marked.groupBy("node").agg(F.collect_set(F.struct("first", "last")).alias("marks"))
     joined = rows.join(marks, "node", "left").select("id", "raw", "marks")
 
