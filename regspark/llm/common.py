@@ -67,6 +67,17 @@ def in_fold(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def least_by_hash(df: DataFrame, id_col: str, n: int, total: int) -> DataFrame:
+    """The `n` rows of `df`, which has `total`, that come first by a hash of the id.
+
+    A threshold for the hash leaves a few times as many, so that few rows of each task are sorted.
+    """
+    draw = F.pmod(F.xxhash64(id_col), F.lit(1 << 30))
+    if total > 4 * n:
+        df = df.where(draw < int((1 << 30) * 4 * n / total))
+    return df.orderBy(draw, id_col).limit(n)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name beginning with `name` that `df` does not have."""
     taken = {c.lower() for c in df.columns}

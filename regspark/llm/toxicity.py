@@ -19,20 +19,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regspark.llm.common import fresh
+from regspark.llm.common import fresh, least_by_hash
 from regspark.llm.quality_classifier import fit_logistic, logit, sigmoid
 
 #: Bound of the labelled sample, for each of the two classes.
 MAX_PER_CLASS = 2_000
 #: Bytes of the trained dictionaries.
-TOXIC_BYTES, ORDINARY_BYTES = 2_048, 65_536
-#: Toxic passages for the dictionary are words with a byte string of this length that at least
-#: so many toxic documents hold, so many times their share among ordinary ones.
-GRAM, MIN_TOXIC_DOCS, MIN_RATIO = 5, 4, 20.0
+TOXIC_BYTES, ORDINARY_BYTES = 4_096, 65_536
+#: Toxic passages for the dictionary are words with a byte string of one of these lengths that at
+#: least so many toxic documents hold, so many times their share among ordinary ones at least, and
+#: so many deviations more than is to be expected.
+GRAMS, MIN_TOXIC_DOCS, MIN_RATIO, MIN_DEVIATIONS = (5, 7, 9), 4, 20.0, 8.0
 #: Both dictionaries end with these bytes, and so does each window: zstandard looks for no match in the last few bytes of its input.
 TAIL = b"0123456789ABCDEFGHIJKLMNOPQRSTUV"
 #: Byte differences at which windows are counted.
 STEPS = (2, 3, 4, 5, 6, 7)
+#: Samples that passages are dealt out to for training a dictionary.
+STRIDES = 64
 #: Longer words are cut into windows of so many bytes; windows that a worker remembers.
 WINDOW_BYTES, CACHE_ENTRIES = 64, 500_000
 #: A document is called toxic from this score.
@@ -95,19 +98,22 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 
 def _dictionary(size: int, passages: list[bytes]) -> bytes:
-    """A trained dictionary, or the passages themselves where there are too few to train on."""
-    samples = [b"".join(passages[k : k + 8]) for k in range(0, len(passages), 8)]
-    if sum(map(len, samples)) > 4 * size and len(samples) > 16:
-        try:
-            return zstandard.train_dictionary(size, samples, k=24, d=6).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    return b"".join(dict.fromkeys(passages))[-size:]
+    """A trained dictionary; of passages that come to no more than twice `size` all different ones, as zstandard trains on much text only."""
+    samples = [b"".join(passages[k::STRIDES]) for k in range(min(STRIDES, len(passages)))]
+    if sum(map(len, samples)) > 2 * size:
+        return zstandard.train_dictionary(size, samples, k=24, d=6).as_bytes()
+    return b"".join(dict.fromkeys(passages))
 
 
 def _grams(word: bytes) -> set[bytes]:
     word = b" " + word + b" "
-    return {word[k : k + GRAM] for k in range(len(word) - GRAM + 1)}
+    return {word[k : k + n] for n in GRAMS for k in range(len(word) - n + 1)}
+
+
+def _typical(toxic: int, ordinary: int, per_ordinary: float) -> bool:
+    """Whether a string in so many documents of either class is typical of toxic ones: by the ratio of its shares, and by deviations from what one ordinary document more would lead to expect."""
+    expected = (ordinary + 1) * per_ordinary
+    return toxic >= max(MIN_RATIO * ordinary * per_ordinary, expected + MIN_DEVIATIONS * expected**0.5)
 
 
 def fit(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray) -> Model:
@@ -126,11 +132,11 @@ def fit(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray) -> Model
     size = [sum(1 for _, y in docs if y == c) for c in (0, 1)]
     for found, y in docs:
         held[y].update(set().union(*map(_grams, set(found))) if found else ())
-    typical = {g for g, c in held[1].items() if c >= min(MIN_TOXIC_DOCS, size[1]) and (c + 0.5) / size[1] >= MIN_RATIO * (held[0][g] + 0.5) / size[0]}
+    typical = {g for g, c in held[1].items() if c >= MIN_TOXIC_DOCS and _typical(c, held[0][g], size[1] / size[0])}
     toxic_words = [b" " + w + b" " for found, y in docs if y for w in found if _grams(w) & typical]
     ordinary_words = [b" " + w + b" " for found, y in docs if not y for w in found]
     del held
-    model = Model(_dictionary(TOXIC_BYTES, toxic_words) or TAIL, _dictionary(ORDINARY_BYTES, ordinary_words[: 40 * ORDINARY_BYTES]) or TAIL)
+    model = Model(_dictionary(TOXIC_BYTES, toxic_words) or TAIL, _dictionary(ORDINARY_BYTES, ordinary_words) or TAIL)
     rows = np.flatnonzero(hold)
     x = np.array([model.features(texts[k]) for k in rows])
     model.weights = tuple(map(float, fit_logistic(x, toxic[rows].astype(float), weight[rows], l2=0.05)))
@@ -140,14 +146,16 @@ def fit(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray) -> Model
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_per_class: int = MAX_PER_CLASS) -> Model:
     """Fit on at most `max_per_class` labelled documents of each class, the least by a hash of
     the id. Rows with a null id, text or label, and ids with both labels, are left out."""
-    known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_lo"), F.max(label_col).alias("_hi")).where("_lo = _hi AND _lo IN (0, 1)").select("_id", F.col("_lo").cast("int").alias("_y"))
-    total = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    parts = [known.where(F.col("_y") == c).orderBy(F.xxhash64("_id"), "_id").limit(max_per_class) for c in (0, 1)]
+    known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("low"), F.max(label_col).alias("high")).where("low = high AND low IN (0, 1)").select("id", F.col("low").cast("int").alias("y"))
+    total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    parts = [least_by_hash(known.where(F.col("y") == c), "id", max_per_class, total.get(c, 0)) for c in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # bounded by twice the limit
-    got = docs.where(F.col(text_col).isNotNull()).join(chosen, docs[id_col] == chosen["_id"]).select("_id", "_y", F.col(text_col).alias("_text")).dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").toPandas()
-    y = got["_y"].to_numpy(dtype=int) if len(got) else np.zeros(0, dtype=int)
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # Of several texts with one id the same one is taken each time.
+    got = texts.join(chosen, "id").groupBy("id", "y").agg(F.min("text").alias("text")).orderBy(F.xxhash64("id"), "id").toPandas()
+    y = got["y"].to_numpy(dtype=int) if len(got) else np.zeros(0, dtype=int)
     weight = np.array([total[c] / max(1, (y == c).sum()) for c in y]) if len(y) else np.zeros(0)
-    return fit(got["_text"].tolist(), y, weight / max(weight.mean(), 1e-9) if len(y) else weight)
+    return fit(got["text"].tolist(), y, weight / max(weight.mean(), 1e-9) if len(y) else weight)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
