@@ -7,35 +7,35 @@ all ways to cut it into pieces; a text's score is the product over its words.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from regspark.llm.common import fresh
 
-#: Bounds of the fit: labelled documents for each language, and distinct words of each.
-MAX_PER_LANG, MAX_WORDS = 400, 20_000
-MAX_LANGS = 64
-#: Longest piece (characters), rounds of expectation-maximisation, smoothing counts for each piece.
-PIECE_CHARS, ROUNDS, SMOOTH = 8, 3, 0.05
+#: Bound of the fit: labelled documents for each language. Longer words are scored, but not learned from.
+MAX_PER_LANG, FIT_WORD_CHARS = 400, 64
+#: Rounds of expectation-maximisation, smoothing counts for each piece.
+ROUNDS, SMOOTH = 3, 0.05
 #: Probability of a character that is no piece, shared by all languages.
 UNKNOWN = 1e-7
-#: Longer runs of letters are scored in parts of so many characters; words that a worker remembers.
-WORD_CHARS, CACHE_ENTRIES = 48, 700_000
+#: Ends of a word after which its forward sums are scaled; words that a worker remembers, if they are not longer than this.
+SCALE_STEP, CACHE_ENTRIES, CACHE_CHARS = 16, 700_000, 64
 #: A word's evidence counts for this share in the posterior probability, since words depend on each other.
 TEMPER = 0.1
 START = "▁"
 UNDETERMINED = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 @lru_cache(maxsize=2)
@@ -44,16 +44,13 @@ def pieces(path: str) -> dict[str, int]:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    found = dict.fromkeys(p.lower() for p in map(model.id_to_piece, range(model.get_piece_size())) if _LETTERS.fullmatch(p.removeprefix(START) or "-") and len(p) <= PIECE_CHARS)
+    found = dict.fromkeys(p.lower() for p in map(model.id_to_piece, range(model.get_piece_size())) if _LETTERS.fullmatch(p.removeprefix(START)) or p == START)
     return {p: k for k, p in enumerate(found)}
 
 
 def text_words(text: str | None) -> list[str]:
-    """Runs of letters in lower case; runs over WORD_CHARS in parts."""
-    found = _LETTERS.findall((text or "").lower())
-    if any(len(w) > WORD_CHARS for w in found):
-        found = [w[k : k + WORD_CHARS] for w in found for k in range(0, len(w), WORD_CHARS)]
-    return found
+    """Runs of letters (Unicode category L) in lower case."""
+    return _LETTERS.findall((text or "").lower())
 
 
 @dataclass
@@ -102,12 +99,16 @@ class Model:
         return out
 
 
-def lattice(words: list[str], vocabulary: dict[str, int]) -> np.ndarray:
-    """Piece numbers of equally long words: [word, end, length]; -1 where there is no piece, the last number for an unknown character."""
+def longest(vocabulary: dict[str, int]) -> int:
+    return max(map(len, vocabulary), default=1)
+
+
+def lattice(words: list[str], vocabulary: dict[str, int], most: int) -> np.ndarray:
+    """Piece numbers of equally long words: [word, end, length], lengths up to `most`; -1 where there is no piece, the last number for an unknown character."""
     n, unknown = len(words[0]) + 1, len(vocabulary)
-    out = np.full((len(words), n, PIECE_CHARS), -1, dtype=np.int32)
+    out = np.full((len(words), n, most), -1, dtype=np.int32)
     get = vocabulary.get
-    for length in range(1, min(PIECE_CHARS, n) + 1):
+    for length in range(1, min(most, n) + 1):
         none = unknown if length == 1 else -1
         for end in range(length, n + 1):
             start = end - length
@@ -116,26 +117,38 @@ def lattice(words: list[str], vocabulary: dict[str, int]) -> np.ndarray:
 
 
 def forward(words: list[str], vocabulary: dict[str, int], table: np.ndarray) -> Iterator[tuple[list[str], np.ndarray]]:
-    """(words of one length, their log-probabilities by language), over all segmentations."""
-    padded = np.vstack([table, np.zeros((1, table.shape[1]))])  # number -1: no piece
+    """(words of one length, their log-probabilities by language), over all segmentations.
+
+    The sums of the last few ends are divided by their largest now and then, so that words of
+    any length keep their probability.
+    """
+    padded, most = np.vstack([table, np.zeros((1, table.shape[1]))]), longest(vocabulary)  # number -1: no piece
     for some in by_length(words):
-        number = lattice(some, vocabulary)
+        number = lattice(some, vocabulary, most)
         n = number.shape[1]
         alpha = np.zeros((n + 1, len(some), table.shape[1]))
+        scale = np.zeros(alpha.shape[1:])
         alpha[0] = 1.0
         for end in range(1, n + 1):
-            for length in range(1, min(PIECE_CHARS, end) + 1):
+            for length in range(1, min(most, end) + 1):
                 alpha[end] += alpha[end - length] * padded[number[:, end - 1, length - 1]]
-        yield some, np.log(np.maximum(alpha[n], 1e-290))
+            if end % SCALE_STEP == 0:
+                last = alpha[max(0, end - most + 1) : end + 1]
+                largest = np.maximum(last.max(axis=0), 1e-250)
+                last /= largest
+                scale += np.log(largest)
+        yield some, np.log(np.maximum(alpha[n], 1e-290)) + scale
 
 
 def by_length(words: list[str], most: int = 4096) -> Iterator[list[str]]:
+    """Words of one length, as many as `most` of 16 characters would take room for."""
     groups: dict[int, list[str]] = {}
     for w in words:
         groups.setdefault(len(w), []).append(w)
-    for _, group in sorted(groups.items()):
-        for k in range(0, len(group), most):
-            yield group[k : k + most]
+    for n, group in sorted(groups.items()):
+        step = max(1, min(most, 16 * most // n))
+        for k in range(0, len(group), step):
+            yield group[k : k + step]
 
 
 def fit_language(counts: Counter, vocabulary: dict[str, int], rounds: int = ROUNDS) -> np.ndarray:
@@ -143,26 +156,26 @@ def fit_language(counts: Counter, vocabulary: dict[str, int], rounds: int = ROUN
 
     Expected piece counts come from a forward and a backward pass over each word's lattice.
     """
-    k = len(vocabulary)
+    k, most = len(vocabulary), longest(vocabulary)
     p = np.full(k + 2, 1.0 / k)
     p[k], p[k + 1] = UNKNOWN, 0.0  # unknown character; no piece
     for _ in range(rounds):
         expected = np.zeros(k + 2)
-        for some in by_length(list(counts)):
-            number = lattice(some, vocabulary)
+        for some in by_length([w for w in counts if len(w) <= FIT_WORD_CHARS]):
+            number = lattice(some, vocabulary, most)
             n = number.shape[1]
             f, b = np.zeros((n + 1, len(some))), np.zeros((n + 1, len(some)))
             f[0] = b[n] = 1.0
             for end in range(1, n + 1):
-                for length in range(1, min(PIECE_CHARS, end) + 1):
+                for length in range(1, min(most, end) + 1):
                     f[end] += f[end - length] * p[number[:, end - 1, length - 1]]
             for end in range(n, 0, -1):
-                for length in range(1, min(PIECE_CHARS, end) + 1):
+                for length in range(1, min(most, end) + 1):
                     b[end - length] += b[end] * p[number[:, end - 1, length - 1]]
             # Square roots, so that a few very frequent words do not take all of the probability.
             weight = np.sqrt([counts[w] for w in some]) / np.maximum(f[n], 1e-290)
             for end in range(1, n + 1):
-                for length in range(1, min(PIECE_CHARS, end) + 1):
+                for length in range(1, min(most, end) + 1):
                     piece = number[:, end - 1, length - 1]
                     np.add.at(expected, piece, weight * f[end - length] * p[piece] * b[end])
         expected = expected[:k] + SMOOTH
@@ -171,25 +184,25 @@ def fit_language(counts: Counter, vocabulary: dict[str, int], rounds: int = ROUN
 
 
 def train(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_per_lang: int = MAX_PER_LANG) -> Model:
-    """Fit on at most `max_per_lang` documents of each language, the least by a hash of the id;
-    rows with a null id or language are not learned from. Of more than MAX_LANGS languages the
-    most frequent are learned, and of each sample the MAX_WORDS most frequent words."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    share = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
-    if not share:
+    """Fit on at most `max_per_lang` documents of each language, the least by a hash of the id
+    (ties: of the text). Every non-null language is learned; rows with a null id or language are
+    not learned from. Equal rows count once."""
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    share = known.groupBy("lang").agg(F.count("*").alias("n"))
+    counted = {r["lang"]: r["n"] for r in share.collect()}  # one row a language
+    if not counted:
         return Model(path, (), np.zeros((0, 0)), np.zeros(0))
-    # Only ids are sorted; the texts of the chosen ones are fetched afterwards.
-    parts = [known.where(F.col(lang_col) == r["lang"]).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).orderBy(F.xxhash64("_id"), "_id").limit(max_per_lang) for r in share]
-    chosen = reduce(DataFrame.unionByName, parts).distinct()
-    sample = known.join(F.broadcast(chosen), (F.col(id_col) == F.col("_id")) & (F.col(lang_col) == F.col("_lang")))  # bounded by MAX_LANGS x max_per_lang
-    sample = sample.select("_id", F.col("_lang").alias("lang"), F.col(text_col).alias("text")).dropDuplicates(["_id", "lang"])
-    counts: dict[str, Counter] = {r["lang"]: Counter() for r in share}
+    # A threshold for the hash leaves a few times as many as are wanted, so that little is ranked and no language is gathered.
+    drawn = known.join(share, "lang").where((F.pmod("h", F.lit(1 << 30)) < F.lit(float(1 << 30)) * 4 * max_per_lang / F.col("n")) | (F.col("n") <= 4 * max_per_lang))
+    turn = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", F.xxhash64("text")))
+    sample = drawn.distinct().withColumn("turn", turn).where(F.col("turn") <= max_per_lang).select("lang", "text")
+    counts: dict[str, Counter] = {lang: Counter() for lang in counted}
     for row in sample.toLocalIterator():
         counts[row["lang"]].update(text_words(row["text"]))
     vocabulary = pieces(path)
     langs = tuple(sorted(counts))
-    table = np.column_stack([fit_language(Counter(dict(counts[lang].most_common(MAX_WORDS))), vocabulary) for lang in langs])
-    n = np.array([next(r["n"] for r in share if r["lang"] == lang) for lang in langs], dtype=float)
+    table = np.column_stack([fit_language(counts[lang], vocabulary) for lang in langs])
+    n = np.array([counted[lang] for lang in langs], dtype=float)
     return Model(path, langs, table, (n + 1) / (n + 1).sum())
 
 
