@@ -146,11 +146,36 @@ def test_language_id_edges(spark):
     model = language_id.train(docs, path)
     out = {(r["doc_id"], r["lang_pred"]) for r in language_id.predict(frame(spark, [(1, None), (2, ""), (3, "12 34 !"), (4, "x" * 100_000)]), model).collect()}
     assert {(1, "und"), (2, "und"), (3, "und")} <= out and len(out) == 4
+    numerals = language_id.predict(frame(spark, [(1, "½ ² ① Ⅷ 12"), (2, "½ water")]), model).collect()
+    assert [(r["lang_pred"], r["score"] > 0) for r in sorted(numerals)] == [("und", False), ("aa", True)]
+    assert language_id.predict(docs.limit(0), model).count() == 0
     nothing = language_id.train(docs.limit(0), path)
     assert {r["lang_pred"] for r in language_id.predict(docs.select("doc_id", "text"), nothing).collect()} == {"und"}
     assert "score_" in language_id.predict(clashing(spark, "score"), model).columns
 
 
+def test_language_of_every_row_is_learned_once(spark):
+    rows = [(k % 3, f"only this text {'abc'[k % 3]}", f"l{k % 3}") for k in range(30)]  # repeated rows, and ids that tie with themselves
+    docs = frame(spark, rows, "doc_id long, text string, lang string").withColumn("_id", F.lit(1)).withColumn("_lang", F.lit("x"))
+    model = language_id.train(docs, tokenizer_file("piece_bpe_32k.model"))
+    assert model.langs == ("l0", "l1", "l2") and np.allclose(model.table[:, 0].sum(), 1, atol=1e-3)
+    many = frame(spark, [(k, f"word{chr(97 + k % 26)}", f"lang{k:03d}") for k in range(70)], "doc_id long, text string, lang string")
+    assert len(language_id.train(many, tokenizer_file("piece_bpe_32k.model")).langs) == 70
+
+
+def test_long_words_against_logarithms():
+    vocabulary = {"▁": 0, "a": 1, "▁a": 2, "aa": 3}
+    table = np.array([[0.2], [0.3], [0.1], [0.05], [1e-7]])
+    n = 3000
+    logs = np.full(n + 2, -np.inf)  # forward sums in logarithms, position 1 being the word's start mark
+    logs[0], logs[1] = 0.0, math.log(0.2)
+    logs[2] = np.logaddexp(math.log(0.1), logs[1] + math.log(0.3))
+    for k in range(3, n + 2):
+        logs[k] = np.logaddexp(logs[k - 1] + math.log(0.3), logs[k - 2] + math.log(0.05) if k - 2 >= 1 else -np.inf)
+    ((_, found),) = language_id.forward(["a" * n], vocabulary, table)
+    assert math.isclose(found[0, 0], logs[n + 1], rel_tol=1e-9)
+
+
 def test_forward_sums_all_segmentations():
     vocabulary, table = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4}, np.array([[0.1], [0.2], [0.3], [0.15], [0.25], [1e-7]])
     ((_, logs),) = language_id.forward(["ab"], vocabulary, table)
@@ -439,6 +464,27 @@ def test_toxicity(spark):
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in out) and np.mean(right) > 0.95
 
 
+def test_toxicity_score_against_brute_force(spark):
+    rows = [(k, " ".join(words(30, 3000 + k) + (["grumblefoot"] if k % 2 else []))) for k in range(120)]
+    docs = frame(spark, rows).withColumn("_id", F.lit(7)).withColumn("y", F.lit(0))
+    model = toxicity.train(docs, frame(spark, [(k, 1, k % 2) for k in range(100)] + [(1, 1, 1), (2, 1, 1)], "doc_id long, quality int, toxic int"))
+    import zstandard
+
+    settings = zstandard.ZstdCompressionParameters(compression_level=5, min_match=4, strategy=zstandard.STRATEGY_LAZY, window_log=17, chain_log=16, hash_log=16, search_log=6, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+
+    def length(window, dictionary):  # compressed from nothing but the dictionary, each time anew
+        data = zstandard.ZstdCompressionDict(dictionary + toxicity.TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=data, compression_params=settings).compress(b" " + window + b" " + toxicity.TAIL))
+
+    for r in toxicity.score(docs.where("doc_id >= 100"), model).collect():
+        d = [length(w, model.ordinary) - length(w, model.toxic) for w in r["text"].lower().encode().split()]
+        counts = [sum(x >= k for x in d) for k in toxicity.STEPS]
+        x = [math.log1p(c) for c in counts] + [min(1.0, 20 * c / len(d)) for c in counts]
+        z = sum(a * b for a, b in zip(x, model.weights)) + model.weights[-1]
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+        assert (r["predicted"] == 1) == (r["doc_id"] % 2 == 1)
+
+
 def test_toxicity_edges(spark):
     model = toxicity.train(frame(spark, EDGE), frame(spark, [], "doc_id long, quality int, toxic int"))
     out = toxicity.score(clashing(spark, "score"), model)
