@@ -175,11 +175,11 @@ def oracle_ctes(source: str, prefix: str = "bd") -> str:
 {prefix}_d AS (SELECT k, body, i, z[i:i + size - 1] AS z, list_transform(z[i:i + size - 1], lambda x: x[1]) AS g FROM (SELECT *, unnest(range(1, len(z) - size + 2)) AS i FROM {prefix}_dt JOIN (SELECT DISTINCT size FROM {prefix}_i) ON len(z) >= size)),
 {prefix}_n AS (SELECT k, count(*) AS n_windows FROM {prefix}_i GROUP BY k),
 {prefix}_m AS (SELECT k, body, count(*) AS n_text FROM {prefix}_i GROUP BY ALL),
-{prefix}_h AS (SELECT d.k AS doc_id, d.body, i.k AS item_id, i.body AS ib, i.i AS at, d.i AS pos, list_filter(list_zip(i.z, d.z), lambda s: contains(s[1][1], '<')) AS slots FROM {prefix}_d d JOIN {prefix}_i i ON d.g = i.g),
-{prefix}_f AS (SELECT doc_id, h.body, item_id, count(DISTINCT (ib, at)) AS n_found, any_value(n_windows) AS n_windows FROM {prefix}_h h JOIN {prefix}_n n ON h.item_id = n.k GROUP BY ALL HAVING count(DISTINCT (ib, at)) >= {MIN_SHARE} * any_value(n_windows)),
+{prefix}_h AS (SELECT d.k AS doc_id, d.body, i.k AS item_id, i.body AS ib, i.i AS spot, d.i AS pos, list_filter(list_zip(i.z, d.z), lambda s: contains(s[1][1], '<')) AS slots FROM {prefix}_d d JOIN {prefix}_i i ON d.g = i.g),
+{prefix}_f AS (SELECT doc_id, h.body, item_id, count(DISTINCT (ib, spot)) AS n_found, any_value(n_windows) AS n_windows FROM {prefix}_h h JOIN {prefix}_n n ON h.item_id = n.k GROUP BY ALL HAVING count(DISTINCT (ib, spot)) >= {MIN_SHARE} * any_value(n_windows)),
 {prefix}_u AS (SELECT h.*, n_found, n_windows FROM {prefix}_h h JOIN {prefix}_f f ON h.doc_id IS NOT DISTINCT FROM f.doc_id AND h.body = f.body AND h.item_id = f.item_id),
 {consistency("w", f"{prefix}_u", whole)},
-{prefix}_p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, body, item_id, ib, start, at ORDER BY abs(pos - at - start), pos) AS turn FROM (SELECT u.*, unnest(range(pos - at - {SHIFT}, pos - at + {SHIFT + 1})) AS start FROM {prefix}_u u SEMI JOIN (SELECT * FROM {prefix}_w WHERE consistent < {MIN_CONSISTENT}) w ON u.doc_id IS NOT DISTINCT FROM w.doc_id AND u.body = w.body AND u.item_id = w.item_id)),
+{prefix}_p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, body, item_id, ib, start, spot ORDER BY abs(pos - spot - start), pos) AS turn FROM (SELECT u.*, unnest(range(pos - spot - {SHIFT}, pos - spot + {SHIFT + 1})) AS start FROM {prefix}_u u SEMI JOIN (SELECT * FROM {prefix}_w WHERE consistent < {MIN_CONSISTENT}) w ON u.doc_id IS NOT DISTINCT FROM w.doc_id AND u.body = w.body AND u.item_id = w.item_id)),
 {prefix}_q AS (SELECT {one}, flatten(list(slots)) AS slots, count(*) AS n_at FROM {prefix}_p WHERE turn = 1 GROUP BY ALL),
 {prefix}_r AS (SELECT q.* FROM {prefix}_q q JOIN {prefix}_m m ON q.item_id = m.k AND q.ib = m.body WHERE n_at >= {MIN_SHARE} * n_text),
 {consistency("o", f"{prefix}_r", one)},
