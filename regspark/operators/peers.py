@@ -27,16 +27,28 @@ def peer_level(rows: DataFrame, levels: list[str], last: str, period: str = "yea
     return out.withColumns({"peer_level": level, "peer_key": key}).drop(*(f"_n_{n}" for n in levels))
 
 
+def value_range(value: Column) -> Column:
+    """A whole number that never falls as the value rises, one for each 1/256 of a doubling; NaN counts as largest, as in Spark's order."""
+    v = value.cast("double")
+    size = F.floor(F.least(F.log2(F.abs(v)) * 256, F.lit(400_000.0))) + 500_000
+    return F.when(F.isnan(v), F.lit(2_000_000)).when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("int")
+
+
 def distribution(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     """Of each distinct value in a group: ties, rows below, and rows of the group.
 
-    Rows are counted by value before anything is ordered, so the window holds distinct values
-    only, however many rows share a group or a value.
+    Rows are counted by value first. Then values are ordered within narrow ranges only, and the
+    rows of lower ranges are added from sums by range: no task holds all values of a group,
+    however large it is.
     """
-    ties = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("ties"))
-    w = W.partitionBy(*group).orderBy(value)
-    below = F.sum("ties").over(w.rowsBetween(W.unboundedPreceding, -1))
-    return ties.withColumns({"below": F.coalesce(below, F.lit(0)), "n": F.sum("ties").over(W.partitionBy(*group))})
+    at = "_range"
+    ties = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("ties")).withColumn(at, value_range(F.col(value)))
+    w = W.partitionBy(*group)
+    sums = ties.groupBy(*group, at).agg(F.sum("ties").alias("s"))
+    sums = sums.select(*(F.col(c).alias(f"_{c}_of") for c in (*group, at)), F.coalesce(F.sum("s").over(w.orderBy(at).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("s").over(w).alias("n"))
+    within = F.coalesce(F.sum("ties").over(W.partitionBy(*group, at).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}_of")) for c in (*group, at)]
+    return ties.withColumn("_within", within).join(sums, same).select(*group, value, "ties", (F.col("_before") + F.col("_within")).alias("below"), "n")
 
 
 def midrank(rows: DataFrame, group: list[str], value: str) -> DataFrame:

@@ -135,3 +135,18 @@ def test_presence_sheet_gathers_no_more_than_it_shows(spark, tmp_path):
     df = entry.queries()["pl_presence_sheet"](spark, str(tmp_path))
     assert {tuple(r) for r in df.collect()} == {(1, 2000, "1999,1998,1997,1996,1995"), (2, 1, "7"), (None, 2, "8,9")}
     assert "WindowGroupLimit" in df._jdf.queryExecution().toString()  # rows are left out before they are gathered
+
+
+def test_distribution_against_brute_force(spark):
+    import random
+
+    r = random.Random(6)
+    values = [0.0, -0.0, 1e-300, -1e-300, 5e300, float("inf"), float("-inf"), float("nan"), 3.0, 3.0000000001, None] + [r.choice((1, -1)) * 10 ** r.uniform(-3, 6) for _ in range(300)] + [r.randint(-3, 3) * 1.0 for _ in range(300)]
+    rows = [(r.choice(("a", None)), v) for v in values]
+    got = {(x["g"], str(x["v"] + 0.0)): (x["ties"], x["below"], x["n"]) for x in peers.distribution(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
+    place = lambda v: (v != v, v)  # noqa: E731  NaN is the largest
+    for g, v in rows:
+        if v is not None:
+            own = [place(x) for h, x in rows if h == g and x is not None]
+            same = [x for x in own if (x[0] and v != v) or x == place(v)]
+            assert got[g, str(v + 0.0)] == (len(same), sum((not x[0]) if v != v else (not x[0] and x[1] < v) for x in own), len(own))
