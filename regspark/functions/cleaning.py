@@ -115,15 +115,106 @@ def year(c: Column, last_year: int = 2100) -> Column:
     return F.when(y.between(1900, last_year), y)
 
 
+def year_of_number(c: Column, last_year: int = 2100) -> Column:
+    """The year in a numeric cell: itself up to 3000, else that of the spreadsheet day that it counts."""
+    n = F.floor(c)
+    y = F.when(n <= 3000, n).otherwise(F.year(F.when(n.between(3001, 80000), F.date_add(F.lit("1899-12-30").cast("date"), n.cast("int"))))).cast("int")
+    return F.when(y.between(1900, last_year), y)
+
+
+def text(c: Column) -> Column:
+    """Any cell as cleaned text, dates as yyyy-mm-dd."""
+    return nullify(c.cast("string"))
+
+
+def date_prefix(c: Column) -> Column:
+    """The date of a timestamp's text: its first ten characters."""
+    return date(F.substring(F.trim(c), 1, 10))
+
+
+def payload_date(c: Column) -> Column:
+    """A date that the text begins with as yyyy-mm-dd, or is as d/m/yyyy; NULL before 1900 and after 2100."""
+    s = nullify(c)
+    day_first = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
+    parts = [F.regexp_extract(s, day_first, k) for k in (3, 2, 1)]
+    written = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(s, 1, 10)).when(s.rlike(day_first), F.concat_ws("-", parts[0], F.lpad(parts[1], 2, "0"), F.lpad(parts[2], 2, "0")))
+    d = F.try_to_date(written, "yyyy-MM-dd")
+    return F.when(F.year(d).between(1900, 2100), d)
+
+
+def payload_number(c: Column) -> Column:
+    """The number that is left without anything but digits, points and minus signs; 0 if nothing is left."""
+    left = F.regexp_replace(nullify(c), "[^0-9.-]", "")
+    return F.when(left == "", 0.0).otherwise(left.try_cast("double"))
+
+
+def error(c: Column, value: Column, reason: str) -> Column:
+    """`reason` where a cell that is not blank gave no value, else NULL."""
+    return F.when(nullify(c.cast("string")).isNotNull() & value.isNull(), reason)
+
+
+def date_error(c: Column, last_year: int = 2100) -> Column:
+    return error(c, date(c, last_year), "invalid_date")
+
+
+def number_error(c: Column) -> Column:
+    return error(c, number(c), "invalid_number")
+
+
+def amount_error(c: Column) -> Column:
+    """INVALID for an amount that cannot be read; blank and zero are absent, not wrong."""
+    v = F.replace(F.regexp_replace(sanitize(c), "^(-?),", "$10,"), F.lit(","), F.lit(".")).try_cast("decimal(18,2)")
+    return F.when((sanitize(c) != "") & v.isNull(), "INVALID")
+
+
+def year_error(c: Column, last_year: int = 2100) -> Column:
+    return error(c, year(c, last_year), "invalid_year")
+
+
+def boolean_error(c: Column) -> Column:
+    return error(c, boolean(c), "invalid_flag")
+
+
+def category(c: Column) -> Column:
+    """A category's spelling without accents and case, white space collapsed."""
+    return F.trim(F.regexp_replace(F.upper(deaccent(c)), r"\s+", " "))
+
+
+def parish_kind(c: Column) -> Column:
+    """urbana or rural, else NULL."""
+    k = F.trim(F.upper(deaccent(c)))
+    return F.when(k.isin("URBANA", "RURAL"), F.lower(k))
+
+
+def display_status(*states: Column) -> Column:
+    return F.coalesce(*states, F.lit("Sin estado"))
+
+
+def display_location(province: Column, canton: Column, city: Column, jurisdiction: Column) -> Column:
+    named = F.concat_ws(" · ", F.nullif(province, F.lit("")), F.nullif(F.coalesce(canton, city), F.lit("")))
+    return F.coalesce(F.nullif(named, F.lit("")), F.nullif(jurisdiction, F.lit("")), F.lit("Ubicación no disponible"))
+
+
+def newest_year(*years: Column) -> Column:
+    """The latest year of several arrays, any of which may be NULL."""
+    return F.array_max(F.concat(*(F.coalesce(y, F.array().cast("array<int>")) for y in years)))
+
+
 def clamped(c: Column, low: int, high: int) -> Column:
     v = F.regexp_replace(c, "[^0-9-]", "").try_cast("int")
     return F.when(v.between(low, high), v)
 
 
 def fingerprint(*columns: Column | str) -> Column:
-    """md5 of all values in order, NULL as the empty string."""
-    text = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in columns]
-    return F.md5(F.concat_ws("\u001f", *text).cast("binary"))
+    """md5 of all values in order, NULL as the empty string, true and false as 1 and 0."""
+    shown = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns]
+    shown = [F.coalesce(F.when(F.typeof(F.col(c) if isinstance(c, str) else c) == "boolean", F.when(t == "true", "1").when(t == "false", "0")).otherwise(t), F.lit("")) for c, t in zip(columns, shown)]
+    return F.md5(F.concat_ws("\u001f", *shown).cast("binary"))
+
+
+def as_uuid(hash_: Column) -> Column:
+    """Thirty-two hexadecimal digits in the groups of a UUID."""
+    return F.regexp_replace(hash_, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
 
 
 def repair_mojibake(c: Column) -> Column:

@@ -66,7 +66,7 @@ def fn_header_key(spark, sf_dir):
 
 
 def fn_deaccent(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("lang <> 'en'").select("doc_id", F.md5(c.deaccent(F.col("text")).cast("binary")).alias("plain"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(c.deaccent(F.col("text")).cast("binary")).alias("plain"))
 
 
 def fn_repair_mojibake(spark, sf_dir):
@@ -110,9 +110,70 @@ def fn_clamped_int(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", c.clamped(F.concat(F.col("p_size").cast("string"), F.lit(" u")), 10, 40).alias("size"))
 
 
+def fn_coerce_text(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", c.text(F.to_date("o_orderdate")).alias("day"), c.text(_by("o_orderkey", F.concat(F.lit(" \t"), F.col("o_orderpriority"), F.lit(" ")), F.lit("s/n"))).alias("text"))
+
+
+def fn_date_prefix(spark, sf_dir):
+    d = F.to_date("o_orderdate")
+    text = _by("o_orderkey", F.concat(d, F.lit(" 13:45:10.5")), F.concat(F.date_format(d, "dd/MM/yyyy"), F.lit(" 00:00")), F.concat(d, F.lit("T00:00:00Z")), F.lit("2021-02-30 10:00"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", c.date_prefix(text).alias("day"))
+
+
+def fn_payload_date(spark, sf_dir):
+    d = F.to_date("o_orderdate")
+    text = _by("o_orderkey", F.concat(d, F.lit("T10:00")), F.date_format(d, "d/M/yyyy"), F.date_format(d, "dd-MM-yyyy"), F.lit("31/02/2020"), F.lit("1/1/1890"), F.lit(None))
+    return read(spark, sf_dir, "orders").select("o_orderkey", c.payload_date(text).alias("day"))
+
+
+def fn_payload_number(spark, sf_dir):
+    v = F.col("o_totalprice").cast(MONEY).cast("string")
+    text = _by("o_orderkey", F.concat(F.lit("USD "), v), F.concat(v, F.lit(" %")), F.concat(F.lit("-"), v), F.lit("1.2.3"), F.lit("none given"), F.lit("N/A"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", c.payload_number(text).alias("value"))
+
+
+def fn_category_norm(spark, sf_dir):
+    text = F.concat(F.lit(" Categoría   "), F.lower("c_mktsegment"), F.lit(" única "))
+    kind = _by("c_custkey", F.lit("Urbana"), F.lit(" RURAL "), F.lit("rural"), F.lit("urbana y rural"), F.lit(None))
+    return read(spark, sf_dir, "customer").select("c_custkey", c.category(text).alias("category"), c.parish_kind(kind).alias("parish"))
+
+
+def fn_display(spark, sf_dir):
+    m = lambda n, k, x: F.when(F.col("c_custkey") % n == k, x)
+    years = [F.when(F.col("c_custkey") % n == 0, F.array(F.lit(2000) + F.col("c_custkey") % (10 + n), F.lit(2001)).cast("array<int>")) for n in (2, 3, 5)]
+    return read(spark, sf_dir, "customer").select(
+        "c_custkey", c.display_status(m(3, 0, "ACTIVO"), m(2, 0, "PASIVO")).alias("status"),
+        c.display_location(m(2, 0, F.col("c_mktsegment")), m(3, 0, F.lit("Quito")), m(5, 0, F.lit("Loja")), m(7, 0, F.lit("Zona 9"))).alias("location"), c.newest_year(*years).alias("newest"),
+    )
+
+
+def fn_cell_errors(spark, sf_dir):
+    """Why cells gave no value: the error channels of the coercions."""
+    text = _by("o_orderkey", F.lit("31/02/2020"), F.lit("n/a"), F.lit("12,5"), F.lit("x1"), F.lit("2020"), F.lit("sí"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", c.date_error(text).alias("day"), c.number_error(text).alias("number"), c.amount_error(text).alias("amount"), c.year_error(text).alias("year"), c.boolean_error(text).alias("flag"))
+
+
+def fn_year_of_number(spark, sf_dir):
+    y, d = F.year("o_orderdate"), F.datediff(F.to_date("o_orderdate"), F.lit("1899-12-30").cast("date"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", c.year_of_number(_by("o_orderkey", y.cast("double") + 0.5, d.cast("double"), F.lit(99999.0), F.lit(12.0))).alias("year"))
+
+
+def fn_fingerprint_uuid(spark, sf_dir):
+    return read(spark, sf_dir, "customer").select("c_custkey", c.as_uuid(c.fingerprint("c_name", F.col("c_custkey") % 2 == 0, F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey") % 2 == 1))).alias("row_hash"))
+
+
 _PLAIN = f"translate(text, '{c._ACCENTED}', '{c._PLAIN}')"
 
 ORACLE_SQL = {
+    "fn_coerce_text": "SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS text FROM orders",
+    "fn_date_prefix": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN CAST(o_orderdate AS DATE) END AS day FROM orders",
+    "fn_payload_date": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 2 THEN CAST(o_orderdate AS DATE) END AS day FROM orders",
+    "fn_payload_number": "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 2 THEN -v WHEN 3 THEN NULL WHEN 4 THEN 0 WHEN 5 THEN NULL ELSE v END AS value FROM (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS v FROM orders)",
+    "fn_category_norm": "SELECT c_custkey, 'CATEGORIA ' || c_mktsegment || ' UNICA' AS category, CASE c_custkey % 5 WHEN 0 THEN 'urbana' WHEN 1 THEN 'rural' WHEN 2 THEN 'rural' END AS parish FROM customer",
+    "fn_display": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'ACTIVO' WHEN c_custkey % 2 = 0 THEN 'PASIVO' ELSE 'Sin estado' END AS status, coalesce(nullif(concat_ws(' · ', CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, CASE WHEN c_custkey % 3 = 0 THEN 'Quito' WHEN c_custkey % 5 = 0 THEN 'Loja' END), ''), CASE WHEN c_custkey % 7 = 0 THEN 'Zona 9' END, 'Ubicación no disponible') AS location, CAST(greatest(CASE WHEN c_custkey % 2 = 0 THEN greatest(2000 + c_custkey % 12, 2001) END, CASE WHEN c_custkey % 3 = 0 THEN greatest(2000 + c_custkey % 13, 2001) END, CASE WHEN c_custkey % 5 = 0 THEN greatest(2000 + c_custkey % 15, 2001) END) AS INTEGER) AS newest FROM customer",
+    "fn_cell_errors": "SELECT o_orderkey, CASE WHEN k NOT IN (1, 4) THEN 'invalid_date' END AS day, CASE WHEN k = 5 THEN 'invalid_number' END AS number, CASE WHEN k NOT IN (2, 4) THEN 'INVALID' END AS amount, CASE WHEN k IN (2, 3, 5) THEN 'invalid_year' END AS year, CASE WHEN k NOT IN (1, 5) THEN 'invalid_flag' END AS flag FROM (SELECT o_orderkey, o_orderkey % 6 AS k FROM orders)",
+    "fn_year_of_number": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN CAST(year(o_orderdate) AS INTEGER) END AS year FROM orders",
+    "fn_fingerprint_uuid": "SELECT c_custkey, concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) AS row_hash FROM (SELECT c_custkey, md5(c_name || chr(31) || CASE WHEN c_custkey % 2 = 0 THEN '1' ELSE '0' END || chr(31) || CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 2 = 1 THEN '1' ELSE '0' END ELSE '' END) AS h FROM customer)",
     "fn_coerce_date": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 NOT IN (4, 5) THEN CAST(o_orderdate AS DATE) END AS day FROM orders",
     "fn_coerce_numeric": "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 4 THEN NULL WHEN 5 THEN CAST(floor(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS price FROM orders",
     "fn_coerce_amount": "SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 < 2 THEN nullif(CAST(l_tax AS DECIMAL(18,2)), 0) END AS tax, count(*) AS n FROM lineitem GROUP BY ALL",
@@ -121,7 +182,7 @@ ORACLE_SQL = {
     "fn_coerce_year": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN CAST(year(o_orderdate) AS INTEGER) END AS year FROM orders",
     "fn_nullify": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 3 THEN 'a b ' || c_mktsegment END AS text FROM customer",
     "fn_header_key": "SELECT n_nationkey, 'SITUACION_' || regexp_replace(upper(n_name), '[^A-Z0-9]+', '_', 'g') || '_N' AS key FROM nation",
-    "fn_deaccent": f"SELECT doc_id, md5({_PLAIN}) AS plain FROM documents WHERE lang <> 'en'",
+    "fn_deaccent": f"SELECT doc_id, md5({_PLAIN}) AS plain FROM documents",
     "fn_repair_mojibake": "SELECT doc_id, text FROM documents WHERE regexp_matches(text, '[À-ÿ]') AND NOT regexp_matches(text, '[^\\x00-ÿ]')",
     "fn_fingerprint": "SELECT c_custkey, md5(c_name || chr(31) || CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment ELSE '' END || chr(31) || c_nationkey) AS row_hash FROM customer",
     "fn_activity": "WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN substr(k, 1, 4) ELSE k END AS k FROM (SELECT p_partkey, substr(p_type, 1, 1) || lpad(CAST(p_partkey % 1000000 AS VARCHAR), 6, '0') AS k FROM part)) SELECT p_partkey, CASE WHEN length(k) = 7 THEN substr(k, 1, 5) || '.' || substr(k, 6, 2) END AS dotted, substr(k, 1, 4) AS grp, substr(k, 1, 3) AS division, substr(k, 1, 1) AS section FROM p",
