@@ -9,14 +9,30 @@ from regspark.functions.cleaning import deaccent
 
 #: Endings tried, and how many candidates are kept.
 ENDINGS, MAX_CANDIDATES = ("com.ec", "ec"), 8
-#: Free e-mail providers give no domain of the company's own.
-FREE_MAIL = ["gmail.com", "hotmail.com", "yahoo.com", "outlook.com", "live.com", "icloud.com", "aol.com", "msn.com", "hotmail.es", "yahoo.es", "outlook.es", "protonmail.com"]
-#: Legal forms and joining words say nothing about a company.
-LEGAL_WORDS = ["SA", "S", "A", "CIA", "LTDA", "LLC", "INC", "CORP", "DE", "DEL", "LA", "LAS", "EL", "LOS", "Y", "E", "EN", "COMPANIA", "SAS"]
-#: Hosts of social networks, and link paths that only share a page.
-NETWORKS = {"facebook.com": "facebook", "instagram.com": "instagram", "linkedin.com": "linkedin", "twitter.com": "x", "x.com": "x", "youtube.com": "youtube", "tiktok.com": "tiktok", "wa.me": "whatsapp"}
-SHARING = "^/(sharer|share|intent|dialog|plugins|shareArticle)"
-PARKED = ["domain for sale", "dominio en venta", "domain is parked", "under construction", "sitio en construccion", "buy this domain", "coming soon"]
+#: Free e-mail providers give no domain of the company's own.
+FREE_MAIL = "gmail.com googlemail.com hotmail.com hotmail.es outlook.com outlook.es live.com msn.com yahoo.com yahoo.es ymail.com icloud.com me.com aol.com protonmail.com proton.me zoho.com gmx.com mail.com andinanet.net yahoo.com.mx hotmail.com.ar".split()
+#: Words that are no candidate by themselves, as their domains are somebody else's.
+GENERIC_WORDS = (
+    "comercial comercializadora servicios servicio importadora exportadora distribuidora constructora construcciones inmobiliaria consultora consultores asesores asociados hermanos grupo "
+    "corporacion corporativo empresa negocios inversiones proyectos soluciones sistemas tecnologia industrias industrial productos agricola ganadera transportes transporte turismo ecuador "
+    "internacional nacional global general centro casa hotel restaurante farmacia ferreteria clinica laboratorio estudio"
+).split()
+#: Legal forms and joining words say nothing about a company.
+LEGAL_WORDS = "CIA COMPANIA COMPANIALTDA LTDA LIMITADA SA SAS CA SOCIEDAD ANONIMA CIVIL MERCANTIL DEL DE LA LAS EL LOS Y E AND THE S A C L".split()
+#: Hosts of social networks, and for each network the paths that are no profile.
+NETWORKS = {
+    "facebook.com": "facebook", "fb.com": "facebook", "fb.me": "facebook", "web.facebook.com": "facebook", "instagram.com": "instagram", "linkedin.com": "linkedin", "tiktok.com": "tiktok", "twitter.com": "x", "x.com": "x",
+    "youtube.com": "youtube", "youtu.be": "youtube", "wa.me": "whatsapp", "api.whatsapp.com": "whatsapp", "web.whatsapp.com": "whatsapp", "chat.whatsapp.com": "whatsapp", "t.me": "telegram", "telegram.me": "telegram",
+}
+NO_PROFILE = {
+    "facebook": "sharer share dialog plugins tr login help policies privacy", "instagram": "p reel explore accounts share", "linkedin": "shareArticle sharing share feed login legal", "tiktok": "share embed login legal",
+    "x": "intent share home search hashtag i privacy tos", "youtube": "watch embed results feed playlist shorts", "telegram": "share joinchat",
+}
+#: What parked and unfinished pages say, without accents.
+PARKED = [
+    "this domain is for sale", "domain is for sale", "dominio en venta", "buy this domain", "comprar este dominio", "parked free, courtesy of", "sedoparking", "domain parking", "godaddy.com/domainsearch",
+    "the domain you are looking for", "sitio en construccion", "under construction", "default web page", "apache2 ubuntu default page", "welcome to nginx", "index of /",
+]
 
 
 def name_words(name: Column) -> Column:
@@ -28,7 +44,7 @@ def domain_candidates(rows: DataFrame, key: str, name: str, email: str) -> DataF
     """key, rank (from 1), domain, origin: the own e-mail domain first, then labels from the
     name (all words, the first two, each of five letters or more) under each ending."""
     w = name_words(F.col(name))
-    labels = F.array_distinct(F.concat(F.array(F.array_join(w, ""), F.array_join(F.slice(w, 1, 2), "")), F.filter(w, lambda x: F.length(x) >= 5)))
+    labels = F.array_distinct(F.concat(F.array(F.array_join(w, ""), F.array_join(F.slice(w, 1, 2), "")), F.filter(w, lambda x: (F.length(x) >= 5) & ~F.lower(x).isin(GENERIC_WORDS))))
     labels = F.filter(F.transform(labels, F.lower), lambda x: F.length(x).between(4, 30))
     from_name = F.flatten(F.transform(labels, lambda x: F.array(*(F.concat(x, F.lit(f".{e}")) for e in ENDINGS))))
     host = F.lower(F.trim(F.substring_index(F.col(email), "@", -1)))
@@ -57,8 +73,11 @@ def social_links(pages: DataFrame, key: str, html: str) -> DataFrame:
     host = F.regexp_replace(F.lower(F.try_parse_url("url", F.lit("HOST"))), r"^(www|m|es-la)\.", "")
     path = F.try_parse_url("url", F.lit("PATH"))
     network = F.element_at(F.create_map(*(F.lit(x) for kv in NETWORKS.items() for x in kv)), host)
-    found = links.select(key, network.alias("network"), F.regexp_replace(path, "^/(company|in|@)?/?|/+$", "").alias("handle"), path.rlike(SHARING).alias("shares"))
-    return found.where("network IS NOT NULL AND NOT shares AND handle <> ''").select(key, "network", "handle").distinct()
+    other = F.lit(False)
+    for name, paths in NO_PROFILE.items():
+        other = other | ((F.col("network") == name) & F.col("path").rlike(rf"(?i)^/({paths.replace(' ', '|')})\b"))
+    found = links.select(key, network.alias("network"), path.alias("path")).withColumn("handle", F.regexp_replace("path", "^/(company/|in/|school/|channel/|c/|user/|@)?/?|/+$", ""))
+    return found.where(F.col("network").isNotNull() & ~other & (F.col("handle") != "")).select(key, "network", "handle").distinct()
 
 
 def mentions(text: Column, name: Column) -> Column:
