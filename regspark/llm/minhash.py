@@ -306,17 +306,6 @@ def _masks(numbers: list[int], n: int) -> list[int]:
     return masks
 
 
-def _met_once() -> Column:
-    """Whether a joined pair, its masks m0, m1, ... and m0_b, m1_b, ..., is met at the first marked class that both have, or has none."""
-    found = F.lit(True)
-    for k in reversed(range(MARKED // MASK_BITS)):
-        both = F.col(f"m{k}").bitwiseAND(F.col(f"m{k}_b"))
-        lower = F.col("bit") - F.lit(1)
-        here = (F.col("part") == k) & (both.bitwiseAND(F.col("bit")) != 0) & (both.bitwiseAND(lower) == 0)
-        found = F.when(both != 0, F.coalesce(here, F.lit(False))).otherwise(found)
-    return found
-
-
 def _open_pairs(known: DataFrame, texts: DataFrame, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """(a, b): pairs of different families within the groups of members (sketch, node, n, label).
 
@@ -371,20 +360,24 @@ def _open_pairs(known: DataFrame, texts: DataFrame, keep: Callable[[DataFrame],
                 node, n, firsts, label, groups = (batch.column(c).slice(k, 200).to_pylist() for c in range(5))
                 classes = np.array([c for f in firsts for c in f], dtype=np.int32)
                 bits = [[marked.get(c, -1) for c in f] for f in firsts]
-                same = np.array([[x, y, z, *_masks([i for i in b if i >= 0], n_masks), *_masks([i % (GROUP_MASKS * MASK_BITS) for i in g], GROUP_MASKS)] for x, y, z, b, g in zip(node, label, n, bits, groups)], dtype=np.int64)
-                bit = np.array([i for b in bits for i in b], dtype=np.int64)
+                same = np.array([[x, y, z, *_masks([i % (GROUP_MASKS * MASK_BITS) for i in g], GROUP_MASKS), *_masks([i for i in b if i >= 0], n_masks)] for x, y, z, b, g in zip(node, label, n, bits, groups)], dtype=np.int64)
                 same = np.repeat(same, [len(f) for f in firsts], axis=0)
-                columns = [classes, bit // MASK_BITS, np.int64(1) << (bit % MASK_BITS), *same.T]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if t == "int" else pa.int64(), mask=(bit < 0) if name in ("part", "bit") else None) for c, name, t in zip(columns, names, kinds)], names=names)
-
-    masks = [f"m{k}" for k in range(n_masks)]
-    masks += [f"g{k}" for k in range(GROUP_MASKS)]
-    names = ["class", "part", "bit", "node", "label", "n", *masks]
-    kinds = ["int", "int", "long", "long", "long", "int", *["long"] * len(masks)]
+                bit = np.array([i for b in bits for i in b], dtype=np.int64)
+                part, own = bit // MASK_BITS, same[:, -n_masks:]
+                rows = np.flatnonzero(bit >= 0)
+                own[rows, part[rows]] &= (np.int64(1) << (bit[rows] % MASK_BITS)) - 1
+                own[(bit >= 0)[:, None] & (np.arange(n_masks) > part[:, None])] = 0
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if t == "int" else pa.int64()) for c, t in zip([classes, *same.T], kinds)], names=names)
+
+    masks = [f"g{k}" for k in range(GROUP_MASKS)] + [f"m{k}" for k in range(n_masks)]
+    names = ["class", "node", "label", "n", *masks]
+    kinds = ["int", "long", "long", "int", *["long"] * len(masks)]
     words = found.mapInArrow(spread, ", ".join(f"{x} {t}" for x, t in zip(names, kinds))).join(by_class.select("class"), "class", "left_semi")
     other = words.select(*(F.col(c).alias(f"{c}_b") for c in ("class", "node", "label", "n", *masks)))
     maybe_grouped = F.expr(" OR ".join(f"(g{k} & g{k}_b) <> 0L" for k in range(GROUP_MASKS)))  # bits of their groups; looked at group by group below
-    on = [F.col("class") == F.col("class_b"), F.col("node") < F.col("node_b"), F.col("label") != F.col("label_b"), _close("n", "n_b"), maybe_grouped, _met_once()]
+    # m0, m1, ...: the text's marked classes that come before the row's own; without a mark all of them.
+    once = F.expr(f"({' | '.join(f'(m{k} & m{k}_b)' for k in range(n_masks))}) = 0L")
+    on = [F.col("class") == F.col("class_b"), F.col("node") < F.col("node_b"), F.col("label") != F.col("label_b"), _close("n", "n_b"), maybe_grouped, once]
     met = words.join(other, on).select(F.col("node").alias("a"), F.col("node_b").alias("b"), "n", "n_b").distinct()
     count_of = read.count()
     met = _paired(met, found.select("node", "groups"), 2 * SKETCHES * count_of).where(F.arrays_overlap("groups_a", "groups_b"))
