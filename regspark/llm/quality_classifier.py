@@ -155,9 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = F.broadcast(known.unionByName(pool))  # bounded by the two limits
     rows = docs.join(chosen, docs[id_col] == chosen["_id"]).dropDuplicates(["_id"])
     views = text_view(F.col(text_col)), meta_view(docs, source_col, lang_col, length_col)
-    got = rows.select("_id", "_y", *(F.array(*v).alias(name) for name, v in zip("tm", views))).orderBy("_id").toPandas()
-    t, m = (np.array(got[name].tolist(), dtype=float).reshape(len(got), len(v)) for name, v in zip("tm", views))
-    y = got["_y"].to_numpy(dtype=float)
+    got = rows.select("_id", "_y", *(F.array(*v).alias(name) for name, v in zip("tm", views))).orderBy("_id").toArrow()  # as numbers, which take a tenth of the room of Python's lists
+    t, m = (got[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(got.num_rows, len(v)) for name, v in zip("tm", views))
+    y = got["_y"].to_numpy().astype(float)
     has = ~np.isnan(y)
     hold = np.arange(int(has.sum())) % 4 == 0
     return co_train(t[has], m[has], y[has], t[~has], m[~has], hold)
