@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regspark.llm import bpe, decontamination, language_id, line_dedup, lm_scoring, minhash, quality_classifier, quality_rules, suffix_dedup, toxicity
+from regspark.llm import bpe, decontamination, language_id, line_dedup, lm_scoring, minhash, quality_classifier, quality_rules, spelling, suffix_dedup, top_k, toxicity, whitening
 from regspark.llm.common import in_fold, table
 
 
+#: op11: a run whose crc32 with the document's id this divides loses a code point.
+MISSPELL_EVERY = 199
+#: op13: rows whose id this divides are queries.
+QUERY_EVERY = 50
+
+
 def tokenizer_file(name: str) -> str:
     """The path of a public vocabulary file, as installed on every machine."""
     import public_tokenizers
@@ -77,6 +83,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spelling.count_words(table(spark, sf_dir, "documents"), misspell_every=MISSPELL_EVERY)
+    return spelling.spelling_groups(counts)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(vectors).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k.search(vectors.where(f"vec_id % {QUERY_EVERY} = 0"), vectors).select("query_id", "rank", "vec_id", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -89,6 +110,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_toxicity": op10_toxicity,
+        "op11_spelling": op11_spelling,
+        "op12_whitening": op12_whitening,
+        "op13_top_k": op13_top_k,
     }
 
 
@@ -97,4 +121,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": quality_rules.ORACLE_SQL,
         "op5_decontamination": decontamination.ORACLE_SQL,
         "op8_line_dedup": line_dedup.ORACLE_SQL,
+        "op11_spelling": spelling.oracle_sql(MISSPELL_EVERY),
+        "op13_top_k": top_k.oracle_sql(QUERY_EVERY),
     }
