@@ -91,7 +91,7 @@ class Bucket:
     def search(self, ids: np.ndarray, q: np.ndarray, floors: np.ndarray, k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each query its number, candidates and scores: the k first of the bucket whose score is its floor at least."""
         lengths = _lengths(q)
-        need = np.where(floors > 0, floors / np.maximum(lengths, 1e-300), 0.0)  # of a candidate's length
+        need = np.maximum(floors, 0) / np.maximum(lengths, 1e-300)  # of a candidate's length
         open_ = np.flatnonzero(need <= self.lengths[0] * (1 + SLACK))
         if not len(open_):
             return
@@ -166,7 +166,7 @@ def _floors(dims: int, head: Bucket | None, k: int):
                     others = score[head.ids != ids[at + i]]
                     if len(others) >= k:
                         floors[at + i] = np.partition(others, len(others) - k)[len(others) - k]
-            need = np.where(floors > 0, floors / np.maximum(_lengths(q), 1e-300), 0.0)
+            need = np.maximum(floors, 0) / np.maximum(_lengths(q), 1e-300)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(floors), pa.array(need)], names=["id", "x", "floor", "need"])
 
     return judged

@@ -61,21 +61,30 @@ def inertia(a: np.ndarray, shift: float) -> int:
 
 
 def isolate(a: np.ndarray, k: int, counts: dict[float, int], tiny: float) -> tuple[float, float]:
-    """An interval with more than k - 1 eigenvalues above its lower end and k - 1 above its upper
-    end: narrowed until it holds the k-th alone, or is `tiny` (equal eigenvalues)."""
+    """An interval that holds the k-th eigenvalue alone, as does one twice as wide about its middle.
+
+    It is halved until the counts at its ends say so, or until it is `tiny` (equal eigenvalues).
+    """
+
+    def above(shift: float) -> int:
+        if shift not in counts:
+            counts[shift] = inertia(a, shift)
+        return counts[shift]
+
     low = max(s for s, n in counts.items() if n >= k)
     high = min(s for s, n in counts.items() if n < k)
-    while high - low > tiny and counts[low] - counts[high] > 1:
+    while high - low > tiny:
+        if above(low) - above(high) == 1 and above(1.5 * low - 0.5 * high) - above(1.5 * high - 0.5 * low) == 1:
+            break
         middle = (low + high) / 2
-        counts[middle] = inertia(a, middle)
-        low, high = (middle, high) if counts[middle] >= k else (low, middle)
+        low, high = (middle, high) if above(middle) >= k else (low, middle)
     return low, high
 
 
 def rayleigh(a: np.ndarray, low: float, high: float, found: np.ndarray, tiny: float) -> tuple[float, np.ndarray]:
     """The eigenvalue within (low, high) and its unit vector, orthogonal to the columns `found`.
 
-    Inverse iteration about the interval's middle, to which no other eigenvalue is nearer, until
+    Inverse iteration about the interval's middle, to which all others are twice as far, until
     the residual shows that the eigenvalue next to the quotient is in the interval; from there the
     quotient is the shift.
     """
