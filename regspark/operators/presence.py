@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regspark.functions.cleaning import deaccent
+from regspark.functions.cleaning import channel_value, deaccent
 
 #: Endings tried, and how many candidates are kept.
 ENDINGS, MAX_CANDIDATES = ("com.ec", "ec"), 8
@@ -85,3 +85,66 @@ def mentions(text: Column, name: Column) -> Column:
     plain = F.concat(F.lit(" "), F.regexp_replace(F.upper(deaccent(text)), "[^A-Z0-9]+", " "), F.lit(" "))
     w = F.filter(name_words(name), lambda x: F.length(x) >= 4)
     return (F.size(w) > 0) & F.forall(w, lambda x: plain.contains(F.concat(F.lit(" "), x, F.lit(" "))))
+
+
+def _plain_words(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.upper(deaccent(text)), "[^A-Z0-9]+", " "), " "), lambda w: w != ""))
+
+
+def visible_text(html: Column) -> Column:
+    """A page's text without tags, scripts and styles."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), r"(?s)<[^>]*>", " "), r"\s+", " "))
+
+
+def host_of(url: Column) -> Column:
+    """The host of a URL in lower case, without www."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^https?://([^/?#]+)", 1)), r"^www\.", "")
+
+
+def distinctive_words(name: Column) -> Column:
+    """The words of a name that tell its owner apart: four letters or more, no legal form, no generic word."""
+    return F.array_sort(F.array_distinct(F.filter(name_words(name), lambda w: (F.length(w) >= 4) & ~F.lower(w).isin(GENERIC_WORDS))))
+
+
+def name_mentions(owners: DataFrame, page_words: DataFrame, key: str = "owner", page: str = "page") -> DataFrame:
+    """(name_key, page): pages that hold every distinctive word of a name, from (`key`, words) and (`page`, word).
+
+    An inverted index on one word a name: names with equal words are one, and each meets only the
+    pages that hold its rarest word; the other words are then looked up page by page, the next
+    rarest first, so that each join only narrows what is left. All joins are on equality.
+    """
+    names = owners.where(F.size("words") > 0).select(F.col("words").alias("name_key")).distinct()
+    frequency = page_words.groupBy("word").agg(F.count("*").alias("pages"))
+    ranked = names.select("name_key", F.explode("name_key").alias("word")).join(frequency, "word", "left").groupBy("name_key").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("pages", F.lit(0)).alias("pages"), "word"))).alias("by_rarity"))
+    open_ = ranked.where(F.col("by_rarity")[0]["pages"] > 0).select("name_key", F.transform("by_rarity", lambda x: x["word"]).alias("w"))
+    found = open_.withColumn("word", F.col("w")[0]).join(page_words, "word").select("name_key", "w", page)
+    second = found.where(F.size("w") > 1).withColumn("word", F.get("w", F.lit(1))).join(page_words, ["word", page], "left_semi").select("name_key", "w", page)
+    many = second.where(F.size("w") > 2).select("name_key", page, F.size("w").alias("n"), F.explode(F.slice("w", 3, 1000)).alias("word"))
+    all_ = many.join(page_words, ["word", page], "left_semi").groupBy("name_key", page, "n").agg(F.count("*").alias("hits")).where("hits = n - 2").select("name_key", page)
+    return found.where(F.size("w") == 1).select("name_key", page).unionByName(second.where(F.size("w") == 2).select("name_key", page)).unionByName(all_)
+
+
+def proposals(pages: DataFrame, owners: DataFrame, key: list[str], page: str = "page_id", url: str = "url", html: str = "html", name: str = "name", email: str = "email") -> DataFrame:
+    """For each owner the page that is proposed as its own: `key`, page, rule (email or mention), site, words.
+
+    The first page (by number) on the host of the owner's e-mail address is proposed without further
+    proof, unless the address is at a free provider; else the first page that mentions every
+    distinctive word of the name. Parked pages are passed over; an owner without either has no row.
+    Null names, addresses, URLs and pages give nothing.
+    """
+    h = F.coalesce(F.col(html), F.lit(""))
+    plain = F.lower(deaccent(visible_text(h)))
+    parked = F.lit(False)
+    for phrase in PARKED:
+        parked = parked | plain.contains(phrase)
+    read = pages.where(F.col(page).isNotNull()).select(F.col(page).alias("page"), host_of(F.col(url)).alias("host"), visible_text(h).alias("text"), parked.alias("parked")).where("NOT parked")
+    words = read.select("page", F.explode(_plain_words(F.col("text"))).alias("word"))
+    address = F.lower(F.trim(F.substring_index(F.col(email), "@", -1)))
+    listed = owners.select(*key, distinctive_words(F.coalesce(F.col(name), F.lit(""))).alias("words"), F.when(F.col(email).contains("@") & ~address.isin(FREE_MAIL), address).alias("domain"))
+    by_host = read.where("host <> ''").groupBy(F.col("host").alias("domain")).agg(F.min("page").alias("own_page"))
+    wanted = listed.select(F.explode("words").alias("word")).distinct()
+    mentioned = name_mentions(listed, words.join(wanted, "word", "left_semi")).groupBy(F.col("name_key").alias("words")).agg(F.min("page").alias("named_page"))
+    both = listed.join(by_host, "domain", "left").join(mentioned, "words", "left").where("own_page IS NOT NULL OR named_page IS NOT NULL")
+    chosen = both.select(*key, F.coalesce("own_page", "named_page").alias("page"), F.when(F.col("own_page").isNotNull(), "email").otherwise("mention").alias("rule"), F.array_join("words", " ").alias("words"))
+    sites = pages.select(F.col(page).alias("page"), channel_value(F.lit("site"), F.regexp_extract(url, r"^(https?://[^/?#]+)", 1)).alias("site")).where("page IS NOT NULL").groupBy("page").agg(F.min("site").alias("site"))
+    return chosen.join(sites, "page").select(*key, F.col("page").alias(page), "rule", "site", "words")

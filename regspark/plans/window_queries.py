@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from regspark.functions import cleaning
-from regspark.operators import finance, joins, merge, peers, presence, segments
+from regspark.operators import finance, joins, merge, peers, segments
 from regspark.plans import finance_queries as fin
 from regspark.plans import register_queries as reg
 from regspark.plans.domain import COMPANIES_SQL, DETAIL_SQL, MONEY, companies, read, statements
@@ -198,25 +198,6 @@ def pl_site_merge(spark, sf_dir):
     return joins.first_population(h, "holder", known).select("holder", "kind", "sites", "main")
 
 
-def _proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of a company's first three pages that is not parked: from its e-mail domain, else one that mentions its name."""
-    pages = presence.page_reading(read(spark, sf_dir, "pages"), "page_id", "html").where("NOT parked")
-    p = pages.join(read(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
-    p = p.withColumns({"company": F.col("page_id") % 40, "rank": F.floor(F.col("page_id") / 40), "rule": F.when(F.col("page_id") % 7 == 0, 0).when(F.col("page_id") % 5 == 0, 1)})
-    first = p.where("rank < 3 AND rule IS NOT NULL").groupBy("company").agg(F.min_by(F.struct("page_id", "rule", "url"), F.struct("rule", "rank")).alias("s"))
-    return first.select("company", "s.*").withColumn("site", cleaning.channel_value(F.lit("site"), F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)))
-
-
-def pl_propose_presence(spark, sf_dir):
-    return _proposals(spark, sf_dir).select("company", "page_id", "rule", "site")
-
-
-def pl_review_queue(spark, sf_dir):
-    """Proposals that nobody reviewed yet, those that mention the name first."""
-    reviewed = read(spark, sf_dir, "events").where("event_type = 'purchase' AND user_id % 3 = 0").select((F.col("user_id") % 60).alias("company"))
-    return _proposals(spark, sf_dir).join(reviewed, "company", "left_anti").select("company", "site", (F.col("rule") == 1).alias("mentions"))
-
-
 def pl_presence_sheet(spark, sf_dir):
     """Each user's number of events and last five event ids."""
     e = read(spark, sf_dir, "events").select("user_id", "ts", "event_id")
@@ -245,7 +226,6 @@ def pl_quality_report(spark, sf_dir):
 
 _O = "WITH o AS (SELECT o_orderkey AS id, o_custkey AS company, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(o_totalprice AS DECIMAL(18,2)) AS price, o_orderstatus AS state, o_orderpriority AS priority FROM orders), h AS (SELECT company, year, CAST(sum(price) AS DECIMAL(18,2)) AS assets FROM o GROUP BY ALL), l AS (SELECT *, lag(assets) OVER (PARTITION BY company ORDER BY year) AS before, row_number() OVER (PARTITION BY company ORDER BY year DESC) AS k FROM h)"
 _C = f"WITH {COMPANIES_SQL} "
-_PROP = "WITH p AS (SELECT page_id, page_id % 40 AS company, page_id // 40 AS rank, CASE WHEN page_id % 7 = 0 THEN 0 WHEN page_id % 5 = 0 THEN 1 END AS rule, 'https://' || regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www\\.', '') AS site FROM pages WHERE NOT (" + " OR ".join(f"contains(lower(html), '{x}')" for x in presence.PARKED) + ")), f AS (SELECT * FROM p WHERE rank < 3 AND rule IS NOT NULL QUALIFY row_number() OVER (PARTITION BY company ORDER BY rule, rank) = 1)"
 
 ORACLE_SQL = {
     "wn_midrank_unit": _O + " SELECT id, year, CASE WHEN state = 'F' THEN (rank() OVER (PARTITION BY year, state ORDER BY price) - 1 + CAST(count(*) OVER (PARTITION BY year, state, price) AS DOUBLE) / 2) / count(*) OVER (PARTITION BY year, state) END AS percentile FROM o",
@@ -277,8 +257,6 @@ ORACLE_SQL = {
     "pl_company_sector_view": fin._WIDE + ", v AS (SELECT year, company, section, roa AS value FROM wide JOIN companies USING (company) WHERE roa IS NOT NULL) SELECT *, round(quantile_cont(value, 0.5) OVER (PARTITION BY year, section), 6) AS p50 FROM v",
     "pl_risk_sheet": fin._RISK + " SELECT company, name, year, population, gap, percentile FROM risk JOIN companies USING (company) WHERE company % 100 = 0",
     "pl_site_merge": "SELECT l_suppkey AS holder, CASE WHEN l_suppkey % 2 = 0 AND l_suppkey IN (SELECT c_custkey FROM customer) THEN 'company' WHEN l_suppkey IN (SELECT s_suppkey FROM supplier) THEN 'supplier' ELSE 'unknown' END AS kind, count(DISTINCT l_orderkey) AS sites, arg_min(l_returnflag, (l_orderkey, l_returnflag)) AS main FROM lineitem GROUP BY l_suppkey",
-    "pl_propose_presence": _PROP + " SELECT company, page_id, rule, site FROM f",
-    "pl_review_queue": _PROP + " SELECT company, site, rule = 1 AS mentions FROM f WHERE company NOT IN (SELECT user_id % 60 FROM events WHERE event_type = 'purchase' AND user_id % 3 = 0)",
     "pl_presence_sheet": "WITH r AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY k) FILTER (WHERE k <= 5) AS last_five FROM r GROUP BY user_id",
     "pl_payload_status": f"{reg._PROFILE_SQL}, {reg._members_sql('m', 2000)} SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE user_id IN (SELECT id FROM m WHERE segment = 'bookkeepers') GROUP BY 1",
     "pl_quality_report": "SELECT (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 7 <> 0)) AS n, 'unknown_codes' AS check UNION ALL SELECT (SELECT count(*) FROM (" + fin.ORACLE_SQL["ag_equation_check"] + ")), 'equation_breaks' UNION ALL SELECT (SELECT count(*) FROM (SELECT c_custkey % 1400 FROM customer GROUP BY 1 HAVING count(*) > 1)), 'ambiguous_ids'",
