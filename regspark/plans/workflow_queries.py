@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regspark.operators import merge, presence
+from regspark.operators import decisions, merge, presence
 from regspark.plans.domain import read
 
 # ---- presence ------------------------------------------------------------------------------
@@ -41,6 +41,44 @@ def pl_review_queue(spark, sf_dir):
     return merge.insert_if_absent(known.withColumn("mentions", F.lit(None).cast("boolean")), new, ["kind", "id", "site"]).where("state = 'proposed'").select("kind", "id", "site", "mentions")
 
 
+# ---- decisions -----------------------------------------------------------------------------
+
+
+def decision_log(events: DataFrame) -> DataFrame:
+    """Events as decisions on a user's channel: subject, channel, ts, event_id, action, value, note."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    action = (
+        F.when(F.col("event_type") == "signup", "propose").when(F.col("event_type") == "click", "confirm").when(F.col("event_type") == "error", "discard")
+        .when(F.col("event_type") == "purchase", F.when(k % 2 == 0, "edit").otherwise("create")).when(k % 4 == 0, "delete").otherwise("propose")
+    )
+    return events.select(
+        F.col("user_id").alias("subject"), (F.col("event_id") % 3).alias("channel"), "ts", "event_id", action.alias("action"),
+        F.when(k % 5 != 0, F.concat(F.lit("v"), k)).alias("value"), F.when(k % 3 == 0, F.concat(F.lit("note "), k)).alias("note"),
+    )
+
+
+_DECIDED, _INORDER = ["subject", "channel"], ["ts", "event_id"]
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.steps(decision_log(read(spark, sf_dir, "events")), _DECIDED, _INORDER, slice_=F.to_date("ts"))
+
+
+def mg_apply_decisions(spark, sf_dir):
+    """The channels that all decisions leave, applied in order."""
+    return decisions.final_rows(_steps(spark, sf_dir), _DECIDED, _INORDER)
+
+
+def mg_decision_audit(spark, sf_dir):
+    """One audit event for each decision of a person that took effect, with the value before and after."""
+    return decisions.audit(_steps(spark, sf_dir), _DECIDED, _INORDER)
+
+
+def mg_decision_outcomes(spark, sf_dir):
+    """How many decisions of each kind took effect, were ignored or refused."""
+    return _steps(spark, sf_dir).groupBy("action", "outcome").agg(F.count("*").alias("n"))
+
+
 _NORMAL = "regexp_replace(upper(replace(strip_accents({0}), 'ß', 'ss')), '[^A-Z0-9]+', ' ', 'g')"
 _TEXT = "regexp_replace(regexp_replace(html, '<(script|style)\\b.*?</(script|style)>', ' ', 'gis'), '<[^>]*>', ' ', 'gs')"
 _OUT = ", ".join(f"'{w}'" for w in [*presence.LEGAL_WORDS, *(w.upper() for w in presence.GENERIC_WORDS)])
@@ -52,7 +90,23 @@ p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#
 hit AS (SELECT kind, id, w.words, page_id, host = domain AS own, site FROM w, p WHERE host = domain OR (len(words) > 0 AND len(list_filter(words, lambda x: NOT contains(text, ' ' || x || ' '))) = 0)),
 proposed AS (SELECT kind, id, page_id, CASE WHEN own THEN 'email' ELSE 'mention' END AS rule, site, array_to_string(words, ' ') AS words FROM hit QUALIFY row_number() OVER (PARTITION BY kind, id ORDER BY coalesce(own, false) DESC, page_id) = 1)"""
 
+_STEPS = """WITH RECURSIVE k AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+log AS (SELECT user_id AS subject, event_id % 3 AS channel, ts, event_id, CASE event_type WHEN 'signup' THEN 'propose' WHEN 'click' THEN 'confirm' WHEN 'error' THEN 'discard' WHEN 'purchase' THEN CASE WHEN k % 2 = 0 THEN 'edit' ELSE 'create' END ELSE CASE WHEN k % 4 = 0 THEN 'delete' ELSE 'propose' END END AS action,
+  CASE WHEN k % 5 <> 0 THEN 'v' || k END AS value, CASE WHEN k % 3 = 0 THEN 'note ' || k END AS note, row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY ts, event_id) AS i FROM k),
+step AS (SELECT subject, channel, 0 AS i, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS BIGINT) AS event_id, '' AS action, '' AS outcome, false AS was, false AS live, CAST(NULL AS VARCHAR) AS value_before, CAST(NULL AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS state, CAST(NULL AS VARCHAR) AS note, CAST(NULL AS VARCHAR) AS source FROM log WHERE i = 1
+UNION ALL SELECT subject, channel, i, ts, event_id, action, outcome, was, CASE WHEN outcome <> 'applied' THEN was ELSE action <> 'delete' END, CASE WHEN was THEN old_value END,
+  CASE WHEN outcome <> 'applied' THEN old_value WHEN action = 'delete' THEN NULL WHEN action IN ('propose', 'create', 'edit') THEN coalesce(new_value, old_value) ELSE old_value END,
+  CASE WHEN outcome <> 'applied' THEN old_state WHEN action = 'delete' THEN NULL WHEN action = 'propose' THEN 'proposed' WHEN action = 'discard' THEN 'discarded' ELSE 'confirmed' END,
+  CASE WHEN outcome <> 'applied' THEN old_note WHEN action = 'delete' THEN NULL ELSE coalesce(new_note, old_note) END,
+  CASE WHEN outcome <> 'applied' THEN old_source WHEN action = 'delete' THEN NULL WHEN action = 'propose' THEN 'crawler' WHEN action IN ('create', 'edit') THEN 'manual' ELSE old_source END
+  FROM (SELECT l.subject, l.channel, l.i, l.ts, l.event_id, l.action, s.live AS was, l.value AS new_value, l.note AS new_note, s.value AS old_value, s.state AS old_state, s.note AS old_note, s.source AS old_source,
+    CASE WHEN l.action = 'propose' AND l.value IS NOT NULL AND s.live THEN 'ignored' WHEN l.action IN ('propose', 'create') AND l.value IS NOT NULL THEN 'applied' WHEN l.action IN ('confirm', 'discard', 'edit', 'delete') AND s.live THEN 'applied' ELSE 'refused' END AS outcome
+    FROM step s JOIN log l ON l.subject = s.subject AND l.channel = s.channel AND l.i = s.i + 1))"""
+
 ORACLE_SQL = {
+    "mg_apply_decisions": _STEPS + " SELECT subject, channel, value, state, note, source, applied FROM (SELECT *, count(*) FILTER (WHERE outcome = 'applied') OVER (PARTITION BY subject, channel) AS applied FROM step QUALIFY row_number() OVER (PARTITION BY subject, channel ORDER BY i DESC) = 1) WHERE live",
+    "mg_decision_audit": _STEPS + " SELECT subject, channel, ts, event_id, action, value_before, value AS value_after, coalesce(state, 'deleted') AS state FROM step WHERE outcome = 'applied' AND action <> 'propose'",
+    "mg_decision_outcomes": _STEPS + " SELECT action, outcome, count(*) AS n FROM step WHERE i > 0 GROUP BY ALL",
     "pl_propose_presence": _PRESENCE + " SELECT * FROM proposed",
     "pl_review_queue": _PRESENCE + " SELECT kind, id, site, rule = 'mention' AS mentions FROM proposed WHERE id % 7 <> 0",
 }
