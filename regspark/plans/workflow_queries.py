@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regspark.operators import decisions, merge, presence
-from regspark.plans.domain import read
+from regspark.plans.domain import MONEY, read
+from regspark.sources import scratch
+from regspark.streaming import wrappers
 
 # ---- presence ------------------------------------------------------------------------------
 
@@ -79,6 +81,31 @@ def mg_decision_outcomes(spark, sf_dir):
     return _steps(spark, sf_dir).groupBy("action", "outcome").agg(F.count("*").alias("n"))
 
 
+# ---- streams -------------------------------------------------------------------------------
+
+
+def ss_decision_log(spark, sf_dir):
+    """The decisions as a stream with keyed state: the same rows as mg_apply_decisions."""
+    path = scratch.new_folder(spark, "decisions")
+    at = f"{sf_dir}/events.parquet*"  # a pattern: the source takes no path of a single file
+    stream = decision_log(spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(at))
+    wrappers.keep_decisions(stream, path, _DECIDED, "ts", "event_id", f"{path}-checkpoint").awaitTermination()
+    return wrappers.current_decisions(spark, path, _DECIDED)
+
+
+def ss_file_ingest(spark, sf_dir):
+    """Two deliveries of orders merged as streams into one bucketed target: without every tenth order,
+    then all but every eleventh, every seventh of them dearer; what the second lacks stays."""
+    path = scratch.new_folder(spark, "orders")
+    at = f"{sf_dir}/orders.parquet*"
+    for job, (gone, dearer) in enumerate(((10, None), (11, 7)), 1):
+        o = spark.readStream.schema(read(spark, sf_dir, "orders").schema).parquet(at).where(F.col("o_orderkey") % gone != 0)
+        price = F.col("o_totalprice").cast(MONEY)
+        rows = o.select(F.col("o_orderkey").alias("id"), (F.when(F.col("o_orderkey") % dearer == 0, price + 1).otherwise(price) if dearer else price).cast(MONEY).alias("price"), "o_orderdate")
+        wrappers.ingest(rows, path, ["id"], ["price"], "o_orderdate", f"{path}-checkpoint-{job}", f"delivery-{job}", job).awaitTermination()
+    return wrappers.read_target(spark, path).select("id", "price", "first_job", "last_job")
+
+
 _NORMAL = "regexp_replace(upper(replace(strip_accents({0}), 'ß', 'ss')), '[^A-Z0-9]+', ' ', 'g')"
 _TEXT = "regexp_replace(regexp_replace(html, '<(script|style)\\b.*?</(script|style)>', ' ', 'gis'), '<[^>]*>', ' ', 'gs')"
 _OUT = ", ".join(f"'{w}'" for w in [*presence.LEGAL_WORDS, *(w.upper() for w in presence.GENERIC_WORDS)])
@@ -105,10 +132,12 @@ UNION ALL SELECT subject, channel, i, ts, event_id, action, outcome, was, CASE W
 
 ORACLE_SQL = {
     "mg_apply_decisions": _STEPS + " SELECT subject, channel, value, state, note, source, applied FROM (SELECT *, count(*) FILTER (WHERE outcome = 'applied') OVER (PARTITION BY subject, channel) AS applied FROM step QUALIFY row_number() OVER (PARTITION BY subject, channel ORDER BY i DESC) = 1) WHERE live",
+    "ss_file_ingest": "WITH o AS (SELECT o_orderkey AS id, CAST(o_totalprice AS DECIMAL(18,2)) AS price FROM orders) SELECT id, CAST(CASE WHEN id % 7 = 0 AND id % 11 <> 0 THEN price + 1 ELSE price END AS DECIMAL(18,2)) AS price, CASE WHEN id % 10 <> 0 THEN 1 ELSE 2 END AS first_job, CASE WHEN id % 11 <> 0 AND (id % 7 = 0 OR id % 10 = 0) THEN 2 ELSE 1 END AS last_job FROM o WHERE id % 10 <> 0 OR id % 11 <> 0",
     "mg_decision_audit": _STEPS + " SELECT subject, channel, ts, event_id, action, value_before, value AS value_after, coalesce(state, 'deleted') AS state FROM step WHERE outcome = 'applied' AND action <> 'propose'",
     "mg_decision_outcomes": _STEPS + " SELECT action, outcome, count(*) AS n FROM step WHERE i > 0 GROUP BY ALL",
     "pl_propose_presence": _PRESENCE + " SELECT * FROM proposed",
     "pl_review_queue": _PRESENCE + " SELECT kind, id, site, rule = 'mention' AS mentions FROM proposed WHERE id % 7 <> 0",
 }
+ORACLE_SQL["ss_decision_log"] = ORACLE_SQL["mg_apply_decisions"]
 
 QUERIES = {name: globals()[name] for name in ORACLE_SQL}

@@ -12,7 +12,6 @@ import __spark_entry__ as entry
 from regspark.functions import cleaning as c
 from regspark.operators import finance, joins, merge, peers, presence
 from regspark.sources import readers
-from regspark.streaming import wrappers
 
 SF = "/root/testdata/sf0.001"
 
@@ -101,18 +100,6 @@ def test_presence(spark):
     assert presence.domain_candidates(df, "id", "name", "email").where("domain like '%gmail%'").count() == 0
 
 
-def test_streams(spark, tmp_path):
-    source, target = str(tmp_path / "in"), {"df": merge.target_of(spark.createDataFrame([(1, "a")], "id int, x string"), ["x"], 0)}
-    spark.createDataFrame([(1, "b", 1), (2, "c", 2), (1, "d", 3)], "id int, x string, n int").coalesce(1).write.parquet(source)
-    stream = spark.readStream.schema("id int, x string, n int").parquet(source)
-
-    def publish(df, batch):
-        target["df"] = spark.createDataFrame(df.collect(), df.schema)
-
-    wrappers.ingest(stream, lambda: target["df"], publish, ["id"], ["x"], "n", str(tmp_path / "c")).awaitTermination()
-    assert {(r["id"], r["x"]) for r in target["df"].collect()} == {(1, "d"), (2, "c")}
-
-
 def test_formulas_name_known_concepts():
     from regspark.plans.domain import CONCEPTS
 
