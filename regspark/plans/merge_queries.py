@@ -98,6 +98,12 @@ def mg_latest_status(spark, sf_dir):
     return merge.latest(e, ["user_id"], ["ts", "event_id"]).select("user_id", "event_type")
 
 
+def mg_decision_state(spark, sf_dir):
+    """Events by user: the state that they leave, how many there were, and whether it ever was confirmed."""
+    e = read(spark, sf_dir, "events")
+    return e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.count("*").alias("decisions"), F.bool_or(F.col("event_type") == "purchase").alias("ever_purchase"))
+
+
 def mg_propagate_and_clear(spark, sf_dir):
     """Years of urgent orders onto companies by tax id; ids that several companies share get nothing."""
     c = companies(spark, sf_dir).select("company", "tax_id", F.when(F.col("company") % 2 == 0, "old").alias("years"))
@@ -199,6 +205,7 @@ SELECT * FROM old WHERE id NOT IN (SELECT id FROM changed) UNION ALL SELECT * FR
     "mg_insert_if_absent": _V + " SELECT id, price FROM v1 UNION ALL SELECT id, price FROM v2 WHERE id NOT IN (SELECT id FROM v1)",
     "st_members_delta": _V + ", a AS (SELECT DISTINCT customer FROM v1), b AS (SELECT DISTINCT customer FROM v2 WHERE year >= 1999) SELECT customer, 'entry' AS change FROM b WHERE customer NOT IN (SELECT customer FROM a) UNION ALL SELECT customer, 'exit' FROM a WHERE customer NOT IN (SELECT customer FROM b)",
     "mg_latest_status": "SELECT user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "mg_decision_state": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS decisions, bool_or(event_type = 'purchase') AS ever_purchase FROM events GROUP BY user_id",
     "mg_propagate_and_clear": f"WITH {COMPANIES_SQL}, c AS (SELECT company, tax_id, CASE WHEN company % 2 = 0 THEN 'old' END AS before FROM companies), r AS (SELECT lpad(CAST(o_custkey % 1400 AS VARCHAR), 13, '0') AS tax_id, string_agg(DISTINCT CAST(year(o_orderdate) AS VARCHAR), ',' ORDER BY CAST(year(o_orderdate) AS VARCHAR)) AS years FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1), u AS (SELECT tax_id FROM c GROUP BY 1 HAVING count(*) = 1) SELECT c.company, c.tax_id, r.years, before IS DISTINCT FROM r.years AS changed FROM c LEFT JOIN (SELECT * FROM r WHERE tax_id IN (SELECT tax_id FROM u)) r ON c.tax_id = r.tax_id",
     "jn_unique_key_enrich": f"WITH {COMPANIES_SQL}, u AS (SELECT tax_id FROM companies GROUP BY 1 HAVING count(*) = 1) SELECT company, c.tax_id, s.s_name AS registered_name FROM companies c LEFT JOIN supplier s ON c.tax_id = lpad(CAST(s_suppkey AS VARCHAR), 13, '0') AND c.tax_id IN (SELECT tax_id FROM u)",
     "ag_ambiguous": f"WITH {COMPANIES_SQL} SELECT tax_id, count(*) AS n FROM companies GROUP BY 1 HAVING count(*) > 1",

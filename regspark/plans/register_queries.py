@@ -125,7 +125,7 @@ def jn_entity_sheet(spark, sf_dir):
     return c.join(o, "company", "left").join(e, "company", "left")
 
 
-def jn_latest_run(spark, sf_dir):
+def ag_latest_by_type(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     return e.groupBy("event_type").agg(F.max("ts").alias("last_run"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_id"), F.count_if(F.col("ts") >= F.lit("2024-01-15").cast("timestamp")).alias("recent"))
 
@@ -250,7 +250,7 @@ ORACLE_SQL = {
     "wn_distinct_on": "SELECT o_custkey, o_orderkey AS first_order FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_totalprice, o_orderkey) = 1",
     "tk_main_activity": "SELECT l_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey)) AS main_part, count(*) AS lines FROM lineitem GROUP BY 1",
     "jn_entity_sheet": _C + ", o AS (SELECT o_custkey AS company, count(*) AS orders, string_agg(DISTINCT CAST(year(o_orderdate) AS VARCHAR), ',' ORDER BY CAST(year(o_orderdate) AS VARCHAR)) AS years FROM orders GROUP BY 1), e AS (SELECT user_id AS company, count(*) AS events FROM events GROUP BY 1) SELECT c.company, name, orders, years, events FROM companies c LEFT JOIN o ON c.company = o.company LEFT JOIN e ON c.company = e.company",
-    "jn_latest_run": "SELECT event_type, max(ts) AS last_run, arg_max(event_id, (ts, event_id)) AS last_id, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-15') AS recent FROM events GROUP BY 1",
+    "ag_latest_by_type": "SELECT event_type, max(ts) AS last_run, arg_max(event_id, (ts, event_id)) AS last_id, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-15') AS recent FROM events GROUP BY 1",
     "pl_profile": _PROFILE_SQL + " SELECT * FROM profile",
     "st_population_check": _PROFILE_SQL + " SELECT kind, count(*) AS n, count(DISTINCT id) AS ids FROM profile GROUP BY 1",
     "flt_rule_text": f"{_PROFILE_SQL}, {_members_sql('m', 2000)} SELECT * FROM m",

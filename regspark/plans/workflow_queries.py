@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regspark.operators import decisions, merge, presence
-from regspark.plans.domain import MONEY, read
-from regspark.sources import scratch
+from regspark.functions import cleaning
+from regspark.operators import decisions, merge, presence, segments
+from regspark.plans.domain import COMPANIES_SQL, MONEY, companies, read
+from regspark.sources import payload, scratch
 from regspark.streaming import wrappers
 
 # ---- presence ------------------------------------------------------------------------------
@@ -106,6 +107,110 @@ def ss_file_ingest(spark, sf_dir):
     return wrappers.read_target(spark, path).select("id", "price", "first_job", "last_job")
 
 
+# ---- nested payloads -----------------------------------------------------------------------
+
+_DOC = ["conv_id", "turn"]
+
+
+def raw_payloads(turns: DataFrame) -> DataFrame:
+    """Each turn of a conversation as a portal's JSON answer made of its words; every eleventh is cut off."""
+    w = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t\\n\\r\\f]+"), lambda x: x != "")
+
+    def part(first: int, n: int, made) -> Column:
+        return F.transform(F.slice(w, first, n), made)
+
+    doc = F.struct(
+        F.struct(F.when(F.col("turn") % 5 != 0, F.concat(F.get(w, F.lit(0)), F.lit(" "))).alias("razonSocial"), F.get(w, F.lit(1)).alias("nombreComercial"), F.concat(F.lit("2020-01-0"), F.col("turn") % 9 + 1).alias("fechaInicioActividades")).alias("ruc"),
+        part(4, 4, lambda x, i: F.struct(F.when(i % 2 == 0, F.concat(x, F.lit("@mail.example"))).otherwise(F.concat(F.lit("+593 99 "), F.lpad(F.length(x).cast("string"), 3, "0"))).alias("contacto"), i.alias("tipo"))).alias("contacto"),
+        part(8, 8, lambda x: F.struct(F.concat(x, F.lit(" ")).alias("dni"), F.concat(F.lit("$"), F.length(x), F.lit("00.5 USD")).alias("sueldo"), F.concat(F.lit("2021-02-"), F.lpad(F.length(x).cast("string"), 2, "0")).alias("fechaIngreso"))).alias("nomina"),
+        F.struct(part(16, 3, lambda x: F.struct(x.alias("carRegistration"), (1900 + F.length(x) * 25).alias("year"))).alias("vehicle")).alias("carro"),
+        F.struct(part(19, 2, lambda x: F.struct(x.alias("predio"))).alias("propiedades")).alias("propiedades"),
+    )
+    text = F.to_json(doc)
+    cut = (F.col("conv_id") + F.col("turn")) % 11 == 0
+    return turns.select(*_DOC, F.when(cut, text.substr(F.lit(1), F.length(text) - 3)).otherwise(text).alias("raw"))
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payload.items(raw_payloads(read(spark, sf_dir, "conversations")), _DOC)
+
+
+def src_payload_company(spark, sf_dir):
+    return payload.company_rows(_items(spark, sf_dir), _DOC).select(*_DOC, "name", "trade_name", F.col("started").cast("string").alias("started"), "employees", "wages")
+
+
+def src_payload_contacts(spark, sf_dir):
+    return payload.contacts(_items(spark, sf_dir), _DOC)
+
+
+def src_payload_staff(spark, sf_dir):
+    return payload.staff(_items(spark, sf_dir), _DOC).select(*_DOC, "person", "wage", F.col("since").cast("string").alias("since"))
+
+
+def src_payload_vehicles(spark, sf_dir):
+    return payload.vehicles(_items(spark, sf_dir), _DOC).select(*_DOC, "plate", "year")
+
+
+def src_payload_properties(spark, sf_dir):
+    return payload.properties(_items(spark, sf_dir), _DOC).select(*_DOC, "pos", F.get_json_object("content", "$.predio").alias("parcel"))
+
+
+def src_payload_rejects(spark, sf_dir):
+    return payload.rejects(_items(spark, sf_dir), _DOC).select(*_DOC, "reason")
+
+
+# ---- segment history -----------------------------------------------------------------------
+
+#: The first of every month of a year.
+RUNS = [f"1997-{m:02d}-01" for m in range(1, 13)]
+#: Segments of customers by their orders in so many days before a run: code, days, condition, least sum.
+BY_ORDERS = (("active", 90, "true", 0), ("urgent", 30, "priority = '1-URGENT'", 0), ("big_spenders", 180, "true", 600_000), ("nobody_yet", 30, "price < 0", 0))
+PRODUCTS = (("active", "newsletter", 3), ("big_spenders", "audit", 1), ("big_spenders", "newsletter", 3), ("urgent", "credit", 2), ("urgent", "audit", 2))
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").cast(MONEY).alias("price"), F.col("o_orderpriority").alias("priority"))
+    held = F.array(*(F.struct(F.lit(k).alias("run"), F.lit(d).cast("date").alias("on")) for k, d in enumerate(RUNS, 1)))
+    members = None
+    for code, days, rule, least in BY_ORDERS:
+        hits = o.where(rule).select("id", "price", F.explode(F.filter(held, lambda x: (F.col("day") <= x["on"]) & (F.col("day") > F.date_sub(x["on"], days)))).alias("r"))  # noqa: B023
+        some = hits.groupBy("id", F.col("r.run").alias("run")).agg(F.sum("price").alias("s")).where(F.col("s") >= least).select(F.lit(code).alias("segment"), F.lit("company").alias("kind"), "id", "run")
+        members = some if members is None else members.unionByName(some)
+    return segments.intervals(members, RUNS)
+
+
+def _run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.run_rows(_spans(spark, sf_dir), [c for c, *_ in BY_ORDERS], RUNS)
+
+
+def pl_segment_history(spark, sf_dir):
+    """From when to when each customer was in each segment, over twelve monthly runs."""
+    return _spans(spark, sf_dir).select("segment", "id", "entered", "left")
+
+
+def pl_segment_runs(spark, sf_dir):
+    """The row of every run: members, entries, exits, and events, of which first runs have none."""
+    return _run_rows(spark, sf_dir)
+
+
+def pl_segment_events(spark, sf_dir):
+    return segments.events(_spans(spark, sf_dir), _run_rows(spark, sf_dir)).select("segment", "id", "run", "change")
+
+
+def pl_segment_recent_members(spark, sf_dir):
+    """Members on the 15th of June who entered within 30 days, with a contact, in one of two places, not
+    handled yet (no purchase event), with their company's data."""
+    c = companies(spark, sf_dir).where(F.col("section").isin("ASIA", "EUROPE", "R0", "R1", "R2") | (F.col("nation") % 2 == 0)).where("company % 3 <> 0").select(F.col("company").alias("id"), "name", "division")
+    handled = read(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("id"))
+    return segments.members_at(_spans(spark, sf_dir), "1997-06-15", 30).join(c, "id").join(handled, "id", "left_anti").select("segment", "id", "entered", "name", "division")
+
+
+def jn_latest_run(spark, sf_dir):
+    """Each segment with its last run, its members, the entries of the 30 days before and its products."""
+    products = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(s).alias("segment"), F.lit(p).alias("product"), F.lit(k).alias("priority")) for s, p, k in PRODUCTS))))
+    return segments.overview(_spans(spark, sf_dir), _run_rows(spark, sf_dir), products)
+
+
 _NORMAL = "regexp_replace(upper(replace(strip_accents({0}), 'ß', 'ss')), '[^A-Z0-9]+', ' ', 'g')"
 _TEXT = "regexp_replace(regexp_replace(html, '<(script|style)\\b.*?</(script|style)>', ' ', 'gis'), '<[^>]*>', ' ', 'gs')"
 _OUT = ", ".join(f"'{w}'" for w in [*presence.LEGAL_WORDS, *(w.upper() for w in presence.GENERIC_WORDS)])
@@ -130,7 +235,37 @@ UNION ALL SELECT subject, channel, i, ts, event_id, action, outcome, was, CASE W
     CASE WHEN l.action = 'propose' AND l.value IS NOT NULL AND s.live THEN 'ignored' WHEN l.action IN ('propose', 'create') AND l.value IS NOT NULL THEN 'applied' WHEN l.action IN ('confirm', 'discard', 'edit', 'delete') AND s.live THEN 'applied' ELSE 'refused' END AS outcome
     FROM step s JOIN log l ON l.subject = s.subject AND l.channel = s.channel AND l.i = s.i + 1))"""
 
+_CLEAN = "trim(regexp_replace({0}, '[\\x00-\\x20\\x7f\\x{{a0}}\\x{{fffd}}]+', ' ', 'g'))"
+_NULLIFY = f"CASE WHEN upper(strip_accents({_CLEAN})) NOT IN ({', '.join(repr(x) for x in cleaning.BLANKS)}) THEN {_CLEAN} END"
+_WORDS = f"""WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\r\\f]+'), lambda x: x <> '') AS w FROM conversations), d AS (SELECT * FROM w WHERE (conv_id + turn) % 11 <> 0),
+c AS (SELECT conv_id, turn, i, CASE WHEN i % 2 = 0 THEN x || '@mail.example' ELSE '+593 99 ' || lpad(CAST(length(x) AS VARCHAR), 3, '0') END AS value FROM (SELECT conv_id, turn, unnest(w[4:7]) AS x, generate_subscripts(w[4:7], 1) - 1 AS i FROM d)),
+contact AS (SELECT conv_id, turn, {_NULLIFY.format('value')} AS value, CASE WHEN regexp_full_match({_CLEAN.format('value')}, '[^@\\s]+@[^@\\s]+\\.[^@\\s]+') THEN 'email' WHEN i % 2 = 1 THEN 'phone' ELSE 'unknown' END AS kind, CAST(i AS VARCHAR) AS code FROM c QUALIFY row_number() OVER (PARTITION BY conv_id, turn, {_NULLIFY.format('value')} ORDER BY i) = 1),
+s AS (SELECT conv_id, turn, i, x, {_NULLIFY.format('x')} AS person FROM (SELECT conv_id, turn, unnest(w[8:15]) AS x, generate_subscripts(w[8:15], 1) AS i FROM d)),
+staff AS (SELECT conv_id, turn, person, length(x) * 100 + 0.5::DOUBLE AS wage, CAST(TRY_CAST('2021-02-' || lpad(CAST(length(x) AS VARCHAR), 2, '0') AS DATE) AS VARCHAR) AS since FROM s WHERE person IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, turn, person ORDER BY i) = 1),
+v AS (SELECT conv_id, turn, i, x, {_NULLIFY.format('x')} AS plate FROM (SELECT conv_id, turn, unnest(w[16:18]) AS x, generate_subscripts(w[16:18], 1) AS i FROM d)),
+vehicle AS (SELECT conv_id, turn, plate, CASE WHEN 1900 + length(x) * 25 <= 2100 THEN CAST(1900 + length(x) * 25 AS INTEGER) END AS year FROM v WHERE plate IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, turn, plate ORDER BY i) = 1),
+company AS (SELECT conv_id, turn, {_NULLIFY.format('w[1]')} AS name, {_NULLIFY.format('w[2]')} AS trade_name, '2020-01-0' || (turn % 9 + 1) AS started FROM d WHERE turn % 5 <> 0)"""
+_HISTORY = "WITH runs(run, held_on) AS (VALUES " + ", ".join(f"({k}, DATE '{d}')" for k, d in enumerate(RUNS, 1)) + "), o AS (SELECT o_custkey AS id, CAST(o_orderdate AS DATE) AS day, CAST(o_totalprice AS DECIMAL(18,2)) AS price, o_orderpriority AS priority FROM orders), m AS (" + " UNION ALL ".join(f"SELECT '{c}' AS segment, id, run FROM o JOIN runs ON day <= held_on AND day > held_on - {d} WHERE {r} GROUP BY id, run HAVING sum(price) >= {n}" for c, d, r, n in BY_ORDERS) + """),
+i AS (SELECT *, run - row_number() OVER (PARTITION BY segment, id ORDER BY run) AS island FROM m),
+span AS (SELECT segment, id, min(run) AS first_run, max(run) AS last_run FROM i GROUP BY segment, id, island),
+history AS (SELECT segment, id, a.held_on AS entered, b.held_on AS \"left\", first_run, last_run FROM span JOIN runs a ON a.run = first_run LEFT JOIN runs b ON b.run = last_run + 1),
+codes(segment) AS (VALUES """ + ", ".join(f"('{c}')" for c, *_ in BY_ORDERS) + """),
+r AS (SELECT segment, run, held_on, (SELECT count(*) FROM m WHERE m.segment = codes.segment AND m.run = runs.run) AS total, (SELECT count(*) FROM span WHERE span.segment = codes.segment AND first_run = run) AS entries, (SELECT count(*) FROM span WHERE span.segment = codes.segment AND last_run + 1 = run) AS exits FROM codes, runs),
+run_rows AS (SELECT *, CASE WHEN exits = 0 AND entries = total THEN 0 ELSE entries + exits END AS events FROM r)"""
+_PRODUCTS = "products(segment, product, priority) AS (VALUES " + ", ".join(f"('{s}', '{p}', {k})" for s, p, k in PRODUCTS) + ")"
+
 ORACLE_SQL = {
+    "src_payload_company": _WORDS + " SELECT c.conv_id, c.turn, name, trade_name, started, coalesce(n, 0) AS employees, wages FROM company c LEFT JOIN (SELECT conv_id, turn, count(*) AS n, sum(wage) AS wages FROM staff GROUP BY ALL) s ON c.conv_id = s.conv_id AND c.turn = s.turn WHERE name IS NOT NULL",
+    "src_payload_contacts": _WORDS + " SELECT * FROM contact WHERE value IS NOT NULL",
+    "src_payload_staff": _WORDS + " SELECT * FROM staff",
+    "src_payload_vehicles": _WORDS + " SELECT * FROM vehicle",
+    "src_payload_properties": _WORDS + " SELECT conv_id, turn, CAST(generate_subscripts(w[19:20], 1) - 1 AS INTEGER) AS pos, unnest(w[19:20]) AS parcel FROM d",
+    "src_payload_rejects": "SELECT conv_id, turn, 'not_json' AS reason FROM conversations WHERE (conv_id + turn) % 11 = 0",
+    "pl_segment_history": _HISTORY + " SELECT segment, id, entered, \"left\" FROM history",
+    "pl_segment_runs": _HISTORY + " SELECT * FROM run_rows",
+    "pl_segment_events": _HISTORY + ", e AS (SELECT segment, id, first_run AS run, 'entry' AS change FROM span UNION ALL SELECT segment, id, last_run + 1, 'exit' FROM span) SELECT e.* FROM e JOIN run_rows r ON e.segment = r.segment AND e.run = r.run WHERE events > 0",
+    "pl_segment_recent_members": _HISTORY + f", {COMPANIES_SQL} SELECT history.segment, id, entered, name, division FROM history JOIN companies ON id = company WHERE entered <= DATE '1997-06-15' AND (\"left\" IS NULL OR \"left\" > DATE '1997-06-15') AND entered > DATE '1997-06-15' - 30 AND (section IN ('ASIA', 'EUROPE', 'R0', 'R1', 'R2') OR nation % 2 = 0) AND company % 3 <> 0 AND id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')",
+    "jn_latest_run": _HISTORY + f", {_PRODUCTS} SELECT r.segment, run AS last_run, held_on, total AS members, (SELECT CAST(sum(entries) AS BIGINT) FROM run_rows e WHERE e.segment = r.segment AND e.held_on > DATE '{RUNS[-1]}' - 30) AS entries, (SELECT string_agg(product, ',' ORDER BY priority, product) FROM products p WHERE p.segment = r.segment) AS products FROM run_rows r WHERE run = {len(RUNS)}",
     "mg_apply_decisions": _STEPS + " SELECT subject, channel, value, state, note, source, applied FROM (SELECT *, count(*) FILTER (WHERE outcome = 'applied') OVER (PARTITION BY subject, channel) AS applied FROM step QUALIFY row_number() OVER (PARTITION BY subject, channel ORDER BY i DESC) = 1) WHERE live",
     "ss_file_ingest": "WITH o AS (SELECT o_orderkey AS id, CAST(o_totalprice AS DECIMAL(18,2)) AS price FROM orders) SELECT id, CAST(CASE WHEN id % 7 = 0 AND id % 11 <> 0 THEN price + 1 ELSE price END AS DECIMAL(18,2)) AS price, CASE WHEN id % 10 <> 0 THEN 1 ELSE 2 END AS first_job, CASE WHEN id % 11 <> 0 AND (id % 7 = 0 OR id % 10 = 0) THEN 2 ELSE 1 END AS last_job FROM o WHERE id % 10 <> 0 OR id % 11 <> 0",
     "mg_decision_audit": _STEPS + " SELECT subject, channel, ts, event_id, action, value_before, value AS value_after, coalesce(state, 'deleted') AS state FROM step WHERE outcome = 'applied' AND action <> 'propose'",

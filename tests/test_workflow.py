@@ -1,12 +1,14 @@
 """Decisions, streams, presence, payloads and segment history against brute force on small tables."""
 
+import json
 import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from regspark.operators import decisions, merge, presence
+from regspark.operators import decisions, merge, presence, segments
+from regspark.sources import payload
 from regspark.streaming import wrappers
 
 KEY, ORDER = ["subject"], ["ts", "event_id"]
@@ -161,3 +163,64 @@ def test_insert_if_absent_keeps_what_is_there(spark):
     old = spark.createDataFrame([(1, "a", "discarded")], "id int, site string, state string")
     new = spark.createDataFrame([(1, "a", "proposed"), (1, "b", "proposed")], "id int, site string, state string")
     assert {tuple(r) for r in merge.insert_if_absent(old, new, ["id", "site"]).collect()} == {(1, "a", "discarded"), (1, "b", "proposed")}
+
+
+# ---- nested payloads -----------------------------------------------------------------------
+
+
+def test_payload_tables(spark):
+    full = {
+        "ruc": {"razonSocial": "ACME ", "telefono": 123, "fechaInicioActividades": "2020-01-05T00:00"},
+        "contacto": [{"contacto": "a@b.ec", "tipo": 8}, {"contacto": "a@b.ec", "tipo": 3}, {"contacto": "+593 99 111", "tipo": 3}, {"contacto": "x"}, {"contacto": " - "}, 5],
+        "nomina": [{"dni": "1 ", "sueldo": "1,200.5 USD"}, {"dni": "1", "sueldo": "7"}, {"dni": "2", "sueldo": None}, {"sueldo": 9}],
+        "carro": {"vehicle": [{"carRegistration": "P1", "year": "2019.7", "cylinderCapacity": "9999999"}]},
+        "propiedades": [{"predio": 1}, {"predio": 1}],
+    }
+    raw = [("a", json.dumps(full)), ("a", json.dumps(full)), ("b", "{bad"), ("c", None), ("d", "[1]"), ("e", '{"ruc": {}}'), ("f", "{}"), ("g", '{"carro": [{"carRegistration": "Q", "year": 1800}], "nomina": {"x": 1}}'), (None, '{"ruc": {"razonSocial": "No key"}}')]
+    items = payload.items(spark.createDataFrame(raw, "id string, raw string").withColumns({"kind": F.lit("mine"), "item": F.lit("mine")}), ["id"])
+    assert {tuple(r) for r in payload.contacts(items, ["id"]).collect()} == {("a", "a@b.ec", "email", "8"), ("a", "+593 99 111", "phone", "3"), ("a", "x", "unknown", None)}
+    assert {(r["id"], r["person"], r["wage"]) for r in payload.staff(items, ["id"]).collect()} == {("a", "1", 1200.5), ("a", "2", None)}
+    assert {(r["plate"], r["year"], r["engine"]) for r in payload.vehicles(items, ["id"]).collect()} == {("P1", 2019, None), ("Q", None, None)}
+    assert {(r["id"], r["name"], r["employees"], r["wages"]) for r in payload.company_rows(items, ["id"]).collect()} == {("a", "ACME", 2, 1200.5), (None, "No key", 0, None)}
+    assert {(r["id"], r["reason"]) for r in payload.rejects(items, ["id"]).collect()} == {("b", "not_json"), ("c", "empty"), ("d", "no_object")}
+    assert payload.properties(items, ["id"]).count() == 4
+
+
+def test_payload_is_parsed_in_one_scan(spark, tmp_path):
+    """Written by kind, the tables come from one pass over the raw answers."""
+    spark.createDataFrame([("a", '{"nomina": [{"dni": "1"}], "contacto": [{"contacto": "z@y.x"}]}')], "id string, raw string").write.parquet(f"{tmp_path}/raw")
+    payload.items(spark.read.parquet(f"{tmp_path}/raw"), ["id"]).write.partitionBy("kind").parquet(f"{tmp_path}/items")
+    items = spark.read.parquet(f"{tmp_path}/items")
+    assert payload.staff(items, ["id"]).count() == 1 and payload.contacts(items, ["id"]).first()["value"] == "z@y.x"
+
+
+# ---- segment history -----------------------------------------------------------------------
+
+
+def test_history_against_run_by_run(spark):
+    r = random.Random(6)
+    dates = [f"2024-{m:02d}-01" for m in range(1, 9)]
+    members = {("s", "k", i, run) for i in range(30) for run in range(1, 9) if r.random() < 0.6} | {("t", "k", i, run) for i in range(3) for run in (4, 5, 8)}
+    spans = segments.intervals(spark.createDataFrame(sorted(members) * 2, "segment string, kind string, id long, run int"), dates)
+    got = spans.collect()
+    assert {(x["segment"], x["kind"], x["id"], run) for x in got for run in range(x["first_run"], x["last_run"] + 1)} == members
+    assert all((x["segment"], "k", x["id"], x["first_run"] - 1) not in members and (x["segment"], "k", x["id"], x["last_run"] + 1) not in members for x in got)
+    rows = {(x["segment"], x["run"]): (x["total"], x["entries"], x["exits"], x["events"]) for x in segments.run_rows(spans, ["s", "t", "empty"], dates).collect()}
+    for s in ("s", "t", "empty"):
+        for run in range(1, 9):
+            now, before = ({i for g, _, i, k in members if (g, k) == (s, n)} for n in (run, run - 1))
+            entries, exits = len(now - before), len(before - now)
+            assert rows[s, run] == (len(now), entries, exits, 0 if exits == 0 and entries == len(now) else entries + exits)
+    news = segments.events(spans, segments.run_rows(spans, ["s", "t"], dates))
+    assert news.where("segment = 't'").count() == 3 and news.where("segment = 't' AND change = 'exit' AND run = 6").count() == 3
+    for run, date in ((5, "2024-05-01"), (5, "2024-05-20")):
+        assert {(x["segment"], x["id"]) for x in segments.members_at(spans, date).collect()} == {(g, i) for g, _, i, k in members if k == run}
+    assert {x["id"] for x in segments.members_at(spans, "2024-04-20", 30).where("segment = 't'").collect()} == {0, 1, 2} and segments.members_at(spans, "2024-05-20", 30).where("segment = 't'").count() == 0
+
+
+def test_inactive_segments_are_refused(spark):
+    profile = spark.createDataFrame([("supplier", 1, True)], "kind string, id long, in_force boolean").withColumns({c: F.lit(None).cast("int") for c in ("first_year", "last_assets", "previous_assets")}).withColumns({"keeps_books": F.lit(True), "contact": F.lit("c")})
+    assert {r["segment"] for r in segments.evaluate(profile, 2000, only=["reachable"]).collect()} == {"reachable"}
+    for code in ("retired", "unheard"):
+        with pytest.raises(segments.InactiveSegment):
+            segments.evaluate(profile, 2000, only=["reachable", code])
