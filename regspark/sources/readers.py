@@ -105,23 +105,22 @@ def year_matrix(df: DataFrame, code: str, value: str = "coefficient") -> DataFra
     return long.select(F.col(code).alias("code"), F.col("year").cast("int").alias("year"), F.col("cell").try_cast("decimal(6,4)").alias(value)).where(F.col("code").rlike(r"^[A-Z]\d{3}$") & (F.col(value) > 0))
 
 
-def list_type(title: Column) -> Column:
-    """The kind of an exporter list by its title; the more special rule comes first."""
-    t = F.upper(cleaning.deaccent(title))
-    return F.when(t.rlike("3 PUNTOS|TRES PUNTOS"), "rebate").when(t.contains("SERVICIOS"), "services").when(t.contains("EXPORTADOR"), "goods")
+def text_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file, place, value: the lines of text files, each file read as UTF-8 if its first block is, else as Latin-1.
 
-
-def list_year(column_year: Column, file_name: Column) -> Column:
-    """The year column, else the year in the file's name."""
-    return F.coalesce(column_year, F.regexp_extract(file_name, r"(20\d{2})", 1).try_cast("int"))
+    Lines are judged whole and in bytes, so no character is cut, whatever the size of a file; a byte
+    order mark is left out. `place` (block, number) orders the lines of a file. A file is read in
+    splits like any other, and its verdict is one row.
+    """
+    raw = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("number")).alias("place"), "value")
+    judged = raw.where("place.block = 0").groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
+    text = F.when(F.col("utf8"), F.make_valid_utf8("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
+    return raw.join(judged, "file").select("file", "place", F.regexp_replace(text, "^\ufeff", "").alias("value"))
 
 
 def read_text_any(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Lines of text files, each read as UTF-8 if its first 64 KB are, else as Latin-1."""
-    head = spark.read.format("binaryFile").load(paths).select("path", F.is_valid_utf8(F.substring("content", 1, 65_536).cast("string")).alias("utf8"))
-    kinds = {r["path"]: r["utf8"] for r in head.collect()}  # one flag a file
-    parts = [spark.read.option("encoding", name).csv([p for p, u in kinds.items() if u is flag], sep="\u0001", quote="", schema="value string") for flag, name in ((True, "UTF-8"), (False, "ISO-8859-1")) if flag in kinds.values()]
-    return reduce(DataFrame.unionByName, parts)
+    """The lines of text files in UTF-8 or Latin-1, as `value`."""
+    return text_lines(spark, paths).select("value")
 
 
 def split_rejects(df: DataFrame, errors: Column, most: int = 10_000) -> tuple[DataFrame, DataFrame]:
