@@ -184,8 +184,8 @@ def pl_company_sector_view(spark, sf_dir):
 
 
 def pl_risk_sheet(spark, sf_dir):
-    """Years of the companies divisible by 100, with their profile."""
-    yearly = fin.pl_risk_year(spark, sf_dir).where("company % 100 = 0")
+    """The years of every company at risk, with its name."""
+    yearly = fin.pl_risk_year(spark, sf_dir)
     name = companies(spark, sf_dir).select("company", "name")
     return yearly.join(name, "company").select("company", "name", "year", "population", "gap", "percentile")
 
@@ -255,7 +255,7 @@ ORACLE_SQL = {
     "mg_scope_province": _C + "SELECT company FROM companies WHERE upper(division) = 'NATION_1'",
     "mg_content_change": "SELECT page_id, 2 AS last_job FROM pages WHERE page_id % 6 = 0",
     "pl_company_sector_view": fin._WIDE + ", v AS (SELECT year, company, section, roa AS value FROM wide JOIN companies USING (company) WHERE roa IS NOT NULL) SELECT *, round(quantile_cont(value, 0.5) OVER (PARTITION BY year, section), 6) AS p50 FROM v",
-    "pl_risk_sheet": fin._RISK + " SELECT company, name, year, population, gap, percentile FROM risk JOIN companies USING (company) WHERE company % 100 = 0",
+    "pl_risk_sheet": fin._RISK + " SELECT company, name, year, population, gap, percentile FROM risk JOIN companies USING (company)",
     "pl_site_merge": "SELECT l_suppkey AS holder, CASE WHEN l_suppkey % 2 = 0 AND l_suppkey IN (SELECT c_custkey FROM customer) THEN 'company' WHEN l_suppkey IN (SELECT s_suppkey FROM supplier) THEN 'supplier' ELSE 'unknown' END AS kind, count(DISTINCT l_orderkey) AS sites, arg_min(l_returnflag, (l_orderkey, l_returnflag)) AS main FROM lineitem GROUP BY l_suppkey",
     "pl_presence_sheet": "WITH r AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY k) FILTER (WHERE k <= 5) AS last_five FROM r GROUP BY user_id",
     "pl_payload_status": f"{reg._PROFILE_SQL}, {reg._members_sql('m', 2000)} SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE user_id IN (SELECT id FROM m WHERE segment = 'bookkeepers') GROUP BY 1",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regspark.functions import cleaning
-from regspark.operators import decisions, merge, presence, segments
+from regspark.operators import decisions, merge, presence, segments, sites
 from regspark.plans.domain import COMPANIES_SQL, MONEY, companies, read
 from regspark.sources import payload, scratch
 from regspark.streaming import wrappers
@@ -211,6 +211,44 @@ def jn_latest_run(spark, sf_dir):
     return segments.overview(_spans(spark, sf_dir), _run_rows(spark, sf_dir), products)
 
 
+# ---- registry of sites ---------------------------------------------------------------------
+
+
+def _sites(spark: SparkSession, sf_dir: str, number: int) -> DataFrame:
+    """Two deliveries of a registry made of orders; the second lacks every seventeenth holder, has every
+    order, and moves the sites of every seventh."""
+    t, o = F.col("o_custkey") % 1400, F.col("o_orderkey")
+    rows = read(spark, sf_dir, "orders").where(o % 10 != 0 if number == 1 else t % 17 != 0)
+    place = F.when((o % 7 == 0) & F.lit(number == 2), F.lit("MOVED")).otherwise(F.col("o_orderpriority"))
+    return rows.select(
+        F.lpad(t.cast("string"), 13, "0").alias("tax_id"), F.when(t % 3 == 0, "PERSONA NATURAL").otherwise("SOCIEDAD").alias("taxpayer"), F.lpad((o % 40).cast("string"), 3, "0").alias("site"),
+        F.concat(F.lit("Holder "), t).alias("name"), F.when(t % 5 == 0, "PASIVO").otherwise("ACTIVO").alias("state"), place.alias("province"), (t % 2 == 0).alias("keeps_books"), F.col("o_orderstatus").alias("site_state"), F.concat(F.lit("G"), o % 9).alias("activity"),
+    )
+
+
+def _site_merge(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    known = companies(spark, sf_dir).where("company % 4 < 2").select("company", "tax_id")
+    first, second = (sites.staged(_sites(spark, sf_dir, n), known) for n in (1, 2))
+    target = sites.merged(None, first, kind, 1).where("status = 'inserted'").drop("status")
+    return sites.merged(target, second, kind, 2).select(*sites.KEYS[kind], *sites.VALUES[kind], "first_job", "last_job", "missing_since", "status")
+
+
+def pl_site_persons(spark, sf_dir):
+    return _site_merge(spark, sf_dir, "person")
+
+
+def pl_site_unsupervised(spark, sf_dir):
+    return _site_merge(spark, sf_dir, "unsupervised")
+
+
+def pl_site_companies(spark, sf_dir):
+    return _site_merge(spark, sf_dir, "company")
+
+
+def pl_site_establishments(spark, sf_dir):
+    return _site_merge(spark, sf_dir, "establishment")
+
+
 _NORMAL = "regexp_replace(upper(replace(strip_accents({0}), 'ß', 'ss')), '[^A-Z0-9]+', ' ', 'g')"
 _TEXT = "regexp_replace(regexp_replace(html, '<(script|style)\\b.*?</(script|style)>', ' ', 'gis'), '<[^>]*>', ' ', 'gs')"
 _OUT = ", ".join(f"'{w}'" for w in [*presence.LEGAL_WORDS, *(w.upper() for w in presence.GENERIC_WORDS)])
@@ -254,7 +292,31 @@ r AS (SELECT segment, run, held_on, (SELECT count(*) FROM m WHERE m.segment = co
 run_rows AS (SELECT *, CASE WHEN exits = 0 AND entries = total THEN 0 ELSE entries + exits END AS events FROM r)"""
 _PRODUCTS = "products(segment, product, priority) AS (VALUES " + ", ".join(f"('{s}', '{p}', {k})" for s, p, k in PRODUCTS) + ")"
 
+
+def _site_sql(kind: str) -> str:
+    """The merge of both deliveries: each aggregated by itself, then compared column by column."""
+    key, values = sites.KEYS[kind], sites.VALUES[kind]
+    by = "tax_id, site" if kind == "establishment" else "tax_id"
+    least = "(site, taxpayer, name, state, province, keeps_books, site_state, activity)"
+    picked = ", ".join(f"arg_min({c}, {least}) AS {c}" for c in ("taxpayer", "name", "state", "province", "keeps_books", "site_state", "activity"))
+    made = lambda n, rule, place: f"r{n} AS (SELECT lpad(CAST(o_custkey % 1400 AS VARCHAR), 13, '0') AS tax_id, CASE WHEN o_custkey % 1400 % 3 = 0 THEN 'PERSONA NATURAL' ELSE 'SOCIEDAD' END AS taxpayer, lpad(CAST(o_orderkey % 40 AS VARCHAR), 3, '0') AS site, 'Holder ' || (o_custkey % 1400) AS name, CASE WHEN o_custkey % 1400 % 5 = 0 THEN 'PASIVO' ELSE 'ACTIVO' END AS state, {place} AS province, o_custkey % 1400 % 2 = 0 AS keeps_books, o_orderstatus AS site_state, 'G' || (o_orderkey % 9) AS activity FROM orders WHERE {rule}), g{n} AS (SELECT {by}, {picked}, count(*) AS sites FROM r{n} GROUP BY ALL)"
+    which = {"person": "taxpayer = 'PERSONA NATURAL'", "unsupervised": "taxpayer = 'SOCIEDAD' AND tax_id NOT IN (SELECT tax_id FROM known)", "company": "taxpayer = 'SOCIEDAD' AND tax_id IN (SELECT tax_id FROM single)", "establishment": "true"}[kind]
+    shown = ", ".join({"class": "CASE WHEN keeps_books THEN 'natural_keeps_books' ELSE 'natural' END AS class", "company": "(SELECT company FROM single s WHERE s.tax_id = g.tax_id) AS company"}.get(v, v) for v in values)
+    same = " AND ".join(f"a.{v} IS NOT DISTINCT FROM b.{v}" for v in values)
+    on = " AND ".join(f"a.{k} = b.{k}" for k in key)
+    back = ", ".join([*(f"coalesce(b.{k}, a.{k}) AS {k}" for k in key), *(f"CASE WHEN b.tax_id IS NULL THEN a.{v} ELSE b.{v} END AS {v}" for v in values)])
+    return f"""WITH {COMPANIES_SQL}, known AS (SELECT company, tax_id FROM companies WHERE company % 4 < 2), single AS (SELECT tax_id, min(company) AS company FROM known GROUP BY 1 HAVING count(*) = 1),
+{made(1, 'o_orderkey % 10 <> 0', 'o_orderpriority')}, {made(2, 'o_custkey % 1400 % 17 <> 0', "CASE WHEN o_orderkey % 7 = 0 THEN 'MOVED' ELSE o_orderpriority END")},
+a AS (SELECT {by}, {shown} FROM g1 g WHERE {which}), b AS (SELECT {by}, {shown} FROM g2 g WHERE {which})
+SELECT {back}, CASE WHEN a.tax_id IS NULL THEN 2 ELSE 1 END AS first_job, CASE WHEN b.tax_id IS NULL OR (a.tax_id IS NOT NULL AND {same}) THEN 1 ELSE 2 END AS last_job, CASE WHEN b.tax_id IS NULL THEN 2 END AS missing_since,
+  CASE WHEN b.tax_id IS NULL THEN 'missing' WHEN a.tax_id IS NULL THEN 'inserted' WHEN {same} THEN 'unchanged' ELSE 'updated' END AS status FROM a FULL JOIN b ON {on}"""
+
+
 ORACLE_SQL = {
+    "pl_site_persons": _site_sql("person"),
+    "pl_site_unsupervised": _site_sql("unsupervised"),
+    "pl_site_companies": _site_sql("company"),
+    "pl_site_establishments": _site_sql("establishment"),
     "src_payload_company": _WORDS + " SELECT c.conv_id, c.turn, name, trade_name, started, coalesce(n, 0) AS employees, wages FROM company c LEFT JOIN (SELECT conv_id, turn, count(*) AS n, sum(wage) AS wages FROM staff GROUP BY ALL) s ON c.conv_id = s.conv_id AND c.turn = s.turn WHERE name IS NOT NULL",
     "src_payload_contacts": _WORDS + " SELECT * FROM contact WHERE value IS NOT NULL",
     "src_payload_staff": _WORDS + " SELECT * FROM staff",
