@@ -71,7 +71,7 @@ def fn_deaccent(spark, sf_dir):
 
 def fn_repair_mojibake(spark, sf_dir):
     """Texts broken by reading their UTF-8 as Windows-1252, then repaired."""
-    d = read(spark, sf_dir, "documents").where("text rlike '[À-ÿ]' AND NOT text rlike '[^\\\\x00-ÿ]'")
+    d = read(spark, sf_dir, "documents")
     latin = F.decode(F.col("text").cast("binary"), "ISO-8859-1")
     broken = F.translate(latin, "".join(chr(b) for b in c.CP1252.values()), "".join(c.CP1252))
     return d.select("doc_id", c.repair_mojibake(broken).alias("text"))
@@ -183,7 +183,7 @@ ORACLE_SQL = {
     "fn_nullify": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 3 THEN 'a b ' || c_mktsegment END AS text FROM customer",
     "fn_header_key": "SELECT n_nationkey, 'SITUACION_' || regexp_replace(upper(n_name), '[^A-Z0-9]+', '_', 'g') || '_N' AS key FROM nation",
     "fn_deaccent": f"SELECT doc_id, md5({_PLAIN}) AS plain FROM documents",
-    "fn_repair_mojibake": "SELECT doc_id, text FROM documents WHERE regexp_matches(text, '[À-ÿ]') AND NOT regexp_matches(text, '[^\\x00-ÿ]')",
+    "fn_repair_mojibake": "SELECT doc_id, text FROM documents",
     "fn_fingerprint": "SELECT c_custkey, md5(c_name || chr(31) || CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment ELSE '' END || chr(31) || c_nationkey) AS row_hash FROM customer",
     "fn_activity": "WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN substr(k, 1, 4) ELSE k END AS k FROM (SELECT p_partkey, substr(p_type, 1, 1) || lpad(CAST(p_partkey % 1000000 AS VARCHAR), 6, '0') AS k FROM part)) SELECT p_partkey, CASE WHEN length(k) = 7 THEN substr(k, 1, 5) || '.' || substr(k, 6, 2) END AS dotted, substr(k, 1, 4) AS grp, substr(k, 1, 3) AS division, substr(k, 1, 1) AS section FROM p",
     "fn_address": "SELECT c_custkey, nullif(concat_ws(', ', CASE WHEN c_custkey % 2 = 0 THEN c_name END, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END), '') AS address FROM customer",

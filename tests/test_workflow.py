@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from regspark.operators import decisions, merge, presence, segments
+from regspark.operators import decisions, merge, presence, segments, sites
 from regspark.sources import payload
 from regspark.streaming import wrappers
 
@@ -224,3 +224,32 @@ def test_inactive_segments_are_refused(spark):
     for code in ("retired", "unheard"):
         with pytest.raises(segments.InactiveSegment):
             segments.evaluate(profile, 2000, only=["reachable", code])
+
+
+# ---- registry of sites ---------------------------------------------------------------------
+
+
+def test_sites_fan_out(spark):
+    columns = "tax_id string, taxpayer string, site string, name string, state string, province string, keeps_books boolean, site_state string, activity string"
+    rows = [("1", "PERSONA NATURAL", "002", "Ana", "A", "Loja", True, "open", "G1"), ("1", "PERSONA NATURAL", "001", "Ana", "A", " quito ", True, "shut", "G2"), ("2", "SOCIEDAD", "001", "Dos", "A", "Quito", None, "open", "G3"), ("3", "SOCIEDAD", "001", "Tres", "P", "Quito", False, "open", "G4"), ("4", "SOCIEDAD", "001", "Cuatro", "P", "Quito", False, "open", "G5"), (None, "SOCIEDAD", "001", "x", "A", "Quito", True, "open", "G6"), ("5", "OTRO", None, "Cinco", "A", "Loja", None, "open", None)]
+    rows += [("6", "PERSONA NATURAL", f"{k:04d}", "Hot", "A", "Loja", None, "open", "G7") for k in range(40)] * 2
+    companies = spark.createDataFrame([(10, "3"), (11, "4"), (12, "4"), (13, None)], "company long, tax_id string")
+    stage = sites.staged(spark.createDataFrame(rows, columns).repartition(5), companies)
+    got = {(r["kind"], r["tax_id"]): (r["class"], r["province"], r["sites"], r["company"]) for r in stage.where("kind <> 'establishment'").collect()}
+    assert got == {("person", "1"): ("natural_keeps_books", " quito ", 2, None), ("person", "6"): ("natural", "Loja", 80, None), ("unsupervised", "2"): (None, "Quito", 1, None), ("company", "3"): (None, "Quito", 1, 10)}  # 4 belongs to two companies
+    assert stage.where("kind = 'establishment'").count() == 2 + 3 + 1 + 40
+    assert {r["tax_id"] for r in sites.staged(spark.createDataFrame(rows, columns), companies, "QUITO").where("kind <> 'establishment'").collect()} == {"1", "2", "3"}
+    shown = stage._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("Generate explode") == 1  # the rows are read once for all four
+
+
+def test_sites_are_merged_under_their_own_fingerprints(spark):
+    columns = "tax_id string, taxpayer string, site string, name string, state string, province string, keeps_books boolean, site_state string, activity string"
+    companies = spark.createDataFrame([], "company long, tax_id string")
+    one = [("1", "PERSONA NATURAL", s, "Ana", "A", "Loja", True, "open", "G1") for s in ("001", "002")]
+    two = [one[0], ("1", "PERSONA NATURAL", "002", "Ana", "A", "Loja", True, "shut", "G1")]
+    status = {}
+    for kind in ("person", "establishment"):
+        target = sites.merged(None, sites.staged(spark.createDataFrame(one, columns), companies), kind, 1).drop("status")
+        status[kind] = sorted(r["status"] for r in sites.merged(target, sites.staged(spark.createDataFrame(two, columns), companies), kind, 2).collect())
+    assert status == {"person": ["unchanged"], "establishment": ["unchanged", "updated"]}
