@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regspark.functions.cleaning import channel_value, deaccent
+from regspark.sources.scratch import once, stored
 
 #: Endings tried, and how many candidates are kept.
 ENDINGS, MAX_CANDIDATES = ("com.ec", "ec"), 8
@@ -132,18 +135,15 @@ def proposals(pages: DataFrame, owners: DataFrame, key: list[str], page: str = "
     distinctive word of the name. Parked pages are passed over; an owner without either has no row.
     Null names, addresses, URLs and pages give nothing.
     """
-    h = F.coalesce(F.col(html), F.lit(""))
-    plain = F.lower(deaccent(visible_text(h)))
-    parked = F.lit(False)
-    for phrase in PARKED:
-        parked = parked | plain.contains(phrase)
-    read = pages.where(F.col(page).isNotNull()).select(F.col(page).alias("page"), host_of(F.col(url)).alias("host"), visible_text(h).alias("text"), parked.alias("parked")).where("NOT parked")
-    words = read.select("page", F.explode(_plain_words(F.col("text"))).alias("word"))
+    plain = pages.where(F.col(page).isNotNull()).select(F.col(page).alias("page"), host_of(F.col(url)).alias("host"), once(F.lower(deaccent(visible_text(F.coalesce(F.col(html), F.lit("")))))).alias("plain"))
+    unparked = plain.where(~F.col("plain").rlike("|".join(map(re.escape, PARKED))))
+    read = stored(unparked.select("page", "host", _plain_words(F.col("plain")).alias("words")), "pages")
     address = F.lower(F.trim(F.substring_index(F.col(email), "@", -1)))
     listed = owners.select(*key, distinctive_words(F.coalesce(F.col(name), F.lit(""))).alias("words"), F.when(F.col(email).contains("@") & ~address.isin(FREE_MAIL), address).alias("domain"))
     by_host = read.where("host <> ''").groupBy(F.col("host").alias("domain")).agg(F.min("page").alias("own_page"))
     wanted = listed.select(F.explode("words").alias("word")).distinct()
-    mentioned = name_mentions(listed, words.join(wanted, "word", "left_semi")).groupBy(F.col("name_key").alias("words")).agg(F.min("page").alias("named_page"))
+    words = stored(read.select("page", F.explode("words").alias("word")).join(wanted, "word", "left_semi").select("page", "word"), "page-words")
+    mentioned = name_mentions(listed, words).groupBy(F.col("name_key").alias("words")).agg(F.min("page").alias("named_page"))
     both = listed.join(by_host, "domain", "left").join(mentioned, "words", "left").where("own_page IS NOT NULL OR named_page IS NOT NULL")
     chosen = both.select(*key, F.coalesce("own_page", "named_page").alias("page"), F.when(F.col("own_page").isNotNull(), "email").otherwise("mention").alias("rule"), F.array_join("words", " ").alias("words"))
     sites = pages.select(F.col(page).alias("page"), channel_value(F.lit("site"), F.regexp_extract(url, r"^(https?://[^/?#]+)", 1)).alias("site")).where("page IS NOT NULL").groupBy("page").agg(F.min("site").alias("site"))

@@ -39,8 +39,9 @@ def pl_propose_presence(spark, sf_dir):
 def pl_review_queue(spark, sf_dir):
     """Proposals that are not in the table of channels yet, whatever their state there (a discarded one
     is not proposed again). The table has every seventh owner's site."""
-    known = _proposed(spark, sf_dir).where("id % 7 = 0").select("kind", "id", "site", F.when(F.col("id") % 2 == 0, "discarded").otherwise("confirmed").alias("state"))
-    new = _proposed(spark, sf_dir).select("kind", "id", "site", F.lit("proposed").alias("state"), (F.col("rule") == "mention").alias("mentions"))
+    found = scratch.stored(_proposed(spark, sf_dir), "proposals")
+    known = found.where("id % 7 = 0").select("kind", "id", "site", F.when(F.col("id") % 2 == 0, "discarded").otherwise("confirmed").alias("state"))
+    new = found.select("kind", "id", "site", F.lit("proposed").alias("state"), (F.col("rule") == "mention").alias("mentions"))
     return merge.insert_if_absent(known.withColumn("mentions", F.lit(None).cast("boolean")), new, ["kind", "id", "site"]).where("state = 'proposed'").select("kind", "id", "site", "mentions")
 
 
@@ -114,7 +115,8 @@ _DOC = ["conv_id", "turn"]
 
 def raw_payloads(turns: DataFrame) -> DataFrame:
     """Each turn of a conversation as a portal's JSON answer made of its words; every eleventh is cut off."""
-    w = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t\\n\\r\\f]+"), lambda x: x != "")
+    turns = turns.select(*_DOC, scratch.once(F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t\\n\\r\\f]+"), lambda x: x != ""), 1, 20)).alias("w"))
+    w = F.col("w")
 
     def part(first: int, n: int, made) -> Column:
         return F.transform(F.slice(w, first, n), made)

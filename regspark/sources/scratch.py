@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -33,3 +34,15 @@ def exists(spark: SparkSession, pattern: str) -> bool:
 def remove(spark: SparkSession, path: str) -> None:
     system, at = _file(spark, path)
     system.delete(at, True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as a table in a new folder and read it from there: what is read several times is worked out once."""
+    at = new_folder(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def once(value: Column) -> Column:
+    """`value` as a generated column: what is built on it further up does not work it out again."""
+    return F.explode(F.array(value))
