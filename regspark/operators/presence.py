@@ -91,7 +91,8 @@ def mentions(text: Column, name: Column) -> Column:
 
 
 def _plain_words(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.upper(deaccent(text)), "[^A-Z0-9]+", " "), " "), lambda w: w != ""))
+    """The words of a text that may be distinctive of a name: four letters or more."""
+    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.upper(deaccent(text)), "[^A-Z0-9]+", " "), " "), lambda w: F.length(w) >= 4))
 
 
 def visible_text(html: Column) -> Column:
