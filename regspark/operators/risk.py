@@ -18,7 +18,7 @@ def presumptive_base(magnitude: DataFrame, companies: DataFrame, specific: DataF
     back to its general coefficient by itself. Only regulated years count; amounts that are not
     positive give no base. On equal bases income comes first, then costs.
     """
-    m = magnitude.join(regulated, "year", "left_semi").join(companies.select("company", "division", "section", "nation", "simplified"), "company")
+    m = magnitude.join(regulated, "year", "left_semi").join(companies.select("company", "grp", "division", "section", "nation", "simplified"), "company")
     wide = lambda t, keys, name: t.groupBy(*keys).agg(*(F.max(F.when(F.col("base") == b, F.col("coefficient"))).alias(f"{name}_{b}") for b in BASES))
     m = m.join(wide(specific, ["year", "nation"], "s"), ["year", "nation"], "left").join(wide(general, ["year"], "g"), "year", "left")
     amount = {"income": F.col("income"), "costs": F.col("cost_of_sales") + F.col("expenses"), "assets": F.col("assets")}
@@ -26,7 +26,7 @@ def presumptive_base(magnitude: DataFrame, companies: DataFrame, specific: DataF
     m = m.withColumns(bases).withColumn("presumed", F.greatest(*bases))
     ruling = F.when(F.col("presumed") == F.col("base_income"), "income").when(F.col("presumed") == F.col("base_costs"), "costs").when(F.col("presumed") == F.col("base_assets"), "assets")
     return m.select(
-        "year", "company", "nation", "division", "section", "simplified", "income", "assets",
+        "year", "company", "nation", "grp", "division", "section", "simplified", "income", "assets",
         F.col("profit_before_tax").alias("declared"), *bases, "presumed", ruling.alias("ruling_base"),
         F.expr("s_income IS NOT NULL OR s_costs IS NOT NULL OR s_assets IS NOT NULL").alias("any_specific"),
         (F.col("presumed") - F.coalesce(F.col("profit_before_tax"), F.lit(0))).cast("decimal(24,6)").alias("gap"),
@@ -37,11 +37,12 @@ def risk_year(base: DataFrame, least: int = 30) -> DataFrame:
     """Population, intensity and peer percentile of each company and year.
 
     Companies under the simplified regime, and those of which it is not known, are left out.
-    Peers are the comparable companies of the chosen group.
+    Peers are the comparable companies of the first of group, division and section that has `least`
+    of them in the year (the section whatever it has).
     """
     population = F.expr("CASE WHEN income IS NULL OR income <= 0 OR income < 0.01 * coalesce(assets, 0) THEN 'no_income' WHEN declared IS NULL OR declared <= 0 THEN 'no_profit' ELSE 'comparable' END")
     r = base.where("NOT simplified").withColumns({"population": population, "intensity": F.try_divide(F.col("gap").cast("double"), F.when(F.col("income") > 0, F.col("income").cast("double")))})
-    r = peer_level(r, ["division"], "section", counts=F.col("population") == "comparable", least=least)
+    r = peer_level(r, ["grp", "division"], "section", counts=F.col("population") == "comparable", least=least)
     r = r.withColumn("measured", F.when(F.col("population") == "comparable", F.col("intensity")))
     ranked = midrank(r, ["year", "peer_key"], "measured").drop("n")
     peers = r.groupBy("year", "peer_key").agg(F.count_if(F.col("population") == "comparable").alias("n_peers"))

@@ -68,7 +68,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """company, name, tax_id, section (region), division (nation), segment, capital, grp."""
+    """company, name, tax_id, section (region), division (nation), grp (a part of the division), segment, capital."""
     nation = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     c = read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return c.select(
@@ -77,6 +77,7 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad((F.col("c_custkey") % 1400).cast("string"), 13, "0").alias("tax_id"),
         F.col("r_name").alias("section"),
         F.col("n_name").alias("division"),
+        F.concat("n_name", F.when(F.col("c_custkey") % 8 == 0, ".b").otherwise(".a")).alias("grp"),
         F.col("n_nationkey").alias("nation"),
         F.col("c_mktsegment").alias("segment"),
         F.col("c_acctbal").cast(MONEY).alias("capital"),
@@ -131,7 +132,7 @@ def _text(code: str | None) -> str:
 
 #: The same tables as DuckDB common table expressions.
 COMPANIES_SQL = """companies AS (
-  SELECT c_custkey AS company, c_name AS name, lpad(CAST(c_custkey % 1400 AS VARCHAR), 13, '0') AS tax_id, r_name AS section, n_name AS division, n_nationkey AS nation, c_mktsegment AS segment, CAST(c_acctbal AS DECIMAL(18,2)) AS capital
+  SELECT c_custkey AS company, c_name AS name, lpad(CAST(c_custkey % 1400 AS VARCHAR), 13, '0') AS tax_id, r_name AS section, n_name AS division, n_name || CASE WHEN c_custkey % 8 = 0 THEN '.b' ELSE '.a' END AS grp, n_nationkey AS nation, c_mktsegment AS segment, CAST(c_acctbal AS DECIMAL(18,2)) AS capital
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 SUMS_SQL = """lines AS (
   SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS i, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS p, sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(4,2))) AS e

@@ -177,21 +177,21 @@ cut AS (SELECT year, level, sector, indicator, CAST(count(*) AS BIGINT) AS n, ""
 _YEAR_COLUMNS = ", ".join(f"max(CASE WHEN year = {y} THEN value END) AS y{y}" for y in YEARS)
 _BASE = _MAG + """,
 coef AS (SELECT n_nationkey AS nation, CAST(0.05 + n_nationkey * 0.001 AS DECIMAL(6,4)) AS s_income, CAST(0.04 + n_nationkey * 0.002 AS DECIMAL(6,4)) AS s_costs, CASE WHEN n_nationkey % 3 <> 0 THEN CAST(0.02 + n_nationkey * 0.0005 AS DECIMAL(6,4)) END AS s_assets FROM nation WHERE n_nationkey % 4 <> 0),
-amount AS (SELECT m.*, c.nation, c.division, c.section, c.segment = 'HOUSEHOLD' AS simplified, cost_of_sales + expenses AS costs, s_income, s_costs, s_assets
+amount AS (SELECT m.*, c.nation, c.grp, c.division, c.section, c.segment = 'HOUSEHOLD' AS simplified, cost_of_sales + expenses AS costs, s_income, s_costs, s_assets
   FROM mag m JOIN companies c USING (company) LEFT JOIN coef USING (nation) WHERE year <= 2000),
 bases AS (SELECT *, CASE WHEN income > 0 THEN CAST(CAST(income AS DECIMAL(18,2)) * CAST(coalesce(s_income, 0.05) AS DECIMAL(6,4)) AS DECIMAL(24,6)) END AS base_income,
   CASE WHEN costs > 0 THEN CAST(CAST(costs AS DECIMAL(18,2)) * CAST(coalesce(s_costs, 0.06) AS DECIMAL(6,4)) AS DECIMAL(24,6)) END AS base_costs,
   CASE WHEN assets > 0 THEN CAST(CAST(assets AS DECIMAL(18,2)) * CAST(coalesce(s_assets, 0.03) AS DECIMAL(6,4)) AS DECIMAL(24,6)) END AS base_assets FROM amount),
-base AS (SELECT year, company, nation, division, section, simplified, income, assets, profit_before_tax AS declared, base_income, base_costs, base_assets, greatest(base_income, base_costs, base_assets) AS presumed,
+base AS (SELECT year, company, nation, grp, division, section, simplified, income, assets, profit_before_tax AS declared, base_income, base_costs, base_assets, greatest(base_income, base_costs, base_assets) AS presumed,
   CASE greatest(base_income, base_costs, base_assets) WHEN base_income THEN 'income' WHEN base_costs THEN 'costs' WHEN base_assets THEN 'assets' END AS ruling_base,
   s_income IS NOT NULL OR s_costs IS NOT NULL OR s_assets IS NOT NULL AS any_specific, CAST(greatest(base_income, base_costs, base_assets) - coalesce(profit_before_tax, 0) AS DECIMAL(24,6)) AS gap FROM bases)"""
 _RISK = _BASE + """,
 pop AS (SELECT *, CASE WHEN income IS NULL OR income <= 0 OR income < 0.01 * coalesce(assets, 0) THEN 'no_income' WHEN declared IS NULL OR declared <= 0 THEN 'no_profit' ELSE 'comparable' END AS population,
   CASE WHEN income > 0 THEN CAST(gap AS DOUBLE) / CAST(income AS DOUBLE) END AS intensity FROM base WHERE NOT simplified),
-sized AS (SELECT *, count(*) FILTER (WHERE population = 'comparable') OVER (PARTITION BY year, division) AS nd FROM pop),
-grp AS (SELECT *, CASE WHEN nd >= 30 THEN 'division' ELSE 'section' END AS peer_level, CASE WHEN nd >= 30 THEN division ELSE section END AS peer_key FROM sized),
+sized AS (SELECT *, count(*) FILTER (WHERE population = 'comparable') OVER (PARTITION BY year, grp) AS ng, count(*) FILTER (WHERE population = 'comparable') OVER (PARTITION BY year, division) AS nd FROM pop),
+leveled AS (SELECT *, CASE WHEN ng >= 30 THEN 'grp' WHEN nd >= 30 THEN 'division' ELSE 'section' END AS peer_level, CASE WHEN ng >= 30 THEN grp WHEN nd >= 30 THEN division ELSE section END AS peer_key FROM sized),
 risk AS (SELECT year, company, population, peer_level, peer_key, CAST(count(*) FILTER (WHERE population = 'comparable') OVER (PARTITION BY year, peer_key) AS BIGINT) AS n_peers, presumed, ruling_base, gap, intensity,
-  CASE WHEN population = 'comparable' THEN (rank() OVER (PARTITION BY year, peer_key, population ORDER BY intensity) - 1 + CAST(count(*) OVER (PARTITION BY year, peer_key, population, intensity) AS DOUBLE) / 2) / count(*) OVER (PARTITION BY year, peer_key, population) END AS percentile FROM grp),
+  CASE WHEN population = 'comparable' THEN (rank() OVER (PARTITION BY year, peer_key, population ORDER BY intensity) - 1 + CAST(count(*) OVER (PARTITION BY year, peer_key, population, intensity) AS DOUBLE) / 2) / count(*) OVER (PARTITION BY year, peer_key, population) END AS percentile FROM leveled),
 profile AS (SELECT company, max(year) AS last_year, """ + ", ".join(f"arg_max_null({c}, year) AS {c}_last" for c in ("population", "peer_level", "presumed", "ruling_base", "gap", "intensity", "percentile")) + """,
   count(*) AS years, count(*) FILTER (WHERE percentile >= 0.9) AS years_high, count(*) FILTER (WHERE population = 'no_profit') AS years_without_profit, CAST(sum(greatest(gap, 0)) AS DECIMAL(24,6)) AS gap_total, max(percentile) AS percentile_max FROM risk GROUP BY company)"""
 
