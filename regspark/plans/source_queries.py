@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regspark.plans.domain import MONEY, read
-from regspark.sources import lists, loading, readers, scratch
+from regspark.sources import lists, loading, readers, scratch, tourism
 
 
 def _written(spark: SparkSession, name: str, lines: DataFrame, latin: Column, order: list[str]) -> str:
@@ -97,11 +97,70 @@ def snk_load_metrics(spark, sf_dir):
     return spark.range(1).select(*(F.lit(m[k]).cast("long").alias(k) for k in ("read", "rejected", "warned", "duplicates", "copied")))
 
 
+def _tourism(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as entries of the tourism register, under the file's headers; numbers repeat, and some rows lack something."""
+    k, n = F.col("p_partkey"), F.col("p_partkey") % 900
+    return tourism.entries(
+        read(spark, sf_dir, "part").select(
+            k.alias("line"), F.when(k % 53 != 0, F.concat(F.lit("R-"), n, F.lit("-07"))).alias("No. Registro"), F.when(k % 47 == 0, "S/N").when(k % 43 == 0, "9900000000001").otherwise(F.concat(F.lit("17"), F.lpad(n.cast("string"), 11, "0"))).alias("RUC"),
+            F.when(k % 41 != 0, F.col("p_type")).alias("Actividad / Modalidad"), F.when(k % 3 == 0, "006").alias("Establecimiento"), F.when(k % 37 == 0, "6/07/2021; 28/07/2021").otherwise("05/03/2021").alias("Fecha de registro"), F.concat("p_name", F.when(k % 2 == 0, F.lit("")).otherwise(F.lit(" "))).alias("Nombre comercial"), F.lit("INFO@Mail.example ").alias("Correo"), F.lit("x").alias("Columna nueva"),
+        ),
+        "line",
+    )
+
+
+def src_tourism_register(spark, sf_dir):
+    """Entries of the tourism register, the last of each number."""
+    return tourism.rows(_tourism(spark, sf_dir), "line").select("register", "line", "tax_id", "establishment", "activity", "trade_name", "email", F.col("registered").cast("string").alias("registered"), "registered_raw")
+
+
+def src_tourism_rejects(spark, sf_dir):
+    return tourism.rejects(_tourism(spark, sf_dir), "line").select("line", "column", "reason")
+
+
+def src_tourism_warnings(spark, sf_dir):
+    return tourism.warnings(_tourism(spark, sf_dir), "line")
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with orders of 1998 as a wide statement file of 622 accounts, a few of them filled."""
+    c = read(spark, sf_dir, "orders").where(F.year("o_orderdate") == 1998).groupBy(F.col("o_custkey").alias("EXPEDIENTE")).agg(F.max("o_orderkey").alias("o"))
+    cells = (f"CASE WHEN (o + {k}) % 89 = 0 THEN '12,5x' WHEN (o + {k}) % 97 = 0 THEN '0.00' WHEN (o + {k}) % 61 = 0 THEN o || ',5' END AS CUENTA_{k}" for k in range(1, 623))
+    return scratch.stored(c.selectExpr("'1998' AS ANIO", "EXPEDIENTE", *cells), "wide")
+
+
+def src_wide_statements(spark, sf_dir):
+    return readers.wide_statements(_wide(spark, sf_dir), "ANIO", "EXPEDIENTE")
+
+
+def src_wide_statement_errors(spark, sf_dir):
+    """Cells that hold something but no amount."""
+    return readers.wide_statement_errors(_wide(spark, sf_dir), "ANIO", "EXPEDIENTE").select("year", "company", "account", "raw")
+
+
+def snk_csv_segment(spark, sf_dir):
+    """The file of a segment, as read back: header, the 500 largest orders, and how many were left out."""
+    at = scratch.new_folder(spark, "segment")
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.col("o_orderpriority"), F.lit('; "'), F.col("o_orderstatus"), F.lit('"')).alias("what"), F.col("o_totalprice").cast(MONEY).alias("price"))
+    readers.write_segment(o, at, [F.desc("price"), F.col("id")], 500)
+    return spark.read.text(at).select(F.col("value").alias("line"))
+
+
 _ORDERS = "WITH o AS (SELECT o_custkey AS c, o_orderkey AS o, year(o_orderdate) AS y, o_orderstatus AS s, 'lista_' || year(o_orderdate) || '_' || (o_custkey % 8) AS file FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998)"
 _LINES = "WITH l AS (SELECT l_orderkey AS id, l_partkey AS part, l_linenumber AS line, max(CAST(l_quantity AS DECIMAL(18,2))) AS quantity, max(CAST(l_discount AS DECIMAL(4,2))) AS discount FROM lineitem GROUP BY ALL), good AS (SELECT * FROM l WHERE quantity <= 48 AND part % 97 <> 0), rows_ AS (SELECT id, part, line, quantity FROM good QUALIFY row_number() OVER (PARTITION BY id, part ORDER BY line DESC) = 1)"
 _PARTS = "WITH p AS (SELECT *, 'p' || (p_partkey % 4) AS file FROM part)"
+_TOURISM = """WITH p AS (SELECT p_partkey AS line, CASE WHEN p_partkey % 53 <> 0 THEN 'R-' || (p_partkey % 900) || '-07' END AS register, CASE WHEN p_partkey % 47 = 0 THEN NULL WHEN p_partkey % 43 = 0 THEN '9900000000001' ELSE '17' || lpad(CAST(p_partkey % 900 AS VARCHAR), 11, '0') END AS tax_id,
+CASE WHEN p_partkey % 41 <> 0 THEN p_type END AS activity, CASE WHEN p_partkey % 3 = 0 THEN '6' ELSE CAST(p_partkey % 900 AS VARCHAR) END AS establishment, p_name AS trade_name, 'info@mail.example' AS email, CASE WHEN p_partkey % 37 <> 0 THEN '2021-03-05' END AS registered, CASE WHEN p_partkey % 37 = 0 THEN '6/07/2021; 28/07/2021' END AS registered_raw FROM part),
+bad AS (SELECT line, CASE WHEN register IS NULL THEN 'register' WHEN tax_id IS NULL THEN 'tax_id' WHEN activity IS NULL THEN 'activity' END AS "column" FROM p WHERE register IS NOT NULL OR tax_id IS NOT NULL OR activity IS NOT NULL), good AS (SELECT p.* FROM p JOIN bad USING (line) WHERE "column" IS NULL)"""
+_WIDE = "WITH c AS (SELECT o_custkey AS company, max(o_orderkey) AS o FROM orders WHERE year(o_orderdate) = 1998 GROUP BY 1), x AS (SELECT company, o, unnest(range(1, 623)) AS k FROM c)"
 
 ORACLE_SQL = {
+    "src_tourism_register": _TOURISM + " SELECT register, line, tax_id, establishment, activity, trade_name, email, registered, registered_raw FROM good QUALIFY row_number() OVER (PARTITION BY register ORDER BY line DESC) = 1",
+    "src_tourism_rejects": _TOURISM + " SELECT line, \"column\", 'missing' AS reason FROM bad WHERE \"column\" IS NOT NULL",
+    "src_tourism_warnings": _TOURISM + " SELECT line, register, 'tax_id' AS \"column\", 'province' AS reason FROM good WHERE starts_with(tax_id, '99') UNION ALL SELECT line, register, 'registered', 'unreadable' FROM good WHERE registered IS NULL UNION ALL SELECT max(line), register, 'register', 'duplicate_with_other_data' FROM good GROUP BY register HAVING count(DISTINCT (tax_id, establishment, activity, trade_name, registered IS NULL)) > 1",
+    "src_wide_statements": _WIDE + " SELECT 1998 AS year, 1 AS form, company, CAST(k AS VARCHAR) AS account, CAST(o || '.5' AS DECIMAL(18,2)) AS value FROM x WHERE (o + k) % 61 = 0 AND (o + k) % 89 <> 0 AND (o + k) % 97 <> 0",
+    "src_wide_statement_errors": _WIDE + " SELECT 1998 AS year, company, CAST(k AS VARCHAR) AS account, '12,5x' AS raw FROM x WHERE (o + k) % 89 = 0",
+    "snk_csv_segment": "WITH o AS (SELECT o_orderkey AS id, CAST(o_totalprice AS DECIMAL(18,2)) AS price, o_orderpriority || '; \"\"' || o_orderstatus || '\"\"' AS what FROM orders), top AS (SELECT * FROM o ORDER BY price DESC, id LIMIT 500) SELECT id || ';\"' || what || '\";' || price AS line FROM top UNION ALL SELECT 'id;what;price' UNION ALL SELECT '# ' || (count(*) - 500) || ' rows left out' FROM orders HAVING count(*) > 500",
     "src_encoding": "SELECT 'f' || (c_custkey % 32) AS file, c_custkey || ' Compañía Ñandú é' || repeat('áß', CAST(c_custkey % 7 AS INTEGER)) AS value FROM customer",
     "src_yearly_lists": _ORDERS + " SELECT list, CAST(year AS INTEGER) AS year, tax_id, 'Ñandú ' || arg_max(o, (file, o)) AS name, 'Provincia ' || arg_max(s, (file, o)) AS province FROM (SELECT *, CASE y WHEN 1996 THEN 'rebate' WHEN 1997 THEN 'services' ELSE 'goods' END AS list, CASE WHEN o % 40 = 1 THEN y + 1 ELSE y END AS year, lpad(CAST(c AS VARCHAR), 13, '0') AS tax_id FROM o WHERE c % 50 <> 0) GROUP BY 1, 2, 3",
     "src_yearly_lists_notes": _ORDERS + ", f AS (SELECT DISTINCT file, y FROM o) SELECT file, 'note' AS outcome, NULL AS reason, CASE y WHEN 1996 THEN 'Exportadores habituales de bienes, con rebaja de tres puntos' WHEN 1997 THEN 'Exportación de servicios' ELSE 'Catastro de exportadores habituales de bienes' END AS text FROM f UNION ALL SELECT file, 'note', NULL, ';;Actualizado en ' || y FROM f UNION ALL SELECT file, 'reject', 'no_tax_id', o || ';;Ñandú ' || o || ';\"Provincia ' || s || '\";' || CASE WHEN o % 40 = 1 THEN 'año ' || (y + 1) ELSE '' END FROM o WHERE c % 50 = 0",

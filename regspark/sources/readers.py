@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from regspark.functions import cleaning
 
@@ -55,11 +56,24 @@ def find_header(spark: SparkSession, path: str, labels: list[str], sep: str = ";
 
 
 def wide_statements(df: DataFrame, year: str, company: str, prefix: str = "CUENTA_") -> DataFrame:
-    """year, form, company, account, value from a wide file; zero and unreadable cells are absent.
+    """year, form, company, account, value from a wide file; zero, empty and unreadable cells are absent
+    (for the last see wide_statement_errors).
 
     The form follows from the number of account columns; an unknown plan or too few accounts
     refuse the file, as do several years in it.
     """
+    long, form = _long_cells(df, year, company, prefix)
+    return long.select(F.col(year).cast("int").alias("year"), F.lit(form).alias("form"), F.col(company).alias("company"), "account", cleaning.amount(F.col("cell")).alias("value")).where("value IS NOT NULL")
+
+
+def wide_statement_errors(df: DataFrame, year: str, company: str, prefix: str = "CUENTA_") -> DataFrame:
+    """year, company, account, raw, reason of the cells of a wide file that hold something but no amount."""
+    long, _ = _long_cells(df, year, company, prefix)
+    reason = cleaning.amount_error(F.col("cell"))
+    return long.where(reason.isNotNull()).select(F.col(year).cast("int").alias("year"), F.col(company).alias("company"), "account", F.col("cell").alias("raw"), reason.alias("reason"))
+
+
+def _long_cells(df: DataFrame, year: str, company: str, prefix: str) -> tuple[DataFrame, int]:
     accounts = [c for c in df.columns if c.startswith(prefix)]
     if len(accounts) < LEAST_ACCOUNTS:
         raise UnusableFile(f"{len(accounts)} account columns")
@@ -67,8 +81,10 @@ def wide_statements(df: DataFrame, year: str, company: str, prefix: str = "CUENT
         raise UnusableFile(f"no form has {len(accounts)} accounts")
     if len(df.select(year).distinct().head(2)) > 1:
         raise UnusableFile("several years in one file")
-    long = df.unpivot([year, company], accounts, "column", "cell")
-    return long.select(F.col(year).cast("int").alias("year"), F.lit(form).alias("form"), F.col(company).alias("company"), F.substring("column", len(prefix) + 1, 20).alias("account"), cleaning.amount(F.col("cell")).alias("value")).where("value IS NOT NULL")
+    # One array of cells and one of names: hundreds of columns as an unpivot would be as many projections.
+    long = df.select(year, company, F.posexplode(F.array(*(F.col(f"`{c}`").cast("string") for c in accounts))).alias("at", "cell")).where("cell IS NOT NULL")
+    names = F.split(F.lit(",".join(c[len(prefix) :] for c in accounts)), ",")
+    return long.select(year, company, F.get(names, F.col("at")).alias("account"), "cell"), form
 
 
 def pipe_registry(lines: DataFrame, fields: int = REGISTRY_FIELDS, column: str = "value") -> DataFrame:
@@ -132,3 +148,17 @@ def split_rejects(df: DataFrame, errors: Column, most: int = 10_000) -> tuple[Da
 def write_directory(df: DataFrame, path: str, key: str, most: int = 10_000) -> None:
     """A `;`-separated report with all fields quoted, by key, of at most `most` rows."""
     df.orderBy(key).limit(most).write.mode("overwrite").csv(path, sep=";", header=True, quoteAll=True, escape='"')
+
+
+def write_segment(df: DataFrame, path: str, order: list[Column], most: int = 50_000) -> None:
+    """A `;`-separated file for a spreadsheet: header, the first `most` rows by `order`, quoted only where
+    needed, and a last line that says how many were left out, if any were.
+
+    The bound on rows makes one file of it; only the number of those left out is counted.
+    """
+    options = {"sep": ";", "quote": '"', "escape": '"'}
+    first = df.orderBy(*order).limit(most).withColumn("_n", F.row_number().over(Window.orderBy(*order)))
+    lines = first.select(F.lit(1).alias("part"), F.col("_n").alias("n"), F.to_csv(F.struct(*df.columns), options).alias("line"))
+    header = df.sparkSession.createDataFrame([(0, 0, ";".join(df.columns))], lines.schema)
+    left = df.agg((F.count("*") - most).alias("left")).where("left > 0").select(F.lit(2).alias("part"), F.lit(0).alias("n"), F.concat(F.lit("# "), F.col("left"), F.lit(" rows left out")).alias("line"))
+    lines.unionByName(header).unionByName(left).repartition(1).sortWithinPartitions("part", "n").select("line").write.mode("overwrite").text(path)

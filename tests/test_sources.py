@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from regspark.sources import lists, loading, readers
+from regspark.sources import lists, loading, readers, tourism
 
 
 @pytest.mark.parametrize("cut", [1, 2, 3])
@@ -89,3 +89,30 @@ def test_loading_nothing_and_without_rules(spark, tmp_path):
     assert loading.load(empty, rules(), ["id"], "n", str(tmp_path / "a")).metrics == {"read": 0, "rejected": 0, "warned": 0, "copied": 0, "duplicates": 0}
     one = spark.createDataFrame([(1, 1, -1, "")], empty.schema)
     assert loading.load(one, [], ["id"], "n", str(tmp_path / "b")).metrics["copied"] == 1
+
+
+def test_tourism_register(spark):
+    columns = "n int, `Número de Registro` string, RUC string, Actividad string, `Fecha de registro` string, Extra string"
+    rows = [(1, "R1", "1790000000001", "Hotel", "05/03/2021", "a"), (2, "R1", "1790000000001", "Hostal", "05/03/2021", "b"), (3, "R2", "9990000000001", "Bar", "6/07/2026; 28/07/2026", None), (4, None, "1790000000001", "Bar", None, None), (5, "R3", "S/N", "Bar", None, None), (6, "R4", "1790000000001", " - ", None, None), (7, None, None, "", None, None), (8, "R5", "1790000000001", "Bar", "", None), (9, "R5", "1790000000001", "Bar", "", None)]
+    parsed = tourism.entries(spark.createDataFrame(rows, columns), "n")
+    got = {(r["register"], r["n"], r["activity"], str(r["registered"]), r["registered_raw"]) for r in tourism.rows(parsed, "n").collect()}
+    assert got == {("R1", 2, "Hostal", "2021-03-05", None), ("R2", 3, "Bar", "None", "6/07/2026; 28/07/2026"), ("R5", 9, "Bar", "None", None)}
+    assert {tuple(r)[0:1] + tuple(r)[3:] for r in tourism.rejects(parsed, "n").collect()} == {(4, "register", "missing"), (5, "tax_id", "missing"), (6, "activity", "missing")}
+    assert {tuple(r) for r in tourism.warnings(parsed, "n").collect()} == {(2, "R1", "register", "duplicate_with_other_data"), (3, "R2", "tax_id", "province"), (3, "R2", "registered", "unreadable")}
+    with pytest.raises(readers.UnusableFile):
+        tourism.entries(spark.createDataFrame([(1, "x")], "n int, RUC string"), "n")
+
+
+def test_wide_statement_cells(spark):
+    cells = {f"CUENTA_{k}": None for k in range(1, 623)} | {"CUENTA_1": "1.234,5", "CUENTA_2": "0", "CUENTA_3": " ", "CUENTA_622": ",5"}
+    df = spark.createDataFrame([("2024", "7", *cells.values())], "ANIO string, EXP string, " + ", ".join(f"{c} string" for c in cells))
+    assert [(r["company"], r["account"], float(r["value"])) for r in readers.wide_statements(df, "ANIO", "EXP").collect()] == [("7", "622", 0.5)]
+    assert [(r["account"], r["raw"], r["reason"]) for r in readers.wide_statement_errors(df, "ANIO", "EXP").collect()] == [("1", "1.234,5", "INVALID")]
+
+
+def test_segment_file(spark, tmp_path):
+    rows = spark.createDataFrame([(k, 'say; "hi"' if k == 3 else None if k == 2 else "plain") for k in range(5)], "id int, what string")
+    readers.write_segment(rows, str(tmp_path / "cut"), [F.desc("id")], 3)
+    assert [r[0] for r in spark.read.text(str(tmp_path / "cut")).collect()] == ["id;what", "4;plain", '3;"say; ""hi"""', "2;", "# 2 rows left out"]
+    readers.write_segment(rows.limit(0), str(tmp_path / "none"), [F.desc("id")], 3)
+    assert [r[0] for r in spark.read.text(str(tmp_path / "none")).collect()] == ["id;what"]
