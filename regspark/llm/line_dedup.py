@@ -48,22 +48,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines are compared without the white space around them. The first occurrence is the least
     by (id, md5 of the text, line number), a null id coming first; exact repeats of a row count
     as one occurrence, so they lose the same lines. Every row is returned, even when no line
-    is left (its text is then empty). `removed_col` adds the number of lines removed.
+    is left (its text is then empty). `removed_col` adds the number of lines removed, in place of
+    a column of that name; no other column's name matters.
 
     The occurrences of a frequent window are reduced to the first on the map side, and the join
     back can be split by Spark where one window is very frequent.
     """
-    gone = repeated_lines(docs, id_col, text_col, window).select(F.col("doc").alias("_doc"), F.col("body").alias("_body"), F.col("gone").alias("_gone"))
+    doc, text_of, out = (fresh(docs, name) for name in ("_doc", "_body", "_gone"))
+    gone = repeated_lines(docs, id_col, text_col, window).select(F.col("doc").alias(doc), F.col("body").alias(text_of), F.col("gone").alias(out))
     body = fresh(docs, "_text_md5")
     keyed = docs.withColumn(body, F.md5(F.col(text_col).cast("binary")))
-    joined = keyed.join(gone, keyed[id_col].eqNullSafe(gone["_doc"]) & (keyed[body] == gone["_body"]), "left")
+    joined = keyed.join(gone, keyed[id_col].eqNullSafe(gone[doc]) & (keyed[body] == gone[text_of]), "left")
     if removed_col:
-        joined = joined.withColumn(removed_col, F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
+        joined = joined.withColumn(removed_col, F.coalesce(F.size(out), F.lit(0)).cast("long"))
     lines = fresh(docs, "_lines")
-    joined = joined.withColumn(lines, F.when(F.col("_gone").isNotNull(), F.split(text_col, "\n")))
-    left = F.expr(f"array_join(transform(array_except(sequence(0, size(`{lines}`) - 1), _gone), i -> get(`{lines}`, i)), '\\n')")
-    joined = joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left))
-    return joined.drop(body, lines, "_doc", "_body", "_gone")
+    joined = joined.withColumn(lines, F.when(F.col(out).isNotNull(), F.split(text_col, "\n")))
+    left = F.expr(f"array_join(transform(array_except(sequence(0, size(`{lines}`) - 1), `{out}`), i -> get(`{lines}`, i)), '\\n')")
+    joined = joined.withColumn(text_col, F.when(F.col(out).isNull(), F.col(text_col)).otherwise(left))
+    return joined.drop(body, lines, doc, text_of, out)
 
 
 def oracle_ctes(source: str, prefix: str = "ld") -> str:

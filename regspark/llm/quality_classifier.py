@@ -146,18 +146,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most `max_labelled` labelled and `max_unlabelled` other documents.
 
     Both samples take the least by a hash of the id, so they do not depend on the layout of the
-    tables. Rows with a null id or label, and ids whose labels disagree, are not learned from.
+    tables. Rows with a null id or label, and ids whose labels disagree, are not learned from; of
+    an id's repeated rows one is. Columns of any other name may stand beside those named here.
     """
-    known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_lo"), F.max(label_col).alias("_hi")).where("_lo = _hi").select("_id", F.col("_lo").cast("double").alias("_y"))
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
-    pool = docs.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").join(known, "_id", "left_anti")
-    pool = pool.orderBy(F.xxhash64("_id"), "_id").limit(max_unlabelled).withColumn("_y", F.lit(None).cast("double"))
+    key, y_col = fresh(docs, "_id"), fresh(docs, "_y")
+    known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(key)).agg(F.min(label_col).alias("_lo"), F.max(label_col).alias("_hi")).where("_lo = _hi").select(key, F.col("_lo").cast("double").alias(y_col))
+    known = known.orderBy(F.xxhash64(key), key).limit(max_labelled)
+    pool = docs.select(F.col(id_col).alias(key)).where(F.col(key).isNotNull()).join(known, key, "left_anti")
+    pool = pool.orderBy(F.xxhash64(key), key).limit(max_unlabelled).withColumn(y_col, F.lit(None).cast("double"))
     chosen = F.broadcast(known.unionByName(pool))  # bounded by the two limits
-    rows = docs.join(chosen, docs[id_col] == chosen["_id"]).dropDuplicates(["_id"])
+    rows = docs.join(chosen, docs[id_col] == chosen[key]).dropDuplicates([key])
     views = text_view(F.col(text_col)), meta_view(docs, source_col, lang_col, length_col)
-    got = rows.select("_id", "_y", *(F.array(*v).alias(name) for name, v in zip("tm", views))).orderBy("_id").toArrow()  # as numbers, which take a tenth of the room of Python's lists
+    got = rows.select(F.col(key).alias("id"), F.col(y_col).alias("y"), *(F.array(*v).alias(name) for name, v in zip("tm", views))).orderBy("id").toArrow()  # as numbers, which take a tenth of the room of Python's lists
     t, m = (got[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(got.num_rows, len(v)) for name, v in zip("tm", views))
-    y = got["_y"].to_numpy().astype(float)
+    y = got["y"].to_numpy().astype(float)
     has = ~np.isnan(y)
     hold = np.arange(int(has.sum())) % 4 == 0
     return co_train(t[has], m[has], y[has], t[~has], m[~has], hold)
@@ -166,7 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", length_col: str = "n_chars", score_col: str = "score", keep_col: str = "keep") -> DataFrame:
     """Add the probability of good quality and whether it reaches the model's threshold.
 
-    Every row gets both, null and empty texts too; no shuffle and no Python takes place.
+    Every row gets both, null and empty texts too, in place of columns of those names; no shuffle
+    and no Python takes place.
     """
     t = fresh(docs, "_text_view")
     with_view = docs.withColumn(t, F.array(*text_view(F.col(text_col))))
