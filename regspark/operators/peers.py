@@ -75,6 +75,15 @@ def cuts(rows: DataFrame, group: list[str], value: str, at: tuple[float, ...] =
     return d.groupBy(*group).agg(F.sum("ties").alias("n"), *picks, F.round(F.sum(F.col(value) * F.col("ties")) / F.sum("ties"), 6).alias("mean"))
 
 
+def median(rows: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
+    """The exact interpolated median of each group that has a value, from running counts: no task holds a group's values."""
+    d = distribution(rows, group, value)
+    place = (F.col("n") - 1) / 2
+    here = lambda k: F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("ties")), F.col(value)))
+    low, high = here(F.floor(place)), here(F.ceil(place))
+    return d.groupBy(*group).agg((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+
+
 def sector_axes(rows: DataFrame) -> DataFrame:
     """Each row once for its division, its section and the total ('*'); missing sectors are left out."""
     axis = F.inline(F.array(*(F.struct(F.lit(n).alias("level"), s.alias("sector")) for n, s in (("division", F.col("division")), ("section", F.col("section")), ("total", F.lit("*"))))))

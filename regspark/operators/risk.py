@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regspark.operators.peers import midrank, peer_level
+from regspark.operators.peers import median, midrank, peer_level
+from regspark.sources import scratch
 
 BASES = ("income", "costs", "assets")
 
@@ -67,12 +68,28 @@ def risk_profile(yearly: DataFrame) -> DataFrame:
 
 def risk_summary(yearly: DataFrame) -> DataFrame:
     """Counts of each population, positive gaps and the median intensity of comparables by year."""
-    return yearly.groupBy("year").agg(
+    yearly = scratch.stored(yearly.select("year", "population", "gap", "intensity"), "risk")  # counts, ties and their sums read it
+    counts = yearly.groupBy("year").agg(
         F.count("*").alias("companies"),
         *(F.count_if(F.col("population") == p).alias(f"n_{p}") for p in ("no_income", "no_profit", "comparable")),
         F.count_if(F.col("gap") > 0).alias("n_gap"),
-        F.expr("percentile(intensity, 0.5) FILTER (WHERE population = 'comparable')").alias("median_intensity"),
     )
+    return counts.join(median(yearly.where("population = 'comparable'"), ["year"], "intensity", "median_intensity"), "year", "left")
+
+
+def credit_summary(magnitude: DataFrame, kinds: tuple[str, ...] = ("vat_credit", "income_tax_credit")) -> DataFrame:
+    """Of each year: the statements, and for each kind of credit how many have a positive balance and its sum (0 if none)."""
+    positive = {k: F.when(F.col(k) > 0, F.col(k)) for k in kinds}
+    return magnitude.groupBy("year").agg(
+        F.count("*").alias("statements"),
+        *(F.count(c).alias(f"n_{k}") for k, c in positive.items()),
+        *(F.coalesce(F.sum(c), F.lit(0)).cast("decimal(24,2)").alias(f"sum_{k}") for k, c in positive.items()),
+    )
+
+
+def persistence(profile: DataFrame) -> DataFrame:
+    """How many companies were of high risk in how many of their years, and their summed gaps."""
+    return profile.groupBy("years_high", "years").agg(F.count("*").alias("companies"), F.sum("gap_total").cast("decimal(30,6)").alias("gap_total"))
 
 
 def risk_ranking(profile: DataFrame, companies: DataFrame, min_years_high: int = 1, min_gap: int = 0) -> DataFrame:
