@@ -3,9 +3,11 @@
 The model predicts the class of the next token from two context classes: the frequent words
 have classes of their own, all others share one. The predicted vector is the sum of the context
 vectors times position weights; its products with the class vectors, plus biases, are the
-scores. Every partition trains a copy by minibatches on its own texts and the copies are
-averaged by Spark, so training sees all of the corpus. Normalised log-probabilities come from
-batched matrix products over all contexts at once. A rare word takes its class's probability
+scores. The texts are dealt into shards of about SHARD_TOKENS tokens by a hash of their rows,
+whatever the partitions of the table. One shard's worth of rows sets out the vectors; then every
+shard trains a copy of these by minibatches on its own texts and Spark averages the copies, so
+training sees all of the corpus. Normalised log-probabilities come from batched matrix products
+over all contexts at once. A rare word takes its class's probability
 times its smoothed share among rare words, for which counts of all words are joined in.
 """
 
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, VariantType
 
 from regspark.llm.common import durable
 
@@ -29,6 +32,8 @@ CLASSES, WIDTH = 1022, 32
 HELD_WORDS = 200_000
 #: Passes over the corpus, tokens of a minibatch, noise samples of a minibatch, learning rate, seed.
 PASSES, BATCH, NOISE, RATE, SEED = 1, 1024, 32, 0.1, 7
+#: Tokens of a shard: a task trains on about so many, however large the corpus is.
+SHARD_TOKENS = 2_000_000
 #: Distinct words that a task counts before it hands on what it has; tokens that it gathers before training on them.
 COUNT_WORDS, TRAIN_TOKENS = 400_000, 1_000_000
 #: The end of a text as a token: no word is empty.
@@ -132,29 +137,42 @@ def class_ids(texts: list[str | None], classes: dict[bytes, int]) -> tuple[np.nd
     return np.concatenate(before), np.concatenate(last), np.concatenate(word), np.array(sizes)
 
 
-def train_pass(docs: DataFrame, classes: dict[bytes, int], counts: np.ndarray, start: dict[str, np.ndarray], number: int, text_col: str = "text") -> dict[str, np.ndarray]:
-    """One pass: each partition trains from `start` on its texts; the weighted mean of the copies.
+def hashed(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(text, h): h is a hash of all plain columns of the row, so copies of a text under different ids part."""
+    plain = [docs[f.name] for f in docs.schema.fields if isinstance(f.dataType, AtomicType) and not isinstance(f.dataType, VariantType)]
+    return docs.select(docs[text_col].alias("text"), F.xxhash64(*plain).alias("h"))
 
-    Spark adds the copies up row by row, so the driver gets one model whatever the partitions.
+
+def dealt(rows: DataFrame, shards: int) -> DataFrame:
+    """(text, h) in `shards` partitions by h, in its order in each: neither depends on how the table is laid out,
+    and a task that is run again sees the same order."""
+    return rows.repartition(shards, "h").sortWithinPartitions("h", "text")
+
+
+def train_pass(texts: DataFrame, classes: dict[bytes, int], counts: np.ndarray, start: dict[str, np.ndarray], past: dict[str, np.ndarray], number: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """One pass over dealt texts: each partition trains from `start` on its own; the means of the copies and
+    of their AdaGrad sums, weighted by tokens.
+
+    Spark adds the copies up row by row, so the driver gets one model whatever the number of shards.
     """
-    at = docs.columns.index(text_col)
+    at = texts.columns.index("text")
     freq = counts / counts.sum()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = {k: v.astype(np.float32) for k, v in start.items()}
-        past = {k: np.full(len(v), 1e-3, dtype=np.float32) for k, v in start.items()}
+        sums = {k: v.astype(np.float32) for k, v in past.items()}
         rng = np.random.default_rng(SEED + number)
         share = freq**0.75 / (freq**0.75).sum()
         log_noise, bias = np.log(share).astype(np.float32), np.log(freq).astype(np.float32)
         ladder = np.cumsum(share)[:-1]
         done = 0
 
-        def learn(texts: list) -> int:
-            before, last, word, _ = class_ids(texts, classes)
+        def learn(held: list) -> int:
+            before, last, word, _ = class_ids(held, classes)
             order = rng.permutation(len(word))
             for k in range(0, len(order), BATCH):
                 some = order[k : k + BATCH]
-                train_batch(p, past, bias, log_noise, np.searchsorted(ladder, rng.random(NOISE)), before[some], last[some], word[some])
+                train_batch(p, sums, bias, log_noise, np.searchsorted(ladder, rng.random(NOISE)), before[some], last[some], word[some])
             return len(word)
 
         held: list = []
@@ -169,18 +187,19 @@ def train_pass(docs: DataFrame, classes: dict[bytes, int], counts: np.ndarray, s
         if held:
             done += learn(held)
         if done:
-            flat = [(name, k, row) for name, m in p.items() for k, row in enumerate(m)]
+            flat = [(name, k, np.append(row, sums[name][k])) for name, m in p.items() for k, row in enumerate(m)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in flat]), pa.array([x[1] for x in flat], pa.int32()), pa.array([(x[2] * done).astype(float).tolist() for x in flat], pa.list_(pa.float64())), pa.array([done] * len(flat), pa.int64())],
+                [pa.array([x[0] for x in flat]), pa.array([x[1] for x in flat], pa.int32()), pa.array([(x[2] * float(done)).tolist() for x in flat], pa.list_(pa.float64())), pa.array([done] * len(flat), pa.int64())],
                 names=["part", "row", "v", "n"],
             )
 
-    copies = docs.mapInArrow(run, "part string, row int, v array<double>, n long")
-    mean = copies.groupBy("part", "row").agg(*(F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(WIDTH)), F.sum("n").alias("n"))
-    out = {k: v.copy() for k, v in start.items()}
+    copies = texts.mapInArrow(run, "part string, row int, v array<double>, n long")
+    mean = copies.groupBy("part", "row").agg(*(F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(WIDTH + 1)), F.sum("n").alias("n"))
+    out, seen = {k: v.copy() for k, v in start.items()}, {k: v.copy() for k, v in past.items()}
     for r in mean.collect():  # one model: (2 x classes + 2) rows
         out[r["part"]][r["row"]] = np.array([r[f"v{k}"] for k in range(WIDTH)]) / r["n"]
-    return out
+        seen[r["part"]][r["row"]] = r[f"v{WIDTH}"] / r["n"]
+    return out, seen
 
 
 def train(docs: DataFrame, counts: DataFrame, text_col: str = "text", passes: int = PASSES) -> Model:
@@ -194,8 +213,14 @@ def train(docs: DataFrame, counts: DataFrame, text_col: str = "text", passes: in
     classes = {w: k for k, w in enumerate(words)}
     with_rare = np.maximum(np.append(c, total - c.sum()), 1).astype(float)
     p = _start(len(with_rare))
+    past = {k: np.full(len(v), 1e-3) for k, v in p.items()}
+    shards = max(1, -(-total // SHARD_TOKENS))
+    rows = hashed(docs, text_col)
+    if shards > 1 and passes:  # copies that set out from vectors that mean something can be averaged
+        first = rows.where(F.pmod(F.xxhash64("h"), F.lit(shards)) == 0)
+        p, past = train_pass(dealt(first, 1), classes, with_rare, p, past, passes)
     for number in range(passes if total else 0):
-        p = train_pass(docs, classes, with_rare, p, number, text_col)
+        p, past = train_pass(dealt(rows, shards), classes, with_rare, p, past, number)
     return Model(classes, c, {w: -n for n, w in top[CLASSES:]}, *normalise(p, np.log(with_rare / with_rare.sum())), total, distinct)
 
 
