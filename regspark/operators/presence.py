@@ -57,17 +57,31 @@ def domain_candidates(rows: DataFrame, key: str, name: str, email: str) -> DataF
     return out.select(key, (F.col("pos") + 1).alias("rank"), "domain", F.when(F.array_contains("_own", F.col("domain")), "email").otherwise("name").alias("origin"))
 
 
+#: Characters that a description may have; a longer one is none.
+DESCRIPTION = 500
+
+
+def _meta(tags: Column, attribute: str, name: str) -> Column:
+    """The content of the first meta tag whose attribute has this name, in either kind of quotes; null where there is none."""
+    contents = F.transform(tags, lambda tag: F.regexp_extract_all(tag, F.lit(rf"""(?i)\b{attribute}=["']{name}["'].*?\bcontent=["']([^"']{{0,{DESCRIPTION}}})["']"""), F.lit(1)))
+    return F.get(F.flatten(contents), F.lit(0))
+
+
 def page_reading(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, title, description, words, parked: what a page says about itself."""
+    """key, title, description, text_length, parked: what a page says about itself.
+
+    The description is og:description where a page has one, else its description; of several the first.
+    """
     h = F.col(html)
     text = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(h, r"(?is)<(script|style)\b.*?</\1>", " "), r"(?s)<[^>]*>", " "), r"\s+", " "))
     title = F.trim(F.regexp_replace(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
-    meta = F.regexp_extract(h, r'(?i)<meta\s+(?:name|property)="(?:og:)?description"\s+content="([^"]*)"', 1)
+    tags = F.regexp_extract_all(h, F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0))
+    meta = F.coalesce(_meta(tags, "property", "og:description"), _meta(tags, "name", "description"))
     plain = F.lower(deaccent(text))
     parked = F.lit(False)
     for phrase in PARKED:
         parked = parked | plain.contains(phrase)
-    return pages.select(key, F.nullif(title, F.lit("")).alias("title"), F.nullif(meta, F.lit("")).alias("description"), F.length(text).alias("text_length"), parked.alias("parked"))
+    return pages.select(key, F.nullif(title, F.lit("")).alias("title"), F.nullif(F.trim(F.regexp_replace(meta, r"\s+", " ")), F.lit("")).alias("description"), F.length(text).alias("text_length"), parked.alias("parked"))
 
 
 def social_links(pages: DataFrame, key: str, html: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regspark.functions import cleaning
-from regspark.operators import filters, risk, sheets
+from regspark.operators import filters, presence, risk, sheets
 from regspark.plans import finance_queries as fin
 from regspark.plans import merge_queries as mq
 from regspark.plans import register_queries as reg
@@ -90,6 +90,16 @@ def pl_risk_persistence(spark, sf_dir):
     return risk.persistence(fin.pl_risk_profile(spark, sf_dir))
 
 
+def pl_page_description(spark, sf_dir):
+    """The description of each page, which is given one, both, none or too long a tag by its number."""
+    k = F.col("page_id").cast("string")
+    plain = F.concat(F.lit('<META data-x=1 name="description" content=" About  page '), k, F.lit(' ">'))
+    og = F.concat(F.lit("<meta property='og:description' lang='es' content='Shared "), k, F.lit("'/>"))
+    head = F.when(F.col("page_id") % 4 == 0, F.concat(plain, og)).when(F.col("page_id") % 4 == 1, plain).when(F.col("page_id") % 4 == 2, F.concat(F.lit('<meta property="og:description" content="'), F.repeat(F.lit("x"), 501), F.lit('">'), plain)).otherwise(F.lit('<meta name="keywords" content="description">'))
+    pages = read(spark, sf_dir, "pages").select("page_id", F.concat(head, "html").alias("html"))
+    return presence.page_reading(pages, "page_id", "html").select("page_id", "description")
+
+
 _PAGE_RULES = {"first": "true", "second": "id > 50", "inactive_in_a_province": "id % 5 IN (0, 4) AND id IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')", "books_unknown": "id > 100 AND id % 3 = 2", "last": "id > 1000000000"}
 _PAGES_SQL = " UNION ALL ".join(f"(SELECT '{label}' AS page, *, row_number() OVER (ORDER BY id) AS k, count(*) OVER () AS n FROM holders WHERE {rule})" for label, rule in _PAGE_RULES.items())
 _FINDINGS = {
@@ -117,6 +127,7 @@ SELECT section, CAST(sum(n) AS BIGINT) AS n, '[' || string_agg('{{"name":"' || d
     "pl_quality_checks": " UNION ALL ".join(f"SELECT '{name}' AS check, count(*) AS n, array_to_string(list_sort(list(CAST(id AS VARCHAR)))[1:5], ', ') AS sample FROM ({sql}) AS t(id)" for name, sql in _FINDINGS.items()) + " UNION ALL SELECT 'none', 0, NULL",
     "st_population_guard": "SELECT 'company' AS kind, count(*) AS before, count(*) AS after FROM customer UNION ALL SELECT 'supplier', count(*), count(*) FROM supplier UNION ALL SELECT 'person', count(DISTINCT user_id), count(DISTINCT user_id) FROM events",
     "pl_presence_channels": "WITH c AS (SELECT subject, string_agg(concat_ws(':', channel, state, value), ' ' ORDER BY state <> 'confirmed', channel, value) AS channels FROM (" + wf.ORACLE_SQL["mg_apply_decisions"] + ") GROUP BY 1), h AS (SELECT subject, string_agg(event_id || ':' || action, ' ' ORDER BY ts DESC, event_id DESC) AS history FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY ts DESC, event_id DESC) AS k FROM (" + wf.ORACLE_SQL["mg_decision_audit"] + ")) WHERE k <= 50 GROUP BY 1) SELECT coalesce(c.subject, h.subject) AS subject, channels, history FROM c FULL JOIN h ON c.subject = h.subject",
+    "pl_page_description": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Shared ' || page_id WHEN 3 THEN NULL ELSE 'About page ' || page_id END AS description FROM pages",
     "pl_risk_credits": fin._MAG + " SELECT year, count(*) AS statements, count(*) FILTER (WHERE vat_credit > 0) AS n_vat_credit, count(*) FILTER (WHERE income_tax_credit > 0) AS n_income_tax_credit, CAST(coalesce(sum(vat_credit) FILTER (WHERE vat_credit > 0), 0) AS DECIMAL(24,2)) AS sum_vat_credit, CAST(coalesce(sum(income_tax_credit) FILTER (WHERE income_tax_credit > 0), 0) AS DECIMAL(24,2)) AS sum_income_tax_credit FROM mag GROUP BY year",
     "pl_risk_persistence": fin._RISK + " SELECT years_high, years, count(*) AS companies, CAST(sum(gap_total) AS DECIMAL(30,6)) AS gap_total FROM profile GROUP BY ALL",
 }

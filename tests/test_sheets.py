@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from regspark.operators import peers, risk, sheets
+from regspark.operators import peers, presence, risk, sheets
 from regspark.plans import sheet_queries
 
 SF = "/root/testdata/sf0.001"
@@ -101,3 +101,18 @@ def test_queries_equal_their_sql(spark, name):
     columns = [d[0] for d in expected.description]
     got = entry.queries()[name](spark, SF).select(*columns).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected.fetchall()))
+
+
+def test_description_of_a_page(spark):
+    cases = {
+        '<meta name="description" content="plain"><meta property="og:description" content="shared">': "shared",
+        "<META NAME='description' lang=x CONTENT='  a\n b '>": "a b",
+        '<meta name="description" content="one"><meta name="description" content="two">': "one",
+        '<meta property="og:description" content=""><meta name="description" content="plain">': None,
+        f'<meta name="description" content="{"x" * 501}">': None,
+        '<meta name="keywords" content="k"><p content="c">description</p>': None,
+        "": None,
+        None: None,
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, html string")
+    assert [r["description"] for r in presence.page_reading(df, "k", "html").orderBy("k").collect()] == list(cases.values())
