@@ -17,7 +17,7 @@ YES, NO = ["SI", "S", "X", "1", "TRUE", "VERDADERO", "V", "Y", "YES"], ["NO", "N
 MONTHS = {"ENE": 1, "FEB": 2, "MAR": 3, "ABR": 4, "MAY": 5, "JUN": 6, "JUL": 7, "AGO": 8, "SEP": 9, "SET": 9, "OCT": 10, "NOV": 11, "DIC": 12}
 #: Characters of Windows-1252 above U+00FF and their bytes.
 CP1252 = {"€": 0x80, "‚": 0x82, "ƒ": 0x83, "„": 0x84, "…": 0x85, "†": 0x86, "‡": 0x87, "ˆ": 0x88, "‰": 0x89, "Š": 0x8A, "‹": 0x8B, "Œ": 0x8C, "Ž": 0x8E, "‘": 0x91, "’": 0x92, "“": 0x93, "”": 0x94, "•": 0x95, "–": 0x96, "—": 0x97, "˜": 0x98, "™": 0x99, "š": 0x9A, "›": 0x9B, "œ": 0x9C, "ž": 0x9E, "Ÿ": 0x9F}
-_SUSPECT = "[Â-ô][\u0080-¿–-›Œ-Ÿ€]"
+_SUSPECT = "[Â-ô][\u0080-¿" + "".join(CP1252) + "]"
 _ACCENTED = "ÁÀÂÄÃÅáàâäãåÉÈÊËéèêëÍÌÎÏíìîïÓÒÔÖÕóòôöõÚÙÛÜúùûüÑñÇçÝýÿ"
 _PLAIN = "AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOoooooUUUUuuuuNnCcYyy"
 
@@ -217,14 +217,19 @@ def as_uuid(hash_: Column) -> Column:
     return F.regexp_replace(hash_, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
 
 
-def repair_mojibake(c: Column) -> Column:
-    """UTF-8 that was read as Windows-1252, put right; any other text is left alone."""
+def _reread(c: Column) -> Column:
+    """The text whose UTF-8 reads as `c` in Windows-1252; NULL if there is none or nothing in `c` looks like it."""
     high = "".join(CP1252)
     low = "".join(chr(b) for b in CP1252.values())
     bytes_ = F.translate(c, high, low)
-    raw = F.encode(F.when(c.rlike(_SUSPECT) & bytes_.rlike("^[\\x{0}-\\x{ff}]*$"), bytes_), "ISO-8859-1")
-    fixed = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
-    return F.when((fixed != "") & ~fixed.rlike(_SUSPECT), fixed).otherwise(c)
+    raw = F.encode(F.when(c.rlike(_SUSPECT) & bytes_.rlike("^[\\x{0}-\\x{ff}]*$"), bytes_), "ISO-8859-1").cast("string")
+    return F.when(F.is_valid_utf8(raw), raw)
+
+
+def repair_mojibake(c: Column) -> Column:
+    """UTF-8 that was read as Windows-1252, put right; any other text is left alone, and so is one
+    that would have to be put right twice."""
+    return F.get(F.transform(F.array(_reread(c)), lambda fixed: F.when((fixed != "") & _reread(fixed).isNull(), fixed).otherwise(c)), F.lit(0))
 
 
 def establishment_code(code: Column, register: Column) -> Column:

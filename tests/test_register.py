@@ -137,3 +137,15 @@ def test_distribution_against_brute_force(spark):
             own = [place(x) for h, x in rows if h == g and x is not None]
             same = [x for x in own if (x[0] and v != v) or x == place(v)]
             assert got[g, str(v + 0.0)] == (len(same), sum((not x[0]) if v != v else (not x[0] and x[1] < v) for x in own), len(own))
+
+
+def test_mojibake_of_every_continuation_byte(spark):
+    """All letters, alone in their text, and correct texts in which a letter precedes a quote or dash."""
+    texts = [chr(n) for n in range(0xA0, 0x250)] + ["Èonoioi", "à demain…", "« café»", "Ouaux—é–è", "œuvre’ é’"]
+    table = spark.createDataFrame([(t,) for t in texts], "t string")
+    latin = F.decode(F.col("t").cast("binary"), "ISO-8859-1")
+    broken = F.translate(latin, "".join(chr(b) for b in c.CP1252.values()), "".join(c.CP1252))
+    assert table.where(~c.repair_mojibake(broken).eqNullSafe(F.col("t"))).collect() == []
+    left = ["CORONA QUÃ?M", "GARCÃA", "CarreÃƒÂ±o", "Ouaux—é–è"]
+    kept = spark.createDataFrame([(t,) for t in left], "t string").select(c.repair_mojibake(F.col("t")).alias("t")).collect()
+    assert [r.t for r in kept] == left
