@@ -149,3 +149,16 @@ def test_mojibake_of_every_continuation_byte(spark):
     left = ["CORONA QUÃ?M", "GARCÃA", "CarreÃƒÂ±o", "Ouaux—é–è"]
     kept = spark.createDataFrame([(t,) for t in left], "t string").select(c.repair_mojibake(F.col("t")).alias("t")).collect()
     assert [r.t for r in kept] == left
+
+
+def test_cuts_count_values_only_in_ranges_that_hold_one(spark):
+    """Exact cuts, with ties, zeros and signs; values are counted one by one only where an order statistic lies."""
+    groups = {"wide": [k * k / 7 - 900 for k in range(400)], "ties": [0.0] * 50 + [2.5] * 50, "one": [-3.0], "two": [1.0, 2.0]}
+    rows = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("none", None)], "g string, v double")
+    found = peers.cuts(rows, ["g"], "v")
+    got = {r["g"]: r for r in found.collect()}
+    assert got.keys() == groups.keys()
+    for g, vs in groups.items():
+        want = duckdb.connect().execute(f"SELECT count(*), {', '.join(f'quantile_cont(v, {p})' for p in (0.1, 0.25, 0.5, 0.75, 0.9))}, avg(v) FROM (SELECT unnest({vs}::DOUBLE[]) AS v)").fetchone()
+        assert tuple(got[g])[1:] == pytest.approx(want, abs=1e-6)
+    assert {f.rsplit("/", 2)[1].split("-")[0] for f in found.inputFiles()} == {"ranges", "held"}  # both are stored, so that few rows are shuffled
