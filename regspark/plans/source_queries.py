@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regspark.operators import merge
 from regspark.plans.domain import MONEY, read
 from regspark.sources import lists, loading, readers, scratch, tourism
 
@@ -74,7 +75,7 @@ def _loaded(spark: SparkSession, sf_dir: str) -> loading.Loaded:
     """Lines of orders loaded by order and part: the last line of each counts."""
     l = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("line"), F.col("l_quantity").cast(MONEY).alias("quantity"), F.col("l_discount").cast("decimal(4,2)").alias("discount"))  # noqa: E741
     rules = [loading.Rule("quantity", "too_large", F.col("quantity") > 48), loading.Rule("part", "unknown", F.col("part") % 97 == 0), loading.Rule("discount", "high", F.col("discount") >= F.lit("0.09").cast("decimal(4,2)"), reject=False)]
-    one = l.groupBy("id", "part", "line").agg(F.max("quantity").alias("quantity"), F.max("discount").alias("discount"))
+    one = merge.dealt(l, l.count(), ["id", "part"]).groupBy("id", "part", "line").agg(F.max("quantity").alias("quantity"), F.max("discount").alias("discount"))
     return loading.load(one, rules, ["id", "part"], "line", scratch.new_folder(spark, "load"), most_rejects=1 << 30)
 
 

@@ -37,7 +37,8 @@ def load(rows: DataFrame, rules: list[Rule], key: list[str], order: str, path: s
     """Judge `rows` by `rules`, write them by outcome below `path`, and count while they are written.
 
     A row with several defects is one rejected row and several rows of the report, each with column,
-    reason and the row as JSON. A condition that is null breaks no rule. The report has the first
+    reason and the row as JSON. A condition that is null breaks no rule. Rows are dealt out by key
+    into as many parts as their number takes, so no task's share grows with the table. The report has the first
     `most_rejects` rows by the order column. metrics: read, rejected, warned, duplicates, copied.
     """
     spark = rows.sparkSession
@@ -52,7 +53,8 @@ def load(rows: DataFrame, rules: list[Rule], key: list[str], order: str, path: s
     watched.write.mode("overwrite").partitionBy("_outcome").parquet(f"{path}/judged")
     judged = spark.read.schema(marked.schema).parquet(f"{path}/judged")
     good = judged.where("_outcome = 'good'")
-    last = merge.dedup_last(good.select(*rows.columns), key, order).select(*rows.columns).observe(kept, F.count(F.lit(1)).alias("copied"))
+    dealt = merge.dealt(good.select(*rows.columns), seen.get["read"], key)
+    last = merge.dedup_last(dealt, key, order).select(*rows.columns).observe(kept, F.count(F.lit(1)).alias("copied"))
     last.write.mode("overwrite").parquet(f"{path}/rows")
     counts = {k: int(v) for k, v in (seen.get | kept.get).items()}
     metrics = counts | {"duplicates": counts["read"] - counts["rejected"] - counts["copied"]}

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from regspark.operators import merge
 from regspark.sources import lists, loading, readers, tourism
 
 
@@ -91,6 +92,15 @@ def test_loading_nothing_and_without_rules(spark, tmp_path):
     assert loading.load(one, [], ["id"], "n", str(tmp_path / "b")).metrics["copied"] == 1
 
 
+def test_loading_deals_out_rows_by_their_number(spark, tmp_path, monkeypatch):
+    """A task's share is bounded, whatever the number of shuffle partitions."""
+    monkeypatch.setattr(merge, "ROWS_A_TASK", 10)
+    rows = spark.range(300).selectExpr("CAST(id % 200 AS INT) AS id", "CAST(id AS INT) AS n", "2 AS x", "'a' AS name")
+    got = loading.load(rows, rules(), ["id"], "n", str(tmp_path / "run"))
+    assert {(r["id"], r["n"]) for r in got.rows.collect()} == {(k, k + 200 if k < 100 else k) for k in range(200)} and got.metrics["duplicates"] == 100
+    assert len(list((tmp_path / "run" / "rows").glob("*.parquet"))) > 20
+
+
 def test_tourism_register(spark):
     columns = "n int, `Número de Registro` string, RUC string, Actividad string, `Fecha de registro` string, Extra string"
     rows = [(1, "R1", "1790000000001", "Hotel", "05/03/2021", "a"), (2, "R1", "1790000000001", "Hostal", "05/03/2021", "b"), (3, "R2", "9990000000001", "Bar", "6/07/2026; 28/07/2026", None), (4, None, "1790000000001", "Bar", None, None), (5, "R3", "S/N", "Bar", None, None), (6, "R4", "1790000000001", " - ", None, None), (7, None, None, "", None, None), (8, "R5", "1790000000001", "Bar", "", None), (9, "R5", "1790000000001", "Bar", "", None)]
