@@ -18,6 +18,8 @@ from regspark.sources import scratch
 
 #: Buckets of a target; a batch rewrites those in which something changed.
 BUCKETS = 64
+#: Shards of the keys of a log of decisions, each with one state.
+SHARDS = 1024
 
 
 # ---- files into a bucketed target -------------------------------------------------------------
@@ -79,47 +81,57 @@ def deduplicated(stream: DataFrame, event_id: str, time: str, late: str = "1 hou
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([event_id])
 
 
-_STATE = "live boolean, value string, state string, note string, source string, applied long, pending string"
+_STATE = "settled string, pending string"
 
 
-def decision_states(stream: DataFrame, key: list[str], time: str, event_id: str, late: str = "1 hour") -> DataFrame:
+def decision_states(stream: DataFrame, key: list[str], time: str, event_id: str, late: str = "1 hour", shards: int = SHARDS) -> DataFrame:
     """`key`, live, value, state, note, source, applied: the row of each key that a batch has decisions on.
 
-    `stream` has action, value and note too. The state of a key is the row that its decisions up to
-    the watermark leave, and the later ones by themselves: those are applied in order on top of it
-    whenever something comes, so a decision that comes out of order by less than `late` counts where
-    it belongs, and repeated ids count once. A timer settles what the watermark has passed. Decisions
-    behind the watermark are dropped.
+    `stream` has action, value and note too. Keys fall into shards by hash, and a shard has one
+    state, since a call a key costs far more than its few decisions. It has the row of each of its
+    keys that the decisions up to the watermark leave, and the later ones by themselves: those are
+    applied in order on top of it whenever something comes, so a decision that comes out of order by
+    less than `late` counts where it belongs, and repeated ids count once. A timer settles what the
+    watermark has passed. Decisions behind the watermark are dropped. `shards` stays the same for as
+    long as a checkpoint is used.
     """
     kinds = {f.name: f.dataType for f in stream.schema.fields}
-    schema = T.StructType([*(T.StructField(k, kinds[k]) for k in key), *T._parse_datatype_string("live boolean, value string, state string, note string, source string, applied long").fields])
-
-    def update(name: tuple, parts: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        live, *row, applied, pending = kept.get if kept.exists else (False, None, None, None, None, 0, "[]")
-        settled = (tuple(row) if live else None, applied)
-        waiting = {(t, i): rest for t, i, *rest in json.loads(pending)}
-        arrived = False
+    names = T.StructType([T.StructField(k, kinds[k]) for k in key])
+    row_columns = "live boolean, value string, state string, note string, source string, applied long"
+    columns = ["_name", "live", "value", "state", "note", "source", "applied"]
+
+    def update(_: tuple, parts: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        before, pending = map(json.loads, kept.get) if kept.exists else ({}, {})
+        settled = {name: (tuple(row) if row else None, applied) for name, (row, applied) in before.items()}
+        waiting = {name: {(t, i): rest for t, i, *rest in some} for name, some in pending.items()}
+        arrived, rows = set(), []
         for part in parts:
-            for t, i, *rest in part[["_at", event_id, "action", "value", "note"]].itertuples(index=False):
-                waiting[int(t), int(i)] = [None if pd.isna(x) else x for x in rest]
-                arrived = True
+            for name, t, i, *rest in part[["_name", "_at", event_id, "action", "value", "note"]].itertuples(index=False):
+                waiting.setdefault(name, {})[int(t), int(i)] = [x if isinstance(x, str) else None for x in rest]
+                arrived.add(name)
         passed = kept.getCurrentWatermarkMs() * 1000
-        now = settled
-        for at in sorted(waiting):
-            after, outcome = review.apply_one(now[0], *waiting[at])
-            now = after, now[1] + (outcome == "applied")
-            if at[0] <= passed:
-                settled = now
-                del waiting[at]
-        base = settled[0]
-        kept.update((base is not None, *(base or (None,) * 4), settled[1], json.dumps([[*at, *rest] for at, rest in sorted(waiting.items())])))
+        for name, some in list(waiting.items()):
+            now = settled.get(name, (None, 0))
+            for at in sorted(some):
+                after, outcome = review.apply_one(now[0], *some[at])
+                now = after, now[1] + (outcome == "applied")
+                if at[0] <= passed:
+                    settled[name] = now
+                    del some[at]
+            if name in arrived:
+                rows.append((name, now[0] is not None, *(now[0] or (None,) * 4), now[1]))
+            if not some:
+                del waiting[name]
+        kept.update((json.dumps(settled), json.dumps({name: [[*at, *rest] for at, rest in some.items()] for name, some in waiting.items()})))
         if waiting:
-            kept.setTimeoutTimestamp(max(at[0] for at in waiting) // 1000 + 1)
-        if arrived:
-            yield pd.DataFrame([(*name, now[0] is not None, *(now[0] or (None,) * 4), now[1])], columns=schema.names)
-
-    timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).select(*key, time, F.unix_micros(time).alias("_at"), event_id, "action", "value", "note")
-    return timed.groupBy(*key).applyInPandasWithState(update, schema, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+            kept.setTimeoutTimestamp(max(max(some)[0] for some in waiting.values()) // 1000 + 1)
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+
+    timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    timed = timed.select(F.pmod(F.xxhash64(*key), F.lit(shards)).alias("_shard"), F.to_json(F.struct(*key)).alias("_name"), time, F.unix_micros(time).alias("_at"), event_id, "action", "value", "note")
+    found = timed.groupBy("_shard").applyInPandasWithState(update, f"_name string, {row_columns}", _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return found.withColumn("_key", F.from_json("_name", names)).select("_key.*", *columns[1:])
 
 
 def keep_decisions(stream: DataFrame, path: str, key: list[str], time: str, event_id: str, checkpoint: str, late: str = "1 hour") -> StreamingQuery:

@@ -253,3 +253,17 @@ def test_sites_are_merged_under_their_own_fingerprints(spark):
         target = sites.merged(None, sites.staged(spark.createDataFrame(one, columns), companies), kind, 1).drop("status")
         status[kind] = sorted(r["status"] for r in sites.merged(target, sites.staged(spark.createDataFrame(two, columns), companies), kind, 2).collect())
     assert status == {"person": ["unchanged"], "establishment": ["unchanged", "updated"]}
+
+
+def test_decision_state_is_held_by_shard(spark, tmp_path):
+    """Many keys of two columns, one of them null at times, in few states: as few calls, and the same rows."""
+    rows = [(f"s{k % 150}" if k % 7 else None, k % 3, 60 * (1 + k // 4), k, decisions.ACTIONS[k * k % 6], f"v{k % 5}", None if k % 2 else f"n{k}") for k in range(900)]
+    frame = spark.createDataFrame(rows, "subject string, channel int, at long, event_id long, action string, value string, note string").withColumn("ts", F.timestamp_seconds("at")).drop("at")
+    source, target, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    frame.coalesce(1).write.parquet(source)
+    stream = wrappers.decision_states(spark.readStream.schema(frame.schema).parquet(source), ["subject", "channel"], "ts", "event_id", shards=5)
+    query = stream.writeStream.outputMode("update").foreachBatch(lambda rows, batch: rows.write.parquet(f"{target}/batch={batch}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]) <= 5  # states, where there was one a key
+    _, final = folded([((s, c), *rest) for s, c, *rest in rows])
+    assert {tuple(r)[:2]: tuple(r)[2:] for r in wrappers.current_decisions(spark, target, ["subject", "channel"]).collect()} == final
