@@ -43,8 +43,8 @@ MARKED, MASK_BITS = 1512, 63
 GROUP_MASKS = 6
 #: A text's words are counted in so many bins by hash, to tell how much two texts have in common before they are aligned.
 WORD_BINS = 256
-#: Texts, or counts of words, are broadcast to pairs only if they come to at most so many characters or numbers.
-BROADCAST_SIZE = 12_000_000
+#: Tables are broadcast to pairs only if they come to at most so many bytes (a character counts as one), since the driver holds what is broadcast several times over.
+BROADCAST_SIZE = 6_000_000
 #: Rows by which the band of an alignment moves on.
 STEP = 64
 #: Characters of texts that are hashed at once, unless one text is longer.
@@ -256,7 +256,7 @@ def _close(n: str, m: str) -> Column:
 
 
 def _paired(pairs: DataFrame, table: DataFrame, size: int) -> DataFrame:
-    """`pairs` (a, b) with the columns of `table` (node, ...) for either side; `size` tells how large the table is."""
+    """`pairs` (a, b) with the columns of `table` (node, ...) for either side; `size` tells how many bytes the table has."""
     near = F.broadcast if size <= BROADCAST_SIZE else (lambda df: df)
     for side in "ab":
         pairs = pairs.join(near(table.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in table.columns if c != "node"))), side)
@@ -292,12 +292,27 @@ def _led_pairs(known: DataFrame) -> DataFrame:
     return met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
 
 
+def _word_classes(words: np.ndarray) -> np.ndarray:
+    """The distinct classes of a text's words, each with the number of its earlier occurrences."""
+    return np.unique(_occurrences(words, np.zeros(len(words), dtype=np.int64)) % np.uint64(WORD_CLASSES)).astype(np.int64)
+
+
 def _first_classes(words: np.ndarray, often: np.ndarray) -> np.ndarray:
     """The rarest word classes of a text, one more than the words it may lose to a similar one."""
-    classes = np.unique(_occurrences(words, np.zeros(len(words), dtype=np.int64)) % np.uint64(WORD_CLASSES)).astype(np.int64)
+    classes = _word_classes(words)
     return classes[np.lexsort((classes, often[classes]))][: most_edits(len(words), 0) + 1]
 
 
+def _without_lost(pairs: DataFrame) -> DataFrame:
+    """`pairs` (n, n_b, and the word classes of either side) without those where one text has more classes that the other lacks than words may be edited.
+
+    Texts of which one line makes nearly all words have most classes in common; only the rest tells them apart.
+    """
+    for x, y in (("classes_a", "classes_b"), ("classes_b", "classes_a")):
+        pairs = pairs.where(F.size(F.array_except(x, y)) <= _most("n", "n_b"))
+    return pairs
+
+
 def _masks(numbers: list[int], n: int) -> list[int]:
     """`n` integers of MASK_BITS bits, of which the bits with the given numbers are set."""
     masks = [0] * n
@@ -314,7 +329,7 @@ def _open_pairs(known: DataFrame, texts: DataFrame, keep: Callable[[DataFrame],
     ones first. Of two similar texts each loses at most a fifth of the longer one's words, so
     they share one of their first classes, as many as that and one more: pairs are joined by
     these, in groups of any size alike, and no group is gathered. Then pairs without a group in
-    common go, and those whose counts of words differ too much. `keep` stores what is read twice.
+    common go, and those whose words, counted by bin and then class by class, differ too much. `keep` stores what is read twice.
     """
     mixed = known.groupBy("sketch").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("sketch")
     nodes = known.join(mixed, "sketch", "left_semi").groupBy("node").agg(F.first("label").alias("label"), F.collect_set("sketch").alias("groups"))
@@ -340,15 +355,16 @@ def _open_pairs(known: DataFrame, texts: DataFrame, keep: Callable[[DataFrame],
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
                 some = batch.slice(k, 200)
-                sizes, firsts, bins = [], [], []
+                sizes, firsts, bins, classes = [], [], [], []
                 for text in some.column(1).to_pylist():
                     words, _ = word_hashes([text])
                     sizes.append(len(words))
                     firsts.append(_first_classes(words, sent.value).tolist())
                     bins.append(np.bincount((words % np.uint64(WORD_BINS)).astype(np.int64), minlength=WORD_BINS).tolist())
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int32())), pa.array(bins, pa.list_(pa.int32()))], names=["node", "n", "firsts", "bins"])
+                    classes.append(_word_classes(words).tolist())
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes, pa.int32()), *(pa.array(x, pa.list_(pa.int32())) for x in (firsts, bins, classes))], names=["node", "n", "firsts", "bins", "classes"])
 
-    read = keep(theirs.select("node", "text").mapInArrow(first, "node long, n int, firsts array<int>, bins array<int>"))
+    read = keep(theirs.select("node", "text").mapInArrow(first, "node long, n int, firsts array<int>, bins array<int>, classes array<int>"))
     found = keep(read.select("node", "n", "firsts").join(theirs.select("node", "label", "groups"), "node"))
     by_class = keep(found.select("label", F.explode("firsts").alias("class")).groupBy("class").agg(F.count("*").alias("n"), (F.min("label") != F.max("label")).alias("mixed")).where("mixed"))
     marked = {r["class"]: k for k, r in enumerate(by_class.orderBy(F.desc("n"), "class").limit(MARKED).collect())}
@@ -379,11 +395,13 @@ def _open_pairs(known: DataFrame, texts: DataFrame, keep: Callable[[DataFrame],
     once = F.expr(f"({' | '.join(f'(m{k} & m{k}_b)' for k in range(n_masks))}) = 0L")
     on = [F.col("class") == F.col("class_b"), F.col("node") < F.col("node_b"), F.col("label") != F.col("label_b"), _close("n", "n_b"), maybe_grouped, once]
     met = words.join(other, on).select(F.col("node").alias("a"), F.col("node_b").alias("b"), "n", "n_b").distinct()
-    count_of = read.count()
-    met = _paired(met, found.select("node", "groups"), 2 * SKETCHES * count_of).where(F.arrays_overlap("groups_a", "groups_b"))
-    met = _paired(met.select("a", "b", "n", "n_b"), read.select("node", "bins"), WORD_BINS * count_of)
+    count_of, words_of = read.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    met = _paired(met, found.select("node", "groups"), 8 * (SKETCHES + SHORT_SKETCHES) * count_of).where(F.arrays_overlap("groups_a", "groups_b"))
+    met = _paired(met.select("a", "b", "n", "n_b"), read.select("node", "bins"), 4 * WORD_BINS * count_of)
     lost = [F.aggregate(F.zip_with(x, y, lambda i, j: F.greatest(i - j, F.lit(0))), F.lit(0), lambda s, v: s + v) for x, y in (("bins_a", "bins_b"), ("bins_b", "bins_a"))]
-    return met.where((lost[0] <= _most("n", "n_b")) & (lost[1] <= _most("n", "n_b"))).select("a", "b")
+    met = met.where((lost[0] <= _most("n", "n_b")) & (lost[1] <= _most("n", "n_b")))
+    met = _paired(met.select("a", "b", "n", "n_b"), read.select("node", "classes"), 4 * words_of)
+    return _without_lost(met).select("a", "b")
 
 
 def families(rows: DataFrame) -> DataFrame:

@@ -490,3 +490,19 @@ def test_toxicity_edges(spark):
     out = toxicity.score(clashing(spark, "score"), model)
     assert out.columns == ["doc_id", "text", "score", "score_", "predicted"] and out.where("score_ BETWEEN 0 AND 1").count() == len(EDGE)
     assert toxicity.score(frame(spark, []), model).count() == 0
+
+
+def test_minhash_pairs_that_share_one_repeated_line_are_ruled_out_by_their_words(spark):
+    # 75 % of each text is one line; the rest differs, in words that fall into a bin each of the other text's.
+    line, n = [f"line{k}" for k in range(15)] * 10, 50
+    texts = [" ".join(line + [f"w{t}_{k}" for k in range(n)]) for t in range(2)]
+    near = " ".join(line + [f"w0_{k}" for k in range(n - 20)] + [f"z{k}" for k in range(20)])
+    rows = []
+    for node, text in enumerate([*texts, near]):
+        words, _ = minhash.word_hashes([text])
+        rows.append((node, len(words), minhash._word_classes(words).tolist()))
+    a = spark.createDataFrame(rows, "a long, n int, classes_a array<int>")
+    b = spark.createDataFrame(rows, "b long, n_b int, classes_b array<int>")
+    kept = {(r["a"], r["b"]) for r in minhash._without_lost(a.crossJoin(b).where("a < b")).collect()}
+    assert kept == {(0, 2)}
+    assert [(i, j) for i, x in enumerate([*texts, near]) for j, y in enumerate([*texts, near]) if i < j and minhash.similar(x, y)] == [(0, 2)]
