@@ -1,7 +1,7 @@
 """Work that is dealt out by its size, whatever the number of shuffle partitions."""
 
 from regspark.operators import merge
-from regspark.plans import window_queries
+from regspark.plans import finance_queries, window_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,3 +16,16 @@ def test_two_fingerprints_deal_out_lines_by_their_number(spark, monkeypatch, cap
     rows = {r["of"]: (r["updated"], r["unchanged"]) for r in done.collect()}
     every = lines.select("l_orderkey", "l_linenumber").distinct()
     assert rows["establishment"] == (every.where("l_orderkey % 4 = 0").count(), every.where("l_orderkey % 4 <> 0").count())
+
+
+def _scans(df, capsys, table):
+    capsys.readouterr()
+    df.explain()
+    return capsys.readouterr().out.count(f"{table}.parquet")
+
+
+def test_comparable_companies_read_lines_once_and_look_for_no_peers(spark, capsys):
+    done = window_queries.jn_semi_comparable(spark, SF)
+    assert _scans(done, capsys, "lineitem") == 1
+    risk = finance_queries.pl_risk_year(spark, SF).where("population = 'comparable'").select("company").distinct()
+    assert {r["company"] for r in done.collect()} == {r["company"] for r in risk.collect()}
