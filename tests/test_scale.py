@@ -1,7 +1,7 @@
 """Work that is dealt out by its size, whatever the number of shuffle partitions."""
 
 from regspark.operators import merge
-from regspark.plans import finance_queries, window_queries
+from regspark.plans import finance_queries, sheet_queries, window_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +29,7 @@ def test_comparable_companies_read_lines_once_and_look_for_no_peers(spark, capsy
     assert _scans(done, capsys, "lineitem") == 1
     risk = finance_queries.pl_risk_year(spark, SF).where("population = 'comparable'").select("company").distinct()
     assert {r["company"] for r in done.collect()} == {r["company"] for r in risk.collect()}
+
+
+def test_risk_works_its_bases_out_once(spark, capsys):
+    assert _scans(sheet_queries.pl_risk_persistence(spark, SF), capsys, "lineitem") == 0
