@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from regspark.functions import cleaning
 from regspark.sources.readers import read_aliased
+from regspark.sources.scratch import stored
 
 #: Names of the columns in the published file, by field.
 ALIASES = {
@@ -36,6 +37,8 @@ def entries(raw: DataFrame, order: str) -> DataFrame:
     named, report = read_aliased(raw.drop(order), ALIASES, REQUIRED)
     found = [c for c in ALIASES if c not in report["missing"]]
     kept, _ = read_aliased(raw, {**ALIASES, order: [order]}, REQUIRED)
+    # A file of few splits is dealt out first: reading a row costs much more than moving it.
+    kept = kept.repartition(int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = kept.select(*(cleaning.nullify(F.col(c).cast("string")).alias(c) if c in found else F.lit(None).cast("string").alias(c) for c in ALIASES), order)
     tax, date = cleaning.tax_id(F.col("tax_id")), cleaning.date(F.col("registered"))
     note = cleaning.tax_id_note(F.col("tax_id"))
@@ -63,7 +66,7 @@ def rejects(parsed: DataFrame, order: str) -> DataFrame:
 
 def warnings(parsed: DataFrame, order: str) -> DataFrame:
     """`order`, register, column, reason; numbers that occur again with other data are named once, by the row that counts."""
-    good = parsed.where("error IS NULL")
+    good = stored(parsed.where("error IS NULL").select(order, "register", "warnings", "row_hash"), "entries")  # warnings and numbers that occur again are read from it
     twice = good.groupBy("register").agg(F.max(order).alias(order), F.min("row_hash").alias("a"), F.max("row_hash").alias("b")).where("a <> b")
     single = good.select(order, "register", F.explode("warnings").alias("w")).select(order, "register", "w.column", "w.reason")
     return single.unionByName(twice.select(order, "register", F.lit("register").alias("column"), F.lit("duplicate_with_other_data").alias("reason")))

@@ -1,7 +1,7 @@
 """Work that is dealt out by its size, whatever the number of shuffle partitions."""
 
 from regspark.operators import merge
-from regspark.plans import finance_queries, sheet_queries, window_queries
+from regspark.plans import finance_queries, sheet_queries, source_queries, window_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,3 +33,7 @@ def test_comparable_companies_read_lines_once_and_look_for_no_peers(spark, capsy
 
 def test_risk_works_its_bases_out_once(spark, capsys):
     assert _scans(sheet_queries.pl_risk_persistence(spark, SF), capsys, "lineitem") == 0
+
+
+def test_tourism_warnings_parse_the_register_once(spark, capsys):
+    assert _scans(source_queries.src_tourism_warnings(spark, SF), capsys, "part") == 0
