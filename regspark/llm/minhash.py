@@ -41,8 +41,8 @@ WORD_CLASSES = 1 << 20
 MARKED, MASK_BITS = 1512, 63
 #: Masks of a text's groups.
 GROUP_MASKS = 6
-#: A text's words are counted in so many bins by hash, to tell how much two texts have in common before they are aligned.
-WORD_BINS = 256
+#: Texts that meet at least so many rows at marked classes carry all their classes as bits: one each for so many most frequent ones, and so many by hash for the rest.
+BUSY, FREQUENT_BITS, OTHER_BITS = 50, 1024, 2048
 #: Tables are broadcast to pairs only if they come to at most so many bytes (a character counts as one), since the driver holds what is broadcast several times over.
 BROADCAST_SIZE = 6_000_000
 #: Rows by which the band of an alignment moves on.
@@ -303,6 +303,21 @@ def _first_classes(words: np.ndarray, often: np.ndarray) -> np.ndarray:
     return classes[np.lexsort((classes, often[classes]))][: most_edits(len(words), 0) + 1]
 
 
+def _class_bits(classes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """A text's classes as bits in 64-bit integers. `frequent`: sorted classes that have a bit each; others share one by hash."""
+    at = np.minimum(np.searchsorted(frequent, classes), max(0, len(frequent) - 1))
+    own = frequent[at] == classes if len(frequent) else np.zeros(len(classes), dtype=bool)
+    bits = np.zeros(FREQUENT_BITS + OTHER_BITS, dtype=np.uint8)
+    bits[at[own]] = 1
+    bits[FREQUENT_BITS + classes[~own] % OTHER_BITS] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def _lost_bits(x: str, y: str) -> str:
+    """How many bits of one array of integers are not set in another: no more than the classes that the other text lacks."""
+    return f"aggregate(zip_with({x}, {y}, (i, j) -> bit_count(i & ~j)), 0, (s, v) -> s + v)"
+
+
 def _without_lost(pairs: DataFrame) -> DataFrame:
     """`pairs` (n, n_b, and the word classes of either side) without those where one text has more classes that the other lacks than words may be edited.
 
@@ -328,12 +343,13 @@ def _open_pairs(known: DataFrame, texts: DataFrame, keep: Callable[[DataFrame],
     of its earlier occurrences, fall into classes that are put in one order for all texts, rare
     ones first. Of two similar texts each loses at most a fifth of the longer one's words, so
     they share one of their first classes, as many as that and one more: pairs are joined by
-    these, in groups of any size alike, and no group is gathered. Then pairs without a group in
-    common go, and those whose words, counted by bin and then class by class, differ too much. `keep` stores what is read twice.
+    these, in groups of any size alike, and no group is gathered. Texts that many others meet
+    carry their classes as bits, so that the join itself leaves out those that lack too many; of
+    what it makes, pairs whose classes differ too much go. `keep` stores what is read twice.
     """
     mixed = known.groupBy("sketch").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("sketch")
     nodes = known.join(mixed, "sketch", "left_semi").groupBy("node").agg(F.first("label").alias("label"), F.collect_set("sketch").alias("groups"))
-    theirs = keep(nodes.join(texts, "node").select("node", "label", "text", "groups"))
+    theirs = keep(nodes.join(texts, "node").select("node", "label", "groups", "text"))
     spark = theirs.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,59 +365,61 @@ def _open_pairs(known: DataFrame, texts: DataFrame, keep: Callable[[DataFrame],
     counted = theirs.select("text").mapInArrow(count, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(WORD_CLASSES, dtype=np.int64)
     often[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    frequent = np.sort(np.argsort(-often, kind="stable")[:FREQUENT_BITS])
     sent = spark.sparkContext.broadcast(often)  # WORD_CLASSES numbers
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
                 some = batch.slice(k, 200)
-                sizes, firsts, bins, classes = [], [], [], []
-                for text in some.column(1).to_pylist():
+                sizes, firsts, classes = [], [], []
+                for text in some.column(3).to_pylist():
                     words, _ = word_hashes([text])
                     sizes.append(len(words))
                     firsts.append(_first_classes(words, sent.value).tolist())
-                    bins.append(np.bincount((words % np.uint64(WORD_BINS)).astype(np.int64), minlength=WORD_BINS).tolist())
                     classes.append(_word_classes(words).tolist())
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sizes, pa.int32()), *(pa.array(x, pa.list_(pa.int32())) for x in (firsts, bins, classes))], names=["node", "n", "firsts", "bins", "classes"])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(sizes, pa.int32()), *(pa.array(x, pa.list_(pa.int32())) for x in (firsts, classes))], names=["node", "label", "groups", "n", "firsts", "classes"])
 
-    read = keep(theirs.select("node", "text").mapInArrow(first, "node long, n int, firsts array<int>, bins array<int>, classes array<int>"))
-    found = keep(read.select("node", "n", "firsts").join(theirs.select("node", "label", "groups"), "node"))
+    found = keep(theirs.mapInArrow(first, "node long, label long, groups array<long>, n int, firsts array<int>, classes array<int>"))
     by_class = keep(found.select("label", F.explode("firsts").alias("class")).groupBy("class").agg(F.count("*").alias("n"), (F.min("label") != F.max("label")).alias("mixed")).where("mixed"))
-    marked = {r["class"]: k for k, r in enumerate(by_class.orderBy(F.desc("n"), "class").limit(MARKED).collect())}
+    looked = by_class.orderBy(F.desc("n"), "class").limit(MARKED).collect()
+    marked, met_by = {r["class"]: k for k, r in enumerate(looked)}, np.array([r["n"] for r in looked], dtype=np.int64)
     n_masks = MARKED // MASK_BITS
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
-                node, n, firsts, label, groups = (batch.column(c).slice(k, 200).to_pylist() for c in range(5))
+                node, label, groups, n, firsts = (batch.column(c).slice(k, 200).to_pylist() for c in range(5))
                 classes = np.array([c for f in firsts for c in f], dtype=np.int32)
                 bits = [[marked.get(c, -1) for c in f] for f in firsts]
                 same = np.array([[x, y, z, *_masks([i % (GROUP_MASKS * MASK_BITS) for i in g], GROUP_MASKS), *_masks([i for i in b if i >= 0], n_masks)] for x, y, z, b, g in zip(node, label, n, bits, groups)], dtype=np.int64)
-                same = np.repeat(same, [len(f) for f in firsts], axis=0)
+                times = [len(f) for f in firsts]
+                same = np.repeat(same, times, axis=0)
                 bit = np.array([i for b in bits for i in b], dtype=np.int64)
                 part, own = bit // MASK_BITS, same[:, -n_masks:]
                 rows = np.flatnonzero(bit >= 0)
                 own[rows, part[rows]] &= (np.int64(1) << (bit[rows] % MASK_BITS)) - 1
                 own[(bit >= 0)[:, None] & (np.arange(n_masks) > part[:, None])] = 0
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if t == "int" else pa.int64()) for c, t in zip([classes, *same.T], kinds)], names=names)
+                busy = [sum(met_by[i] for i in b if i >= 0) >= BUSY for b in bits]
+                held = pa.array([_class_bits(c, frequent) if x else None for x, c in zip(busy, map(np.array, batch.column(5).slice(k, 200).to_pylist()))], pa.list_(pa.int64()))
+                columns = [pa.array(c, pa.int32() if t == "int" else pa.int64()) for c, t in zip([classes, *same.T], kinds)]
+                yield pa.RecordBatch.from_arrays([*columns, held.take(pa.array(np.repeat(np.arange(len(node)), times)))], names=[*names, "held"])
 
     masks = [f"g{k}" for k in range(GROUP_MASKS)] + [f"m{k}" for k in range(n_masks)]
     names = ["class", "node", "label", "n", *masks]
     kinds = ["int", "long", "long", "int", *["long"] * len(masks)]
-    words = found.mapInArrow(spread, ", ".join(f"{x} {t}" for x, t in zip(names, kinds))).join(by_class.select("class"), "class", "left_semi")
-    other = words.select(*(F.col(c).alias(f"{c}_b") for c in ("class", "node", "label", "n", *masks)))
-    maybe_grouped = F.expr(" OR ".join(f"(g{k} & g{k}_b) <> 0L" for k in range(GROUP_MASKS)))  # bits of their groups; looked at group by group below
+    schema = ", ".join(f"{x} {t}" for x, t in zip([*names, "held"], [*kinds, "array<long>"]))
+    words = found.mapInArrow(spread, schema).join(by_class.select("class"), "class", "left_semi")
+    other = words.select(*(F.col(c).alias(f"{c}_b") for c in [*names, "held"]))
+    maybe_grouped = F.expr(" OR ".join(f"(g{k} & g{k}_b) <> 0L" for k in range(GROUP_MASKS)))  # bits of their groups, which others may share
     # m0, m1, ...: the text's marked classes that come before the row's own; without a mark all of them.
     once = F.expr(f"({' | '.join(f'(m{k} & m{k}_b)' for k in range(n_masks))}) = 0L")
+    lacking = F.greatest(F.expr(_lost_bits("held", "held_b")), F.expr(_lost_bits("held_b", "held")))
     on = [F.col("class") == F.col("class_b"), F.col("node") < F.col("node_b"), F.col("label") != F.col("label_b"), _close("n", "n_b"), maybe_grouped, once]
+    on.append(F.col("held").isNull() | F.col("held_b").isNull() | (lacking <= _most("n", "n_b")))
     met = words.join(other, on).select(F.col("node").alias("a"), F.col("node_b").alias("b"), "n", "n_b").distinct()
-    count_of, words_of = read.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    met = _paired(met, found.select("node", "groups"), 8 * (SKETCHES + SHORT_SKETCHES) * count_of).where(F.arrays_overlap("groups_a", "groups_b"))
-    met = _paired(met.select("a", "b", "n", "n_b"), read.select("node", "bins"), 4 * WORD_BINS * count_of)
-    lost = [F.aggregate(F.zip_with(x, y, lambda i, j: F.greatest(i - j, F.lit(0))), F.lit(0), lambda s, v: s + v) for x, y in (("bins_a", "bins_b"), ("bins_b", "bins_a"))]
-    met = met.where((lost[0] <= _most("n", "n_b")) & (lost[1] <= _most("n", "n_b")))
-    met = _paired(met.select("a", "b", "n", "n_b"), read.select("node", "classes"), 4 * words_of)
-    return _without_lost(met).select("a", "b")
+    words_of = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return _without_lost(_paired(met, found.select("node", "classes"), 4 * words_of)).select("a", "b")
 
 
 def families(rows: DataFrame) -> DataFrame:
@@ -425,8 +443,8 @@ def families(rows: DataFrame) -> DataFrame:
     for step in (_led_pairs, lambda known: _open_pairs(known, texts, keep)):
         labels = keep(components(tried.where("ok").select("a", "b")))
         known = _with_labels(members, labels)
-        fresh_pairs = keep(step(known).join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(keep(_verified(fresh_pairs, texts)))
+        possible = keep(step(known))  # before those tried are taken off, which Spark would else do ahead of what narrows the pairs
+        tried = tried.unionByName(keep(_verified(possible.join(tried, ["a", "b"], "left_anti"), texts)))
     found = components(tried.where("ok").select("a", "b"))
     out = stored(found.join(texts.select("node", "second"), "node"))
     dropped(*spare)

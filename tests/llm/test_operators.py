@@ -492,6 +492,48 @@ def test_toxicity_edges(spark):
     assert toxicity.score(frame(spark, []), model).count() == 0
 
 
+def joined_rows(df):
+    """Rows that the joins on word classes made for a table, once it is collected."""
+    df.collect()
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.nodeName()
+        if kind == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif kind in ("ShuffleQueryStage", "BroadcastQueryStage", "ResultQueryStage"):
+            todo.append(node.plan())
+        else:
+            if "Join" in kind and "class_b" in node.simpleString(100):
+                found += node.metrics().apply("numOutputRows").value()
+            todo += [node.children().apply(k) for k in range(node.children().size())]
+    return found
+
+
+def test_minhash_join_leaves_out_texts_that_share_a_line_and_some_words(spark):
+    # 60 texts of which one line makes 75 %, and which share a few of their other words: every pair meets, two copies with few edits are similar.
+    rng = random.Random(7)
+    line = [f"line{k}" for k in range(15)] * 10
+    texts = [line + [f"own{t}_{k}" for k in range(44)] + [f"shared{k}" for k in rng.sample(range(12), 6)] for t in range(60)]
+    texts += [t[:150] + [f"new{k}_{i}" for k in range(20)] + t[170:] for i, t in enumerate(texts[:2])]
+    rows = [(node, node, " ".join(t)) for node, t in enumerate(texts)]
+    members = [(1, node, len(t), node) for node, t in enumerate(texts)]
+    found = minhash._open_pairs(frame(spark, members, "sketch long, node long, n int, label long"), frame(spark, rows, "node long, second long, text string"))
+    assert {(r["a"], r["b"]) for r in found.collect()} == {(0, 60), (1, 61)}
+    assert 0 < joined_rows(found) < 100  # of 1,891 pairs
+
+
+def test_minhash_bits_never_tell_more_lost_than_there_are(spark):
+    rng = np.random.default_rng(3)
+    frequent = np.sort(rng.choice(minhash.WORD_CLASSES, minhash.FREQUENT_BITS, replace=False)).astype(np.int64)
+    sets = [np.unique(np.concatenate([rng.choice(frequent, k), rng.integers(0, minhash.WORD_CLASSES, 3 * k)])) for k in (0, 5, 100, 2000)]
+    rows = [(i, j, minhash._class_bits(x, frequent).tolist(), minhash._class_bits(y, frequent).tolist(), len(np.setdiff1d(x, y))) for i, x in enumerate(sets) for j, y in enumerate(sets)]
+    df = spark.createDataFrame(rows, "i int, j int, x array<long>, y array<long>, lost int")
+    assert df.where(f"{minhash._lost_bits('x', 'y')} > lost").count() == 0
+    assert df.where(f"i = 2 AND j = 1 AND {minhash._lost_bits('x', 'y')} > 0.9 * lost").count() == 1
+    assert len(minhash._class_bits(sets[1], frequent[:0])) * 64 == minhash.FREQUENT_BITS + minhash.OTHER_BITS
+
+
 def test_minhash_pairs_that_share_one_repeated_line_are_ruled_out_by_their_words(spark):
     # 75 % of each text is one line; the rest differs, in words that fall into a bin each of the other text's.
     line, n = [f"line{k}" for k in range(15)] * 10, 50
