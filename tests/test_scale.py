@@ -37,3 +37,10 @@ def test_risk_works_its_bases_out_once(spark, capsys):
 
 def test_tourism_warnings_parse_the_register_once(spark, capsys):
     assert _scans(source_queries.src_tourism_warnings(spark, SF), capsys, "part") == 0
+
+
+def test_wide_file_is_written_by_as_many_tasks_as_its_rows_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(source_queries, "WIDE_ROWS", 8, raising=False)
+    wide = source_queries._wide(spark, SF)
+    companies = spark.read.parquet(f"{SF}/orders.parquet").where("year(o_orderdate) = 1998").select("o_custkey").distinct().count()
+    assert wide.count() == companies and len(wide.inputFiles()) > companies // 16 > 2
