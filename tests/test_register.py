@@ -2,6 +2,7 @@
 
 import datetime as dt
 import decimal
+import math
 import os
 
 import duckdb
@@ -162,3 +163,33 @@ def test_cuts_count_values_only_in_ranges_that_hold_one(spark):
         want = duckdb.connect().execute(f"SELECT count(*), {', '.join(f'quantile_cont(v, {p})' for p in (0.1, 0.25, 0.5, 0.75, 0.9))}, avg(v) FROM (SELECT unnest({vs}::DOUBLE[]) AS v)").fetchone()
         assert tuple(got[g])[1:] == pytest.approx(want, abs=1e-6)
     assert {f.rsplit("/", 2)[1].split("-")[0] for f in found.inputFiles()} == {"ranges", "held"}  # both are stored, so that few rows are shuffled
+
+
+def test_percentile_against_midrank(spark):
+    import random
+
+    r = random.Random(9)
+    values = [0.0, -0.0, 1e-300, -1e-300, 5e300, float("inf"), float("-inf"), float("nan"), float("nan"), None] + [r.uniform(0.60, 0.61) for _ in range(900)] + [r.choice((1, -1)) * 10 ** r.uniform(-3, 6) for _ in range(300)] + [r.choice((0.5, 0.8, 1.0)) for _ in range(300)]
+    rows = [(k, r.choice(("a", "a", "a", "b", None)), v) for k, v in enumerate(values)] + [(-1, "one", 4.0), (-2, "none", None)]
+    df = spark.createDataFrame(rows, "id int, g string, v double").repartition(3)
+    got = {x["id"]: x["percentile"] for x in peers.percentile(df, ["g"], "v").collect()}
+    assert len(got) == len(rows)
+    place = lambda v: (v != v, 0.0 if v != v else v)  # noqa: E731  NaN is the largest
+    for k, g, v in rows:
+        if v is None:
+            assert got[k] is None
+            continue
+        own = [place(x) for _, h, x in rows if h == g and x is not None]
+        share = 100 * (sum(x < place(v) for x in own) + own.count(place(v)) / 2) / len(own)
+        assert got[k] == math.floor(share + 0.5), (g, v, share)
+    assert peers.percentile(df.where("id > 10000"), ["g"], "v").collect() == []
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_company_percentiles_equal_their_sql(spark):
+    con = duckdb.connect()
+    for t in os.listdir(SF):
+        con.execute(f"CREATE VIEW {t.split('.')[0]} AS SELECT * FROM read_parquet('{SF}/{t}')")
+    df = entry.queries()["pl_company_percentiles"](spark, SF)
+    expected = con.execute(f"SELECT {', '.join(df.columns)} FROM ({entry.oracle_sql()['pl_company_percentiles']})").fetchall()
+    assert sorted(tuple(x) for x in df.collect()) == sorted(expected)

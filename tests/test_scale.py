@@ -1,7 +1,12 @@
 """Work that is dealt out by its size, whatever the number of shuffle partitions."""
 
+import os
+
+from pyspark.sql import functions as F
+
 from regspark.operators import merge
 from regspark.plans import finance_queries, sheet_queries, source_queries, window_queries
+from regspark.sources import scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +49,31 @@ def test_wide_file_is_written_by_as_many_tasks_as_its_rows_ask_for(spark, monkey
     wide = source_queries._wide(spark, SF)
     companies = spark.read.parquet(f"{SF}/orders.parquet").where("year(o_orderdate) = 1998").select("o_custkey").distinct().count()
     assert wide.count() == companies and len(wide.inputFiles()) > companies // 16 > 2
+
+
+def test_company_percentiles_move_no_row_by_its_value(spark, capsys):
+    capsys.readouterr()
+    finance_queries.pl_company_percentiles(spark, SF).explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "Window" not in plan
+
+
+def test_peer_sizes_are_broadcast(spark, capsys):
+    capsys.readouterr()
+    window_queries.wn_peer_fallback(spark, SF).explain()
+    assert "SortMergeJoin" not in capsys.readouterr().out
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        before = spark.conf.get(scratch.SHUFFLE_CLEANUP, None)
+        rows = spark.range(1000).groupBy((F.col("id") % 300).alias("k")).agg(F.count("*").alias("n"))
+        tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+        known = tracker.shuffleStatuses().size()
+        stored = scratch.stored(rows, "counts")
+        assert tracker.shuffleStatuses().size() <= known
+        assert stored.count() == 300 and stored.agg(F.sum("n")).first()[0] == 1000
+        assert spark.conf.get(scratch.SHUFFLE_CLEANUP, None) == before
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
