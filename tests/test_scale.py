@@ -1,11 +1,9 @@
 """Work that is dealt out by its size, whatever the number of shuffle partitions."""
 
-import os
-
 from pyspark.sql import functions as F
 
 from regspark.operators import merge
-from regspark.plans import finance_queries, sheet_queries, source_queries, window_queries
+from regspark.plans import domain, finance_queries, sheet_queries, source_queries, window_queries
 from regspark.sources import scratch
 
 SF = "/root/testdata/sf0.001"
@@ -58,6 +56,23 @@ def test_company_percentiles_move_no_row_by_its_value(spark, capsys):
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "Window" not in plan
 
 
+def test_company_percentiles_deal_orders_out_once(spark, capsys):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        capsys.readouterr()
+        finance_queries._company_magnitudes(spark, SF).explain()
+        plan = capsys.readouterr().out
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above = plan[: plan.index("REPARTITION_BY_COL")].splitlines()  # from the join with companies down to the dealt orders
+    assert [line.split("Exchange ")[1].split("#")[0] for line in above if "Exchange" in line] == ["hashpartitioning(company"]
+
+
+def test_amounts_by_company_are_the_same(spark):
+    usual, by_company = (domain.statements(spark, SF, **x) for x in ({}, {"by_company": True}))
+    assert usual.exceptAll(by_company).count() == by_company.exceptAll(usual).count() == 0 < usual.count()
+
+
 def test_peer_sizes_are_broadcast(spark, capsys):
     capsys.readouterr()
     window_queries.wn_peer_fallback(spark, SF).explain()
