@@ -56,7 +56,9 @@ def test_company_percentiles_move_no_row_by_its_value(spark, capsys):
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "Window" not in plan
 
 
-def test_company_percentiles_deal_orders_out_once(spark, capsys):
+def test_company_percentiles_deal_lines_and_orders_out_once_by_their_number(spark, capsys, monkeypatch):
+    monkeypatch.setattr(merge, "ROWS_A_TASK", 100)
+    parts = {t: -(-spark.read.parquet(f"{SF}/{t}.parquet").count() // 100) for t in ("lineitem", "orders")}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         capsys.readouterr()
@@ -64,8 +66,9 @@ def test_company_percentiles_deal_orders_out_once(spark, capsys):
         plan = capsys.readouterr().out
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    above = plan[: plan.index("REPARTITION_BY_COL")].splitlines()  # from the join with companies down to the dealt orders
+    above = plan[: plan.index("REPARTITION_BY_NUM")].splitlines()  # from the join with companies down to the dealt orders
     assert [line.split("Exchange ")[1].split("#")[0] for line in above if "Exchange" in line] == ["hashpartitioning(company"]
+    assert all(f", {n}), REPARTITION_BY_NUM" in plan for n in parts.values())
 
 
 def test_amounts_by_company_are_the_same(spark):
